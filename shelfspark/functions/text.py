@@ -11,6 +11,7 @@ from shelfspark import constants as K
 
 # Java's \s is ASCII only; documents here also hold NBSP, ideographic space and BOM.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+NON_SPACE = r"[^" + SPACE[1:]
 _SPACE_CHARS = " \t\n\x0b\f\r" + "".join(
     map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
 )
@@ -84,8 +85,8 @@ def strip_links_basic(c: Column | str) -> Column:
         replace_all(
             squeeze(c),
             (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-            (r"(?i)https?://\S+", " "),
-            (r"(?i)\b10\.\d{4,9}/\S+", " "),
+            ("(?i)https?://" + NON_SPACE + "+", " "),
+            (r"(?i)\b10\.\d{4,9}/" + NON_SPACE + "+", " "),
         )
     )
 
@@ -95,10 +96,10 @@ def strip_links_strict(c: Column | str) -> Column:
     return squeeze(
         replace_all(
             c,
-            (r"(?i)https?://\S+", " "),
-            (r"(?i)\b10\.\d{4,9}/\S+", " "),
-            (r"(?i)\b(?:doi|openalex|link|url)\s*[:：]\s*\S+", " "),
-            (r"(?i)\b(?:ISSN|ISBN|PMID)\s*\S*", " "),
+            ("(?i)https?://" + NON_SPACE + "+", " "),
+            (r"(?i)\b10\.\d{4,9}/" + NON_SPACE + "+", " "),
+            (rf"(?i)\b(?:doi|openalex|link|url){SPACE}*[:：]{SPACE}*{NON_SPACE}+", " "),
+            (rf"(?i)\b(?:ISSN|ISBN|PMID){SPACE}*{NON_SPACE}*", " "),
         )
     )
 

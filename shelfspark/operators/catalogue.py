@@ -342,15 +342,15 @@ def union_key_pairs(journals: DataFrame) -> DataFrame:
 def source_fallback(*sources: DataFrame) -> DataFrame:
     """Rows of the first source that has any.
 
-    The first non-empty position is one aggregated row, joined back, so nothing is
-    counted on the driver and each source is scanned by the cluster.
+    The first non-empty position is a scalar subquery, so nothing is counted on the
+    driver and each source is scanned by the cluster.
     """
     tagged = None
     for i, s in enumerate(sources):
         part = s.withColumn("_src", F.lit(i))
         tagged = part if tagged is None else tagged.unionByName(part)
-    first = tagged.groupBy().agg(F.min("_src").alias("_src"))
-    return tagged.join(F.broadcast(first), "_src", "left_semi").drop("_src")
+    first = tagged.agg(F.min("_src")).scalar()
+    return tagged.where(F.col("_src") == first).drop("_src")
 
 
 # --- versions of lists and files --------------------------------------------------------

@@ -37,18 +37,15 @@ def tokens(
     if lemmas:
         words = F.transform(words, lambda w: F.coalesce(lookup(lemmas, w), w))
     if stop_words:
-        words = F.array_except(words, F.array(*[F.lit(s) for s in stop_words])) if False else F.filter(
-            words, lambda w: ~w.isin(list(stop_words))
-        )
+        words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
     return words
 
 
 def document_frequency(docs: DataFrame, token_col: str = "tokens", max_df: float = MAX_DF) -> DataFrame:
     """Terms with their document frequency, without terms in more than ``max_df`` of all documents."""
     df = docs.select(F.explode(F.array_distinct(token_col)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    # one aggregated row
-    return df.join(F.broadcast(total), F.col("df") <= F.col("n_docs") * max_df)
+    total = docs.agg(F.count("*").alias("n_docs")).scalar()
+    return df.withColumn("n_docs", total).where(F.col("df") <= F.col("n_docs") * max_df)
 
 
 def token_features(
@@ -128,8 +125,7 @@ def cluster_labels(
 
 def meta_table(papers: DataFrame, assignments: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """Papers with their cluster and its label."""
-    # labels hold one row per cluster, at most K_MAX
-    return papers.join(assignments.select(key, "cluster"), key).join(F.broadcast(labels.limit(K.K_MAX)), "cluster", "left")
+    return papers.join(assignments.select(key, "cluster"), key).join(labels, "cluster", "left")
 
 
 def centroid_distance(points: DataFrame, cluster: str = "cluster", vector: str = "embedding", key: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions.citations import in_text_citation
 from shelfspark.functions.predicates import abstract_missing_raw
-from shelfspark.functions.text import blank_to_null, let, trim_all
+from shelfspark.functions.text import blank_to_null, trim_all
 from shelfspark.operators.ranking import distributed_row_number, first_per_key
 
 
@@ -44,7 +44,7 @@ def link_mentions(
     Bodies and citations meet in an equi join on (topic, citation text), not in a
     scan of every citation per body: the body is cut behind each ``, YYYY``, and the
     texts that can end there are the suffixes of that piece, no longer than the
-    longest citation of the topic. Only the few links found are then applied to the
+    longest citation. Only the few links found are then applied to the
     body. Of several papers with one text the first by ``pos`` gets the link.
     """
     known = first_per_key(
@@ -52,8 +52,8 @@ def link_mentions(
         ["_t", "in_text"],
         ["pos"],
     )
-    longest = known.groupBy("_t").agg(F.max(F.length("key")).alias("_max"))
-    with_max = bodies.select(F.col(doc), F.col(topic).alias("_t"), F.col(body)).join(longest, "_t")
+    longest = cites.agg(F.coalesce(F.max(F.length("in_text")), F.lit(0))).scalar()
+    with_max = bodies.select(F.col(doc), F.col(topic).alias("_t"), F.col(body)).withColumn("_max", longest)
     # the last piece ends at the end of the body, not at a year, unless it has the shape of a key
     ends = F.array_distinct(
         F.transform(F.split(body, r"(?<=, (?:\d{4}|\?))"), lambda p: F.right(p, F.col("_max")))
@@ -87,9 +87,8 @@ def link_mentions(
     return (
         bodies.join(found, [doc, topic], "left")
         .withColumn(body, F.when(F.col("_links").isNotNull(), linked).otherwise(F.col(body)))
-        .withColumn("n_links", F.coalesce(F.size("_links"), F.lit(0)))
+        .withColumn("n_links", F.when(F.col("_links").isNotNull(), F.size("_links")).otherwise(0))
         .drop("_links")
-        .withColumn("n_links", F.greatest("n_links", F.lit(0)))
     )
 
 
@@ -221,5 +220,3 @@ def sort_citations_longest(cites: DataFrame, name: str = "rank") -> DataFrame:
         cites, [F.length("in_text").desc(), F.col("pos").asc(), F.col("id").asc()], name=name
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"Column", "DataFrame", "F", "K", "Sequence", "Window", "annotations", "let"}]
