@@ -116,7 +116,7 @@ def quartile_clean(c: Column | str) -> Column:
 
 def index_letter(c: Column | str) -> Column:
     return let(
-        F.upper(F.substring(title_case(c), 1, 1)),
+        F.upper(F.lower(F.substring(col(c), 1, 1))),
         lambda first: F.when(first.rlike("[A-Z]"), first).otherwise("#"),
     )
 
