@@ -412,8 +412,18 @@ def page_text(html: Column | str) -> Column:
     """Visible text of a web page: scripts, styles, comments and tags removed, entities decoded."""
     # &amp; last, so that an escaped entity is not decoded twice
     out = F.regexp_replace(
-        col(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "
+        col(html), r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>", " "
     )
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
+    entities = [
+        ("&lt;", "<"),
+        ("&gt;", ">"),
+        ("&quot;", '"'),
+        ("&#39;", "'"),
+        ("&nbsp;", " "),
+        ("&middot;", "·"),
+        ("&copy;", "©"),
+        ("&amp;", "&"),
+    ]
+    for entity, char in entities:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[\s\x{A0}]+", " "))

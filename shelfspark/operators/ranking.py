@@ -51,12 +51,18 @@ def distributed_row_number(
             "_before",
             F.coalesce(F.sum("_n").over(by.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        .select("_pid", *keys, "_first", "_before")
+        .select(
+            F.col("_pid").alias("_opid"),
+            *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
+            "_first",
+            "_before",
+        )
     )
-    join_on = [placed["_pid"] == offsets["_pid"], *[placed[k].eqNullSafe(offsets[k]) for k in keys]]
-    return placed.join(offsets, join_on, "inner").select(
-        *[placed[c] for c in df.columns],
-        (placed["_mid"] - offsets["_first"] + offsets["_before"] + 1).alias(name),
+    same = F.col("_pid") == F.col("_opid")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    return placed.join(offsets, same).select(
+        *df.columns, (F.col("_mid") - F.col("_first") + F.col("_before") + 1).alias(name)
     )
 
 
