@@ -84,14 +84,15 @@ def near_version_match(
     The range condition becomes an equi join: a version falls in one time bucket of
     ``millis``, the latest file probes its own bucket and both neighbours.
     """
-    bucket = lambda: F.floor(F.unix_millis("mtime") / millis)
+    millis_of = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    bucket = lambda: F.floor(millis_of("mtime") / millis)
     left = latest.select(
         topic,
         F.col("mtime").alias("latest_mtime"),
         F.explode(F.sequence(bucket() - 1, bucket() + 1)).alias("_b"),
     )
     right = versions.select(topic, F.col("name"), F.col("mtime").alias("version_mtime"), bucket().alias("_b"))
-    gap = F.abs(F.unix_millis("latest_mtime") - F.unix_millis("version_mtime"))
+    gap = F.abs(millis_of("latest_mtime") - millis_of("version_mtime"))
     return (
         left.join(right, [topic, "_b"])
         .where(gap < millis)

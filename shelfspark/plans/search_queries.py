@@ -1 +1,213 @@
-"""Placeholder."""
+"""Search, cleaning and clustering over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfspark.operators import clustering as cl
+from shelfspark.operators import search as se
+from shelfspark.plans import roles as r
+from shelfspark.plans.job_queries import _STAGE, stage_files
+from shelfspark.plans.registry import query
+from shelfspark.plans.roles import sql_squeeze, table
+
+_KEYWORDS = "concat(lang, ' ', source, ' ', right(text, 200)) AS keywords"
+_KEYWORDS_SQL = "lang || ' ' || source || ' ' || right(text, 200) AS keywords"
+_SEARCH = f"""s AS (SELECT doc_id + 1 AS id, lang, source AS source_id, 2000 + doc_id % 25 AS year, trim(split_part(text, chr(10), 1)) AS title, text AS abstract, {_KEYWORDS_SQL} FROM documents)"""
+
+
+def _has(c: str, t: str) -> str:
+    return f"contains(lower({c}), '{t}')"
+
+
+def _relaxed(t: str) -> str:
+    return "(" + " OR ".join(_has(c, t) for c in ("title", "abstract", "keywords")) + ")"
+
+
+def _strict(t: str) -> str:
+    return "(" + " AND ".join(_has(c, t) for c in ("abstract", "keywords")) + ")"
+
+
+def searchable(spark, sf):
+    return table(spark, sf, "documents").selectExpr(
+        "doc_id + 1 AS id",
+        "lang",
+        "source AS source_id",
+        "cast(2000 + doc_id % 25 AS INT) AS year",
+        "trim(split_part(text, '\n', 1)) AS title",
+        "text AS abstract",
+        _KEYWORDS,
+    )
+
+
+@query(
+    "literature_search",
+    f"WITH {_SEARCH} SELECT id, year FROM s WHERE (({_relaxed('that')} AND {_relaxed('er')}) OR {_relaxed('queaux')}) AND year BETWEEN 2005 AND 2020",
+)
+def literature_search(spark, sf):
+    hits = se.literature_search(searchable(spark, sf), ["That", "er ".strip(), "queaux"], ["and", "or"], year_from=2005, year_to=2020)
+    return hits.select("id", "year")
+
+
+@query(
+    "search_mode",
+    f"WITH {_SEARCH} SELECT id, {_strict('the')}::INT AS strict_hit, {_relaxed('the')}::INT AS relaxed_hit, ({_relaxed('nicht')} OR {_relaxed('src7')} OR {_relaxed('queaux')})::INT AS any_hit FROM s",
+)
+def search_mode(spark, sf):
+    return searchable(spark, sf).select(
+        "id",
+        se.search_condition(["the"], mode="strict").cast("int").alias("strict_hit"),
+        se.search_condition(["the"]).cast("int").alias("relaxed_hit"),
+        # a logic list of the wrong length is dropped
+        se.search_condition(["nicht", "src7", "queaux"], ["and"]).cast("int").alias("any_hit"),
+    )
+
+
+@query("year_range", f"WITH {_SEARCH} SELECT id, year FROM s WHERE year >= 2015")
+def year_range(spark, sf):
+    return se.year_range(searchable(spark, sf), year_from=2015).select("id", "year")
+
+
+@query(
+    "journal_scope",
+    f"WITH {_SEARCH} SELECT id, source_id FROM s WHERE source_id IN (SELECT 'src' || (s_suppkey % 7) FROM supplier WHERE s_acctbal > 5000)",
+)
+def journal_scope(spark, sf):
+    chosen = table(spark, sf, "supplier").where("s_acctbal > 5000").selectExpr("concat('src', s_suppkey % 7) AS source_id")
+    return se.journal_scope(searchable(spark, sf), chosen).select("id", "source_id")
+
+
+_DOI = "CASE doc_id % 4 WHEN 0 THEN concat('https://doi.org/10.1/', doc_id DIV 8) WHEN 1 THEN concat(' 10.1/', doc_id DIV 8, ' ') ELSE '' END"
+_OA = "CASE doc_id % 4 WHEN 2 THEN concat('W', doc_id DIV 12) ELSE '' END"
+
+
+@query(
+    "clean_corpus",
+    f"""WITH d AS (SELECT doc_id AS row_no, CASE doc_id % 4 WHEN 0 THEN 'doi:10.1/' || (doc_id // 8) WHEN 1 THEN 'doi:10.1/' || (doc_id // 8) WHEN 2 THEN 'oa:W' || (doc_id // 12) ELSE 't:' || {sql_squeeze("lower(text)")} || '|' || (2000 + doc_id % 2) END AS k,
+       {sql_squeeze("text")} AS abstract FROM documents)
+     SELECT row_no, md5(abstract) AS abstract FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_no) AS rn FROM d) WHERE rn = 1""",
+)
+def clean_corpus(spark, sf):
+    raw = table(spark, sf, "documents").selectExpr(
+        "doc_id AS row_no", "text AS title", "2000 + doc_id % 2 AS year", "text AS abstract", f"{_DOI} AS doi", f"{_OA} AS openalex"
+    )
+    return se.clean_corpus(raw).select("row_no", F.md5("abstract").alias("abstract"))
+
+
+@query(
+    "structure_summaries",
+    f"WITH {r.PAPERS} SELECT id, year, md5(title) AS title, md5(abstract) AS findings, '-' AS rq, '-' AS method FROM papers",
+)
+def structure_summaries(spark, sf):
+    s = cl.structure_summaries(r.papers(spark, sf))
+    return s.select(
+        "id",
+        "year",
+        F.md5("title").alias("title"),
+        F.md5("findings").alias("findings"),
+        F.coalesce("rq", F.lit("-")).alias("rq"),
+        F.coalesce("method", F.lit("-")).alias("method"),
+    )
+
+
+# --- terms and clusters ----------------------------------------------------------------------
+
+STOP = ["the", "and", "that", "ing"]
+LEMMAS = {"erst": "er", "erstly": "er", "heron": "heron"}
+
+
+def tokenised(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return docs.withColumn("tokens", cl.tokens("text", STOP, {"erstly": "erst", "thenter": "then"}, ["of the"])).drop("text")
+
+
+_TOKENS = """tok AS (SELECT doc_id, source, list_filter(list_transform(list_filter(regexp_split_to_array(replace(lower(text), 'of the', 'of_the'), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3),
+   lambda w: CASE w WHEN 'erstly' THEN 'erst' WHEN 'thenter' THEN 'then' ELSE w END), lambda w: w NOT IN ('the', 'and', 'that', 'ing')) AS tokens FROM documents)"""
+_DF = "df AS (SELECT term, count(*) AS df, (SELECT count(*) FROM tok) AS n_docs FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM tok) GROUP BY term HAVING count(*) <= 0.5 * (SELECT count(*) FROM tok))"
+
+
+@query("token_features", f"WITH {_TOKENS}, {_DF} SELECT term, df, n_docs FROM df")
+def token_features(spark, sf):
+    return cl.document_frequency(tokenised(spark, sf)).select("term", "df", "n_docs")
+
+
+@query(
+    "cluster_labels",
+    f"""WITH {_TOKENS}, {_DF}, tf AS (SELECT source, term, count(*) AS tf FROM (SELECT source, unnest(tokens) AS term FROM tok) GROUP BY 1, 2),
+      w AS (SELECT source, term, tf * ln((n_docs + 1.0) / (df + 1.0)) AS w FROM tf JOIN df USING (term)), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, term) AS rn FROM w)
+     SELECT source AS cluster, string_agg(term, ' / ' ORDER BY rn) AS label FROM k WHERE rn <= 4 GROUP BY source""",
+)
+def cluster_labels(spark, sf):
+    return cl.cluster_labels(tokenised(spark, sf).withColumnRenamed("source", "cluster"))
+
+
+@query("cluster_topics")
+def cluster_topics(spark, sf):
+    points = cl.array_features(table(spark, sf, "embeddings"))
+    return cl.cluster_topics(points, k=6).select("vec_id", "cluster")
+
+
+@query("cluster_text")
+def cluster_text(spark, sf):
+    features, _ = cl.token_features(tokenised(spark, sf))
+    return cl.cluster_topics(features, k=6).select("doc_id", "cluster")
+
+
+@query("k_scan")
+def k_scan(spark, sf):
+    return cl.k_scan(cl.array_features(table(spark, sf, "embeddings")))
+
+
+@query(
+    "meta_table",
+    f"""WITH {r.PAPERS}, l AS (SELECT source AS cluster, 'label ' || source AS label FROM (SELECT DISTINCT source FROM documents)) SELECT id, topic, year, journal AS cluster, label FROM papers JOIN l ON l.cluster = journal""",
+)
+def meta_table(spark, sf):
+    p = r.papers(spark, sf).select("id", "topic", "year", "journal")
+    assigned = p.select("id", F.col("journal").alias("cluster"))
+    labels = assigned.select("cluster").distinct().withColumn("label", F.concat(F.lit("label "), F.col("cluster")))
+    return cl.meta_table(p, assigned, labels).select("id", "topic", "year", "cluster", "label")
+
+
+_DIST = """v AS (SELECT vec_id AS id, label AS cluster, embedding, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+  m AS (SELECT cluster, d, avg(x) AS m FROM v GROUP BY 1, 2), dist AS (SELECT id, v.cluster, sqrt(sum((x - m) * (x - m))) AS distance FROM v JOIN m ON m.cluster = v.cluster AND m.d = v.d GROUP BY 1, 2)"""
+
+
+def distances(spark, sf):
+    points = table(spark, sf, "embeddings").selectExpr("vec_id AS id", "label AS cluster", "embedding")
+    return cl.centroid_distance(points)
+
+
+@query("centroid_distance", f"WITH {_DIST} SELECT id, cluster, round(distance, 6) AS distance FROM dist")
+def centroid_distance(spark, sf):
+    return distances(spark, sf).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "out_of_scope_flag",
+    f"""WITH {_DIST}, l AS (SELECT cluster, avg(distance) + stddev_pop(distance) AS lim FROM dist GROUP BY cluster) SELECT id, dist.cluster, (distance > lim)::INT AS out_of_scope FROM dist JOIN l USING (cluster)""",
+)
+def out_of_scope_flag(spark, sf):
+    flags = cl.out_of_scope_by_distance(distances(spark, sf), sigmas=1.0)
+    return flags.select("id", "cluster", F.col("out_of_scope").cast("int").alias("out_of_scope"))
+
+
+@query("exclude_out_of_scope", f"WITH {_SEARCH} SELECT id FROM s WHERE {_relaxed('that')} OR {_relaxed('nicht')}")
+def exclude_out_of_scope(spark, sf):
+    papers = searchable(spark, sf)
+    flags = cl.out_of_scope_by_terms(papers, se.search_condition(["that", "nicht"]))
+    return cl.exclude_out_of_scope(papers, flags).select("id")
+
+
+@query(
+    "stage_gate",
+    f"""WITH f AS (SELECT 'u' || user_id AS topic, {_STAGE} AS stage FROM events WHERE value > 20),
+     c AS (SELECT topic, {", ".join(f"count(*) FILTER (stage = '{s}') AS s{i}" for i, s in enumerate(["01_raw", "02_clean", "03_summaries", "04_meta", "05_report", "06_review"]))} FROM f GROUP BY topic)
+     SELECT topic, s0 AS "01_raw", s5 AS "06_review", concat_ws(',', '01_raw', CASE WHEN s0 > 0 THEN '02_clean' END, CASE WHEN s1 > 0 THEN '03_summaries' END, CASE WHEN s2 > 0 THEN '04_meta' END, CASE WHEN s3 > 0 THEN '05_report' END, CASE WHEN s4 > 0 THEN '06_review' END) AS ready FROM c""",
+)
+def stage_gate(spark, sf):
+    files = table(spark, sf, "events").where("value > 20").selectExpr("concat('u', user_id) AS topic", f"{_STAGE} AS stage")
+    return cl.stage_gate(files).select("topic", "01_raw", "06_review", "ready")
+
+
+__all__ = ["searchable", "stage_files", "tokenised"]
