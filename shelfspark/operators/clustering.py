@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -71,21 +72,30 @@ def cluster_topics(features: DataFrame, k: int | str = K.K_DEFAULT, seed: int =
     return model.transform(features)
 
 
-def k_scan(features: DataFrame, ks: Sequence[int] = range(K.K_MIN, K.K_MAX + 1), seed: int = 7) -> DataFrame:
-    """Silhouette for each k. The features are cached across the runs."""
+def k_scan(
+    features: DataFrame, ks: Sequence[int] = range(K.K_MIN, K.K_MAX + 1), seed: int = 7, parallelism: int = 4
+) -> DataFrame:
+    """Silhouette for each k.
+
+    The features are cached across the runs, and ``parallelism`` fits share the
+    cluster at a time, so that a small job does not leave the executors idle.
+    """
     spark = features.sparkSession
     cached = features.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+
+    def score(k: int) -> tuple[int, float]:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
+        return int(k), float(evaluator.evaluate(model.transform(cached)))
+
     try:
-        scores = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
-            scores.append((int(k), float(evaluator.evaluate(model.transform(cached)))))
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = list(pool.map(score, ks))
     finally:
         cached.unpersist()
     out = spark.createDataFrame(scores, "k int, silhouette double")
-    best = F.max(F.struct("silhouette", (-F.col("k")).alias("nk"))).over(Window.partitionBy(F.lit(0)))
-    return out.withColumn("best", F.col("k") == -best["nk"])
+    best = out.agg(F.max_by("k", F.struct("silhouette", -F.col("k")))).scalar()
+    return out.withColumn("best", F.col("k") == best)
 
 
 def best_k(scan: DataFrame) -> int:

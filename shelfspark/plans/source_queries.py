@@ -1 +1,222 @@
-"""Placeholder."""
+"""Readers and writers, fed with files that Spark writes from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfspark import sources as src
+from shelfspark.operators import catalogue as cat
+from shelfspark.operators import markdown as md
+from shelfspark.plans import roles as r
+from shelfspark.plans.catalogue_queries import _DETAIL, _blank, _blank_sql
+from shelfspark.plans.paper_queries import _BLOCKS, summary_docs
+from shelfspark.plans.registry import query
+from shelfspark.plans.roles import table
+from shelfspark.session import scratch_path
+
+
+@query(
+    "scan_journal_index",
+    """SELECT p_name || ', "' || p_brand || '" ' || p_partkey AS title, '12-' || p_partkey AS issn, p_brand AS publisher, CASE WHEN p_size > 20 THEN p_type || '/x ' || p_size ELSE p_type END AS categories FROM part WHERE p_size <> 50""",
+)
+def scan_journal_index(spark, sf):
+    path = scratch_path(spark, "index-csv")
+    table(spark, sf, "part").selectExpr(
+        "CASE WHEN p_size = 50 THEN '' ELSE concat(p_name, ', \"', p_brand, '\" ', p_partkey) END AS `Journal title`",
+        "concat('12-', p_partkey) AS ISSN",
+        "'' AS eISSN",
+        "p_brand AS `Publisher name`",
+        "CASE WHEN p_size > 20 THEN concat(p_type, ' |  | x ', p_size) ELSE p_type END AS `Web of Science Categories`",
+    ).write.option("header", "true").option("escape", '"').csv(path)
+    return src.scan_journal_index(spark, path).select("title", "issn", "publisher", F.array_join("categories", "/").alias("categories"))
+
+
+_METRIC_HEAD = "category,edition,journal_name,issn_print,issn_e,publisher,quartile,jif,jci,oa_citable_pct,total_citations,jcr_abbrev"
+_METRIC_HEAD_2 = "issn_print,issn_e,category,edition,journal_name,publisher,quartile,jcr_abbrev,jif,jci,oa_citable_pct,total_citations"
+
+
+def metric_folder(spark, sf):
+    """The metric rows as three raw CSV files; one has another column order, some rows are shifted."""
+    path = scratch_path(spark, "metric-csv")
+    rows = r.metrics(spark, sf).withColumn(
+        "category", F.when(F.col("l_linenumber") == 3, F.lit("PSYCHOLOGY, SOCIAL")).otherwise(F.lit("ECONOMICS"))
+    )
+    common = {"journal_name": F.concat(F.lit("J"), F.col("l_partkey").cast("string")), "publisher": F.concat(F.lit('"P, '), F.col("l_suppkey").cast("string"), F.lit('"'))}
+    for flag, slug, head in (("A", "Economics", _METRIC_HEAD), ("N", "Urban_Studies", _METRIC_HEAD_2), ("R", "Social_Work", _METRIC_HEAD)):
+        line = F.concat_ws(",", *[common.get(c, F.col(c)) for c in head.split(",")])
+        # one text column whose name is the header line
+        rows.where(F.col("l_returnflag") == flag).select(line.alias(head)).write.option("header", "true").option(
+            "sep", "\x01"
+        ).option("quote", "").option("escapeQuotes", "false").option("emptyValue", "").csv(
+            f"{path}/WOS_JCR_260101_{slug}_26020{len(slug) % 9}_normalized.csv"
+        )
+    return path
+
+
+@query(
+    "scan_metric_files",
+    f"""WITH {r.METRICS} SELECT CASE oa_citable_pct WHEN 'A' THEN 'Economics' WHEN 'N' THEN 'Urban Studies' ELSE 'Social Work' END AS file_discipline, CASE oa_citable_pct WHEN 'A' THEN '260200' WHEN 'N' THEN '260204' ELSE '260202' END AS file_date,
+      CASE WHEN l_linenumber = 3 THEN 'PSYCHOLOGY, SOCIAL' ELSE 'ECONOMICS' END AS category, edition, 'J' || l_partkey AS journal_name, coalesce(nullif(issn_print, ''), '-') AS issn_print, coalesce(nullif(issn_e, ''), '-') AS issn_e, 'P, ' || l_suppkey AS publisher, upper(quartile) AS quartile,
+      coalesce(jif, '-') AS jif, jci, oa_citable_pct, total_citations, jcr_abbrev, (l_linenumber = 3)::INT AS shifted FROM jcr""",
+)
+def scan_metric_files(spark, sf):
+    rows = src.scan_metric_files(spark, metric_folder(spark, sf))
+    blank = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-")).alias(c)
+    return rows.select(
+        "file_discipline",
+        "file_date",
+        "category",
+        "edition",
+        "journal_name",
+        blank("issn_print"),
+        blank("issn_e"),
+        "publisher",
+        F.upper("quartile").alias("quartile"),
+        blank("jif"),
+        *_DETAIL[1:],
+        F.col("was_shifted").cast("int").alias("shifted"),
+    )
+
+
+def _yaml_items(spark, sf):
+    """Registry records as YAML list items, text quoted where needed."""
+    reg = r.registry(spark, sf)
+    cats = F.concat_ws("", F.transform("source_categories", lambda c: F.concat(F.lit("\n    - '"), c, F.lit("'"))))
+    return reg.select(
+        "row_pos",
+        F.concat(
+            F.lit("- name: '"), "name", F.lit("'\n  short: "), "short", F.lit("\n  issn: \""), "issn", F.lit("\"\n  eissn: '"), "eissn", F.lit("'\n  notes: |\n    a; WOS/JCR;\n    pub "),
+            F.col("row_pos").cast("string"), F.lit("\n  openalex_source_id: '"), "openalex_source_id", F.lit("'"),
+            F.when(F.size("source_categories") > 0, F.concat(F.lit("\n  source_categories:"), cats)).otherwise(""),
+        ).alias("item"),
+    )
+
+
+_REGISTRY_ROWS = f"""WITH {r.REGISTRY} SELECT name, short, issn, eissn, openalex_source_id, array_to_string(source_categories, '/') AS categories FROM registry"""
+
+
+def _registry_out(df):
+    return df.select("name", "short", "issn", "eissn", F.coalesce("openalex_source_id", F.lit("")).alias("openalex_source_id"), F.coalesce(F.array_join("source_categories", "/"), F.lit("")).alias("categories"))
+
+
+@query("scan_registry", _REGISTRY_ROWS)
+def scan_registry(spark, sf):
+    path = scratch_path(spark, "registry-yaml")
+    _yaml_items(spark, sf).select("item").write.text(path)
+    return _registry_out(src.scan_registry(spark, path, indent=""))
+
+
+@query("scan_registry_json", _REGISTRY_ROWS)
+def scan_registry_json(spark, sf):
+    path = scratch_path(spark, "registry-json")
+    r.registry(spark, sf).drop("row_pos").write.json(path)
+    return _registry_out(src.scan_registry_json(spark, path))
+
+
+@query(
+    "scan_source_lists",
+    """SELECT 'journals_' || CASE WHEN s_nationkey < 12 THEN 'low' ELSE 'high' END AS prefix, CASE WHEN s_nationkey < 12 THEN '20260301' ELSE '20260201' END AS date_tag, CASE WHEN s_nationkey < 12 THEN 2 ELSE 10 END AS version, s_name AS name FROM supplier""",
+)
+def scan_source_lists(spark, sf):
+    path = scratch_path(spark, "lists")
+    items = _yaml_items(spark, sf).join(table(spark, sf, "supplier").selectExpr("s_suppkey AS row_pos", "s_nationkey < 12 AS low"), "row_pos")
+    for stem, low, keep in (("low_20260301_v2", True, True), ("low_20260301_v1", True, False), ("high_20260201_v10", False, True), ("high_20260201_v9", False, False)):
+        rows = items.where(F.col("low") == low).select(F.col("item") if keep else F.lit("- name: old\n  issn: '1'"))
+        rows.write.text(f"{path}/journals_{stem}.yml")
+    out = src.scan_source_lists(spark, path, indent="")
+    return out.select("prefix", "date_tag", "version", "name")
+
+
+def corpus_folder(spark, sf):
+    """Summary documents as Markdown files below topic and stage; the file size is bounded."""
+    path = scratch_path(spark, "corpus")
+    summary_docs(spark, sf).select("topic", F.lit("03_summaries").alias("stage"), "body").write.partitionBy("topic", "stage").option(
+        "maxRecordsPerFile", "200"
+    ).option("lineSep", "\n---\n").text(path)
+    return path
+
+
+_CORPUS_ROWS = f"WITH {_BLOCKS} SELECT topic, '03_summaries' AS stage, id, coalesce(title, '-') AS title, coalesce(md5(nullif(findings, '')), '-') AS findings FROM blocks"
+
+
+@query("scan_markdown_corpus", _CORPUS_ROWS)
+def scan_markdown_corpus(spark, sf):
+    docs = src.scan_markdown_corpus(spark, corpus_folder(spark, sf), "*.txt")
+    keyed = docs.withColumn("doc", F.struct("topic", "stage"))
+    p = md.explode_paper_blocks(keyed)
+    return p.select("doc.topic", "doc.stage", F.col("id").cast("bigint").alias("id"), F.coalesce("title", F.lit("-")).alias("title"), F.coalesce(F.md5("findings"), F.lit("-")).alias("findings"))
+
+
+@query("scan_summary_blocks", _CORPUS_ROWS)
+def scan_summary_blocks(spark, sf):
+    # the separator with trailing blanks is only known to the block parser
+    blocks = src.scan_summary_blocks(spark, corpus_folder(spark, sf), "*.txt").withColumnRenamed("block", "body")
+    p = md.explode_paper_blocks(blocks, "topic")
+    return p.select("topic", F.lit("03_summaries").alias("stage"), F.col("id").cast("bigint").alias("id"), F.coalesce("title", F.lit("-")).alias("title"), F.coalesce(F.md5("findings"), F.lit("-")).alias("findings"))
+
+
+@query("scan_file_inventory", "SELECT lang AS topic, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY lang")
+def scan_file_inventory(spark, sf):
+    path = scratch_path(spark, "inventory")
+    table(spark, sf, "documents").selectExpr("lang AS topic", "text").write.partitionBy("topic").text(path)
+    files = src.scan_file_inventory(spark, path, "*.txt")
+    return files.groupBy(F.regexp_extract("path", r"topic=([^/]+)/", 1).alias("topic")).agg(F.sum("size").alias("size"))
+
+
+@query("scan_topic_index", "SELECT DISTINCT replace(c_name, '#', '_') AS topic, CASE WHEN c_nationkey < 10 THEN c_mktsegment ELSE replace(c_name, '#', '_') END AS label FROM (SELECT 'nation#' || c_nationkey AS c_name, c_nationkey, 'segment ' || c_nationkey AS c_mktsegment FROM customer)")
+def scan_topic_index(spark, sf):
+    path = scratch_path(spark, "topics")
+    table(spark, sf, "customer").selectExpr(
+        "concat('nation_', c_nationkey) AS topic", "CASE WHEN c_nationkey < 10 THEN concat('segment ', c_nationkey) ELSE '' END AS label"
+    ).distinct().write.partitionBy("topic").json(path)
+    return src.scan_topic_index(spark, path, "*.json")
+
+
+@query(
+    "scan_job_logs",
+    """SELECT 'job_' || conv_id AS job_id, md5(string_agg(text, chr(10) ORDER BY turn) || chr(10)) AS content, (conv_id % 3 = 1)::INT AS done, CASE conv_id % 3 WHEN 1 THEN 7 ELSE -1 END AS exit_code FROM conversations GROUP BY conv_id""",
+)
+def scan_job_logs(spark, sf):
+    path = scratch_path(spark, "logs")
+    turns = table(spark, sf, "conversations")
+    lines = turns.selectExpr("concat('job_', conv_id) AS job_id", "turn", "text")
+    live = lines.repartition("job_id").sortWithinPartitions("job_id", "turn").drop("turn")
+    live.write.partitionBy("job_id").text(path)
+    # every third job also has an archived copy, which must not win
+    turns.where("conv_id % 3 = 0").selectExpr("concat('job_', conv_id) AS job_id", "'archived' AS text").write.partitionBy("job_id").text(f"{path}/archive")
+    turns.where("conv_id % 3 = 1").selectExpr("concat('job_', conv_id) AS job_id", "7 AS exitCode", "true AS done").distinct().write.partitionBy("job_id").mode("append").json(path)
+    logs = src.scan_job_logs(spark, path, "part-*.txt", "part-*.json")
+    return logs.select("job_id", F.md5("content").alias("content"), F.col("done").cast("int").alias("done"), F.coalesce("exit_code", F.lit(-1)).alias("exit_code"))
+
+
+# --- writers ------------------------------------------------------------------------------
+
+
+@query("sink_versioned", "SELECT o_orderkey, 'third' AS note, '20260302' AS date_tag, 1 AS version FROM orders")
+def sink_versioned(spark, sf):
+    path = scratch_path(spark, "versions")
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    for note, day in (("first", "20260301"), ("second", "20260301"), ("third", "20260302")):
+        src.sink_versioned(orders.withColumn("note", F.lit(note)), path, day)
+    return src.read_latest(spark, path).selectExpr("o_orderkey", "note", "cast(date_tag AS STRING) AS date_tag", "version")
+
+
+@query("sink_job_subset", "SELECT p_partkey AS entry_id, 'run_2' AS job_id FROM part WHERE p_brand = 'Brand#3' UNION ALL SELECT p_partkey, 'run_1' FROM part WHERE p_brand = 'Brand#4'")
+def sink_job_subset(spark, sf):
+    path = scratch_path(spark, "subsets")
+    j = r.journals(spark, sf)
+    src.sink_job_subset(j, path, "run_1")
+    src.sink_job_subset(cat.filter_publisher(j, "Brand#3"), path, "run_2")
+    src.sink_job_subset(cat.filter_publisher(j, "Brand#4"), path, "run_1")
+    return spark.read.parquet(path).select("entry_id", "job_id")
+
+
+@query("sink_archive_by_month", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def sink_archive_by_month(spark, sf):
+    path = scratch_path(spark, "archive")
+    src.sink_archive_by_month(table(spark, sf, "orders").selectExpr("o_orderkey AS job_id", "o_orderdate AS mtime"), path)
+    months = spark.read.parquet(path)
+    return months.groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"), F.sum("job_id").alias("keys"))
+
+
+__all__ = ["_blank", "_blank_sql"]

@@ -38,6 +38,11 @@ METRIC_COLUMNS = [
 ]
 
 
+# a file or folder name anywhere in a path
+METRIC_SEGMENT = r"(?i)/(WOS_JCR_\d{6}_[^/]+_\d{6}_normalized\.csv)(?:/|$)"
+LIST_SEGMENT = r"(?i)^(.*/([^/]+_\d{8}_v\d+\.ya?ml))(?:/[^/]*)?$"
+
+
 def file_position() -> list[Column]:
     """Order of rows inside one file: start of the split, then the row number in it."""
     return [
@@ -72,29 +77,33 @@ def scan_journal_index(spark: SparkSession, path: str) -> DataFrame:
 def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFrame:
     """Metric CSVs to named columns, with discipline and date from each file name.
 
-    Files may order their columns differently: the header line of every file is one
-    row of a small frame, joined back by file. Rows shifted by an unquoted comma are
-    repaired. ``block_start`` and ``row_in_block`` give the order inside a file.
+    A metric file may be one CSV or a folder of that name with part files. Files may
+    order their columns differently: the header line of every file is one row of a
+    small frame, joined back by file. Rows shifted by an unquoted comma are repaired.
+    ``part_no``, ``block_start`` and ``row_in_block`` order the rows of a file.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    name = F.col("_metadata.file_name")
+    path_col = F.col("_metadata.file_path")
     # a short row is padded with NULL; the padding is cut off again to get the real width
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    rows = spark.read.csv(path, schema=schema, quote='"', escape='"', pathGlobFilter="*.csv").select(
-        name.alias("file_name"),
+    cells = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(width)])
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    rows = reader.csv(path, schema=schema, quote='"', escape='"').select(
+        path_col.alias("file_path"),
+        F.regexp_extract(path_col, METRIC_SEGMENT, 1).alias("file_name"),
+        F.coalesce(F.regexp_extract(path_col, r"/part-(\d+)[^/]*$", 1).try_cast("int"), F.lit(0)).alias("part_no"),
         *file_position(),
         F.slice(cells, 1, F.greatest(*[F.when(F.col(f"c{i}").isNotNull(), i + 1).otherwise(1) for i in range(width)])).alias("cells"),
     )
-    rows = rows.where(F.col("file_name").rlike(K.METRIC_FILE_PATTERN))
+    rows = rows.where(F.col("file_name") != "")
     is_header = F.exists("cells", lambda c: F.lower(trim_all(c)) == "journal_name")
     header = (
         rows.where(is_header)
-        .groupBy("file_name")
+        .groupBy("file_path")
         .agg(F.min_by("cells", F.struct("block_start", "row_in_block")).alias("h"))
-        .select("file_name", F.transform("h", lambda c: F.lower(trim_all(c))).alias("h"))
+        .select("file_path", F.transform("h", lambda c: F.lower(trim_all(c))).alias("h"))
     )
     # cells in the standard order, with the surplus cell of a shifted row kept behind its category
-    body = rows.where(~is_header).join(header, "file_name")
+    body = rows.where(~is_header).join(header, "file_path")
     name_at = F.array_position("h", F.lit("journal_name"))
     shifted = (
         trim_all(F.get("cells", (name_at - 1).cast("int"))).isin(K.EDITION_CODES)
@@ -114,6 +123,7 @@ def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFr
         part(2).alias("slug"),
         F.translate(part(2), "_", " ").alias("file_discipline"),
         part(3).alias("file_date"),
+        "part_no",
         "block_start",
         "row_in_block",
         *[trim_all(c).alias(n) for n, c in fixed.items()],
@@ -214,27 +224,28 @@ def scan_source_lists(spark: SparkSession, path: str, **yaml_layout: str) -> Dat
     Listing files is the driver's work anyway, so the few newest paths (one per
     prefix) are chosen first and older versions are never opened.
     """
-    files = scan_file_inventory(spark, path)
-    parsed = version_parse("name")
-    versions = files.where(F.col("name").rlike(K.SOURCE_LIST_PATTERN)).select("path", "name", parsed.alias("v"))
-    newest = latest_per_prefix(versions.select("path", "v.*"))
-    paths = [r["path"] for r in newest.select("path").collect()]
+    files = scan_file_inventory(spark, path).select(
+        F.regexp_extract("path", LIST_SEGMENT, 1).alias("list_path"), F.regexp_extract("path", LIST_SEGMENT, 2).alias("list_name")
+    )
+    versions = files.where(F.col("list_name") != "").distinct().select("list_path", version_parse("list_name").alias("v"))
+    newest = latest_per_prefix(versions.select("list_path", "v.*"))
+    paths = [r["list_path"] for r in newest.select("list_path").collect()]
     rows = scan_registry(spark, paths, **yaml_layout)
-    v = version_parse("file_name")
+    v = version_parse(F.regexp_extract("file_path", LIST_SEGMENT, 2))
     return rows.select("*", v["prefix"].alias("prefix"), v["date_tag"].alias("date_tag"), v["version"].alias("version"))
 
 
 def _topic_stage(path: Column) -> tuple[Column, Column]:
     stage = "|".join(K.STAGES)
-    pattern = rf"([^/]+)/({stage})/[^/]+$"
+    pattern = rf"(?:topic=)?([^/=]+)/(?:stage=)?({stage})/[^/]+$"
     return F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
 
 
-def scan_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
+def scan_markdown_corpus(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Markdown files as whole documents: ``topic, stage, file, body``, BOM removed. One file is one row."""
     p = F.col("_metadata.file_path")
     topic, stage = _topic_stage(p)
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return raw.select(
         topic.alias("topic"),
         stage.alias("stage"),
@@ -243,7 +254,7 @@ def scan_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_summary_blocks(spark: SparkSession, path: str) -> DataFrame:
+def scan_summary_blocks(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Summary files cut at their ``---`` lines while reading: ``topic, file, block``.
 
     For files too large for one row: the text source splits at the separator, so one
@@ -253,7 +264,7 @@ def scan_summary_blocks(spark: SparkSession, path: str) -> DataFrame:
     topic, _ = _topic_stage(p)
     raw = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
+        .option("pathGlobFilter", glob)
         .option("lineSep", "\n---\n")
         .text(path)
     )
@@ -264,48 +275,47 @@ def scan_summary_blocks(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("block").rlike(r"^\s*##[ \t]+\d+\."))
 
 
-def scan_topic_index(spark: SparkSession, path: str) -> DataFrame:
-    """Topics found as directories, with the label of their ``index.json`` or the slug."""
-    topic_of = lambda c: F.regexp_extract(c, r"([^/]+)/(?:[^/]+/)?[^/]+$", 1)
+def scan_topic_index(spark: SparkSession, path: str, glob: str = "index.json") -> DataFrame:
+    """Topics found as folders, with the label of their index file or the slug."""
     stage = "|".join(K.STAGES)
-    files = scan_file_inventory(spark, path)
-    topics = files.select(
-        F.when(F.col("path").rlike(rf"/({stage})/[^/]+$"), topic_of("path"))
-        .otherwise(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
-        .alias("topic")
-    ).distinct()
+    topic_of = lambda p: F.regexp_extract(p, rf"(?:topic=)?([^/=]+)/(?:(?:stage=)?(?:{stage})/)?[^/]+$", 1)
+    topics = scan_file_inventory(spark, path).select(topic_of("path").alias("topic")).distinct()
     labels = (
-        spark.read.schema("topic string, label string")
+        spark.read.schema("label string")
         .option("multiLine", "true")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "index.json")
+        .option("pathGlobFilter", glob)
         .json(path)
-        .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("topic"), blank_to_null("label").alias("label"))
+        .select(topic_of(F.col("_metadata.file_path")).alias("topic"), blank_to_null("label").alias("label"))
+        .groupBy("topic")
+        .agg(F.max("label").alias("label"))
     )
     return topics.join(labels, "topic", "left").withColumn("label", F.coalesce("label", "topic"))
 
 
-JOB_FILE = r"(job_[A-Za-z0-9_]+)\.(log|meta\.json)$"
+JOB_FILE = r"(job_[A-Za-z0-9_]+)(?:\.log|\.meta\.json)?(?:/[^/]*)?$"
 
 
-def scan_job_logs(spark: SparkSession, path: str) -> DataFrame:
+def scan_job_logs(
+    spark: SparkSession, path: str, log_glob: str = "job_*.log", meta_glob: str = "job_*.meta.json"
+) -> DataFrame:
     """Logs and outcomes of jobs; a live file wins over its archived copies.
 
     ``job_id, content, done, exit_code``. One log is one row.
     """
     reader = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     p = F.col("_metadata.file_path")
-    job = F.regexp_extract(F.col("_metadata.file_name"), JOB_FILE, 1)
+    job = F.regexp_extract(p, JOB_FILE, 1)
     prio = F.struct(F.contains(p, F.lit("/archive/")).cast("int").alias("a"), p.alias("p"))
     logs = (
-        reader("job_*.log")
+        reader(log_glob)
         .text(path, wholetext=True)
         .select(job.alias("job_id"), prio.alias("prio"), "value")
         .groupBy("job_id")
         .agg(F.min_by("value", "prio").alias("content"))
     )
     metas = (
-        reader("job_*.meta.json")
+        reader(meta_glob)
         .schema("exitCode int, signal string, done boolean")
         .option("multiLine", "true")
         .json(path)

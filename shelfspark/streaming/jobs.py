@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.operators.jobs import FINISH_MARK, START_MARK
 from shelfspark.session import scratch_path
@@ -82,7 +83,7 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
         .start()
     )
     query.awaitTermination()
-    written = spark.read.schema(stream.schema.add("batch", "int")).parquet(out)
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
     if mode != "update" or not keys:
         return written.drop("batch")
     row = F.struct(*[F.col(c) for c in written.columns if c != "batch"])
