@@ -311,7 +311,8 @@ def dedupe_catalogue(entries: DataFrame, order: Sequence[str] = ("disc_pos", "q_
         tagged("issn:", fc.issn_key("issn")),
         tagged("eissn:", fc.issn_key("eissn")),
         tagged("name:", fc.name_key("name")),
-        F.lit("none:"),
+        # a record without any of them is nobody's copy
+        F.concat_ws("|", F.lit("row"), *[F.col(o).cast("string") for o in order]),
     )
     return first_per_key(entries, [key], order)
 

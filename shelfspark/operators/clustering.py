@@ -9,6 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -141,15 +142,11 @@ def meta_table(papers: DataFrame, assignments: DataFrame, labels: DataFrame, key
 def centroid_distance(points: DataFrame, cluster: str = "cluster", vector: str = "embedding", key: str = "id") -> DataFrame:
     """Euclidean distance of every point to the mean of its cluster.
 
-    Means are summed per (cluster, dimension) with map-side combine; the centroid
-    table has one row per cluster.
+    Means are vector sums with map-side combine, one buffer per cluster and task, and
+    the centroid table has one row per cluster.
     """
-    dims = points.select(cluster, F.posexplode(vector).alias("d", "x")).groupBy(cluster, "d").agg(
-        F.avg(F.col("x").cast("double")).alias("m")
-    )
-    centre = dims.groupBy(cluster).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("_c")
-    )
+    as_vector = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    centre = points.groupBy(cluster).agg(vector_to_array(Summarizer.mean(as_vector)).alias("_c"))
     sq = F.aggregate(
         F.zip_with(vector, "_c", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)),
         F.lit(0.0),

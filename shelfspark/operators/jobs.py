@@ -143,9 +143,8 @@ def sort_topics(topics: DataFrame, rank: str = "rank") -> DataFrame:
 
 def sort_base_insensitive(df: DataFrame, column: str, tie: Sequence[str] = (), rank: str = "rank") -> DataFrame:
     """Order that ignores case and accents, then by the raw value."""
-    keyed = df.withColumn("_c", F.collate(F.col(column), "UNICODE_CI_AI"))
-    order = [F.asc("_c"), F.asc(column), *[F.asc(t) for t in tie]]
-    return distributed_row_number(keyed, order, name=rank).drop("_c")
+    order = [F.collate(F.col(column), "UNICODE_CI_AI").asc(), F.asc(column), *[F.asc(t) for t in tie]]
+    return distributed_row_number(df, order, name=rank)
 
 
 # --- session log -----------------------------------------------------------------------

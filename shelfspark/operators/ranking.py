@@ -14,7 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import col
-from shelfspark.session import work_root
+from shelfspark.session import scratch_path
+
+
+# rows of (partition, key) offsets that may be broadcast: three longs and the keys, some 50 MB
+BROADCAST_ROWS = 500_000
 
 
 def distributed_row_number(
@@ -29,24 +33,27 @@ def distributed_row_number(
     The sort key must be unique. Rows are range-partitioned on keys and order, so
     one hot key spans many partitions; the position inside a partition comes from
     its sorted order, and a small table of rows per (partition, key) gives the
-    offset. The sorted rows are checkpointed, so both reads see the same layout.
+    offset. The placed rows are written to the shared folder, so both reads see the
+    same layout even if an executor is lost in between. The offsets are counted, and
+    broadcast only while they are few; beyond that they are joined with a shuffle.
     """
     spark = df.sparkSession
-    work_root(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*[F.col(k).asc() for k in keys], *order_by]
-    placed = (
+    path = scratch_path(spark, "ranked")
+    (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_mid", 33).cast("int"))
-        .checkpoint()
+        .write.parquet(path)
     )
+    # the upper bits of the id are the range partition, the lower 33 the position in it
+    placed = spark.read.parquet(path).withColumn("_pid", F.shiftright("_mid", 33).cast("int"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    # at most one row per (range partition, key that has rows in it)
     offsets = (
         placed.groupBy("_pid", *keys)
         .agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+        # at most one row per (range partition, key with rows in it) reaches this window
         .withColumn(
             "_before",
             F.coalesce(F.sum("_n").over(by.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -58,6 +65,9 @@ def distributed_row_number(
             "_before",
         )
     )
+    # without keys there is one row per partition
+    if not keys or placed.select("_pid", *keys).distinct().count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     same = F.col("_pid") == F.col("_opid")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))

@@ -96,27 +96,34 @@ def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFr
     )
     rows = rows.where(F.col("file_name") != "")
     is_header = F.exists("cells", lambda c: F.lower(trim_all(c)) == "journal_name")
+    first = F.min_by("cells", F.struct("block_start", "row_in_block"))
+    names = F.transform("h", lambda c: F.lower(trim_all(c)))
+    # position of every column, worked out once per file
     header = (
         rows.where(is_header)
         .groupBy("file_path")
-        .agg(F.min_by("cells", F.struct("block_start", "row_in_block")).alias("h"))
-        .select("file_path", F.transform("h", lambda c: F.lower(trim_all(c))).alias("h"))
+        .agg(first.alias("h"))
+        .select("file_path", names.alias("h"))
+        .select("file_path", *[(F.array_position("h", F.lit(c)).cast("int") - 1).alias(f"at_{c}") for c in METRIC_COLUMNS])
     )
-    # cells in the standard order, with the surplus cell of a shifted row kept behind its category
     body = rows.where(~is_header).join(header, "file_path")
-    name_at = F.array_position("h", F.lit("journal_name"))
-    shifted = (
-        trim_all(F.get("cells", (name_at - 1).cast("int"))).isin(K.EDITION_CODES)
-        & (F.size("cells") > name_at)
+    name_at, cat_at = F.col("at_journal_name"), F.col("at_category")
+    body = body.withColumn(
+        "was_shifted", trim_all(F.get("cells", name_at)).isin(K.EDITION_CODES) & (F.size("cells") > name_at + 1)
     )
-    at = lambda c: F.array_position("h", F.lit(c))
-    cell = lambda c, off=0: F.when(at(c) > 0, F.get("cells", (at(c) - 1 + off).cast("int")))
-    fixed = {
-        c: F.when(shifted & (at(c) > at("category")), cell(c, 1))
-        .when(shifted & F.lit(c == "category"), F.concat_ws(", ", trim_all(cell(c)), trim_all(cell(c, 1))))
-        .otherwise(cell(c))
-        for c in METRIC_COLUMNS
-    }
+    shifted = F.col("was_shifted")
+
+    def cell(c: str) -> Column:
+        at = F.col(f"at_{c}")
+        if c == "category":
+            whole = F.concat_ws(", ", trim_all(F.get("cells", at)), trim_all(F.get("cells", at + 1)))
+            value = F.when(shifted, whole).otherwise(F.get("cells", at))
+        else:
+            value = F.get("cells", at + F.when(shifted & (at > cat_at), 1).otherwise(0))
+        # a column the file does not have is NULL
+        return F.when(at >= 0, value)
+
+    fixed = {c: cell(c) for c in METRIC_COLUMNS}
     part = lambda i: F.regexp_extract("file_name", K.METRIC_FILE_PATTERN, i)
     return body.select(
         "file_name",
@@ -127,7 +134,7 @@ def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFr
         "block_start",
         "row_in_block",
         *[trim_all(c).alias(n) for n, c in fixed.items()],
-        shifted.alias("was_shifted"),
+        "was_shifted",
     )
 
 

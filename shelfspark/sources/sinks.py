@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.jobs import next_version, retired_to_months
+from shelfspark.sources.readers import scan_file_inventory
 
 
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """Versions in the table, from its file names; no data file is opened."""
     try:
-        return spark.read.parquet(path).select(F.col("date_tag").cast("string").alias("date_tag"), F.col("version").cast("int").alias("version"))
+        files = scan_file_inventory(spark, path, "*.parquet")
     except AnalysisException:
         return None
+    part = lambda p: F.regexp_extract("path", p, 1)
+    return files.select(
+        part(r"/date_tag=(\d+)/").alias("date_tag"), part(r"/version=(\d+)/").try_cast("int").alias("version")
+    ).distinct()
 
 
 def sink_versioned(df: DataFrame, path: str, date_tag: str) -> int:
@@ -24,7 +30,7 @@ def sink_versioned(df: DataFrame, path: str, date_tag: str) -> int:
     """
     spark = df.sparkSession
     known = _versions(spark, path)
-    n = 1 if known is None else next_version(known.distinct(), date_tag).first()["next_version"]
+    n = 1 if known is None else next_version(known, date_tag).first()["next_version"]
     df.withColumn("date_tag", F.lit(date_tag)).withColumn("version", F.lit(n)).write.partitionBy("date_tag", "version").mode("append").parquet(path)
     return n
 
@@ -32,7 +38,7 @@ def sink_versioned(df: DataFrame, path: str, date_tag: str) -> int:
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """Newest version of a versioned table; partition pruning reads that version only."""
     newest = (
-        _versions(spark, path).distinct().agg(F.max(F.struct("date_tag", "version")).alias("m")).select("m.*").first()
+        _versions(spark, path).agg(F.max(F.struct("date_tag", "version")).alias("m")).select("m.*").first()
     )
     df = spark.read.parquet(path)
     return df.where((F.col("date_tag").cast("string") == newest["date_tag"]) & (F.col("version") == newest["version"]))
