@@ -53,30 +53,20 @@ def replace_all(c: Column | str, *steps: tuple[str, str]) -> Column:
     return out
 
 
+def _upper_first(word: Column) -> Column:
+    first = F.substring(word, 1, 1)
+    return F.when(first.between("a", "z"), F.concat(F.upper(first), F.substring(word, 2, 2**30))).otherwise(word)
+
+
 def title_case(c: Column | str) -> Column:
     """Lower-case, then upper-case the first ASCII letter of each ASCII word."""
-    pieces = F.split(F.lower(col(c)), r"(?<=[^a-z0-9_])")
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.when(
-                p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**30))
-            ).otherwise(p),
-        ),
-        "",
-    )
+    # a piece ends behind every character that cannot be part of an ASCII word
+    return F.array_join(F.transform(F.split(F.lower(col(c)), r"(?<=[^a-z0-9_])"), _upper_first), "")
 
 
 def capitalise_words(c: Column | str) -> Column:
     """Upper-case the first ASCII letter of each ASCII word, leave the rest as it is."""
-    pieces = F.split(col(c), r"(?<=[^A-Za-z0-9_])")
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**30))).otherwise(p),
-        ),
-        "",
-    )
+    return F.array_join(F.transform(F.split(col(c), r"(?<=[^A-Za-z0-9_])"), _upper_first), "")
 
 
 def strip_links_basic(c: Column | str) -> Column:

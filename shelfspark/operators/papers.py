@@ -21,7 +21,8 @@ def citations(papers: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
-_KEY_SHAPE = r"^\S+( & \S+| et al\.)?, (\d{4}|\?)$"
+_TAIL = r"((?:\S+ & )?\S+(?: et al\.)?, (?:\d{4}|\?))\z"
+_SHORTEST = len("A, ?")
 
 
 def _escape_pattern(c: Column) -> Column:
@@ -54,16 +55,20 @@ def link_mentions(
     )
     longest = cites.agg(F.coalesce(F.max(F.length("in_text")), F.lit(0))).scalar()
     with_max = bodies.select(F.col(doc), F.col(topic).alias("_t"), F.col(body)).withColumn("_max", longest)
-    # the last piece ends at the end of the body, not at a year, unless it has the shape of a key
-    ends = F.array_distinct(
-        F.transform(F.split(body, r"(?<=, (?:\d{4}|\?))"), lambda p: F.right(p, F.col("_max")))
+    # each piece ends behind a year (but the last, which the tail pattern drops); its tail
+    # holds every text of the shape "name, year", "name & name, year" or "name et al., year"
+    tails = F.array_distinct(
+        F.transform(
+            F.split(body, r"(?<=, (?:\d{4}|\?))"), lambda p: F.regexp_extract(F.right(p, F.col("_max")), _TAIL, 1)
+        )
     )
-    suffixes = lambda p: F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: F.substring(p, i, F.length(p))),
-        lambda s: s.rlike(_KEY_SHAPE),
+    # a citation may start inside a word, so all suffixes of the tail are probed
+    suffixes = lambda t: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(t) - _SHORTEST + 1, F.lit(1))),
+        lambda i: F.substring(t, i, F.length(t)),
     )
     found = (
-        with_max.select(doc, "_t", F.explode(F.array_distinct(F.flatten(F.transform(ends, suffixes)))).alias("key"))
+        with_max.select(doc, "_t", F.explode(F.array_distinct(F.flatten(F.transform(tails, suffixes)))).alias("key"))
         .join(known, ["_t", "key"])
         .groupBy(doc, "_t")
         .agg(

@@ -9,7 +9,7 @@ from shelfspark.operators import catalogue as cat
 from shelfspark.plans import catalogue as flows
 from shelfspark.plans import roles as r
 from shelfspark.plans.registry import query
-from shelfspark.plans.roles import table
+from shelfspark.plans.roles import table, texts
 from shelfspark.plans.scalars import canonical_sql
 
 _IDX = f"{r.METRICS}, {r.metric_index_sql()}"
@@ -335,7 +335,7 @@ def dedupe_catalogue(spark, sf):
     "SELECT CASE WHEN regexp_matches(upper(text[1]), '[A-Z]') THEN upper(text[1]) ELSE '#' END AS letter, count(*) AS n, (NOT regexp_matches(upper(text[1]), '[A-Z]'))::INT AS is_other FROM documents GROUP BY 1, 3",
 )
 def letter_groups(spark, sf):
-    return cat.letter_groups(table(spark, sf, "documents"), "text")
+    return cat.letter_groups(texts(spark, sf, "documents"), "text")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import jobs as jb
 from shelfspark.plans.catalogue_queries import _VERSIONS_SQL, versions
 from shelfspark.plans.registry import query
-from shelfspark.plans.roles import table
+from shelfspark.plans.roles import table, texts
 
 NOW = "2024-01-25 00:00:00"
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -152,7 +152,7 @@ def sort_jobs_recent(spark, sf):
 
 @query("sort_topics", "SELECT topic, row_number() OVER (ORDER BY topic) AS rank FROM (SELECT DISTINCT lang || '/' || source AS topic FROM documents)")
 def sort_topics(spark, sf):
-    topics = table(spark, sf, "documents").selectExpr("concat(lang, '/', source) AS topic").distinct()
+    topics = texts(spark, sf, "documents").selectExpr("concat(lang, '/', source) AS topic").distinct()
     return jb.sort_topics(topics)
 
 
@@ -176,7 +176,7 @@ _LINES = """concat('job_', conv_id) AS job_id, cast(conv_id * 1000 + turn * 2 AS
 
 def session_lines(spark, sf):
     """Turns as log lines between a start and a finish mark per conversation; every tenth never finishes."""
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     per = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     starts = per.selectExpr("concat('job_', conv_id) AS job_id", "conv_id * 1000 - 1 AS pos", "concat('====== job_', conv_id, ' started ======') AS line")
     finish = per.where("conv_id % 10 > 0").selectExpr(

@@ -10,7 +10,7 @@ from shelfspark.operators import papers as pp
 from shelfspark.plans import reports
 from shelfspark.plans import roles as r
 from shelfspark.plans.registry import query
-from shelfspark.plans.roles import sql_steps, sql_trim, table
+from shelfspark.plans.roles import sql_steps, sql_trim, table, texts
 from shelfspark.plans.scalars import _ABSTRACT, _IN_TEXT_SQL, _MD_STEPS, missing_sql, overview_docs, overview_rows
 
 _ONE_LINE = sql_trim("replace(text, chr(10), ' ')")
@@ -27,7 +27,7 @@ _TABLE_DOC = r"concat(text, '\n| Name | OpenAlex ID | Lang |\n| :-- | --- | --:
      UNION ALL SELECT doc_id, 1, 0, 'x/y' FROM documents UNION ALL SELECT doc_id, 1, 1, '1/' || doc_id FROM documents""",
 )
 def explode_md_tables(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_TABLE_DOC} AS body")
+    docs = texts(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_TABLE_DOC} AS body")
     return md.explode_md_tables(docs).select("doc", "table_no", "row_no", F.array_join("cells", "/").alias("cells"))
 
 
@@ -37,7 +37,7 @@ def explode_md_tables(spark, sf):
        || chr(10) || 'between' || chr(10) || '|only|' || chr(10) || chr(10) || '|x|y|' || chr(10) || '|1|' || doc_id || '|' || chr(10)) AS body FROM documents""",
 )
 def drop_md_column(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_TABLE_DOC} AS body")
+    docs = texts(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_TABLE_DOC} AS body")
     return docs.select("doc", F.md5(md.drop_md_column("body")).alias("body"))
 
 
@@ -56,7 +56,7 @@ _PLAIN_TEXT = sql_trim(
     SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY k) - 1)::INT AS pos, type, content FROM b""",
 )
 def explode_content_blocks(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_TABLE_DOC} AS body")
+    docs = texts(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_TABLE_DOC} AS body")
     rows = F.array_join(F.transform("rows", lambda c: F.array_join(c, "/")), ";")
     content = F.when(F.col("type") == "table", rows).otherwise(F.col("text"))
     return md.explode_content_blocks(docs).select("doc", "pos", "type", F.md5(content).alias("content"))
@@ -82,7 +82,7 @@ _RAW = r"concat('# raw\n\n| Journal | Year | Title | Authors | DOI | OpenAlex |
      UNION ALL SELECT doc_id, lang, 0, 'U', '', md5('n/a'), 1 FROM documents""",
 )
 def raw_papers_table(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_RAW} AS body")
+    docs = texts(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_RAW} AS body")
     rows = md.explode_raw_papers(docs)
     return rows.select(
         "doc",
@@ -121,7 +121,7 @@ def summary_docs(spark, sf):
     )
     head = F.concat(F.lit(chr(0xFEFF) + "# Summaries for "), F.col("lang"))
     body = F.concat(head, F.lit("\n\n---\n\n"), full, F.lit("\n---  \n"), other, F.lit("\n---\n\n"), na)
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("topic"), body.alias("body"))
+    return texts(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("topic"), body.alias("body"))
 
 
 _BLOCKS = f"""blocks AS (
@@ -190,7 +190,7 @@ _REPORT = r"concat(text, '\n## 一、 First ', source, ' \nlead\n**（一）Main
 
 
 def report_docs(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_REPORT} AS body")
+    return texts(spark, sf, "documents").selectExpr("doc_id AS doc", f"{_REPORT} AS body")
 
 
 _SECTIONS = f"""sections AS (SELECT doc_id AS doc, 0 AS pos, '' AS title, {sql_trim("text")} AS body FROM documents
@@ -234,7 +234,7 @@ _CAP = 2000
      SELECT doc_id AS doc, chunk_no, md5(string_agg(t, chr(10) ORDER BY part)) AS chunk FROM s GROUP BY 1, 2""",
 )
 def chunk_report(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr(
+    docs = texts(spark, sf, "documents").selectExpr(
         "doc_id AS doc",
         r"concat(text, '\n.\n## 一、 First\n', text, '\n## 二、Second\n', source, '\n## 三、 Third\n', text) AS body",
     )
@@ -253,7 +253,7 @@ def page_text_sql() -> str:
 
 @query("page_text", f"SELECT page_id, md5({page_text_sql()}) AS body FROM pages")
 def page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(md.page_text("html")).alias("body"))
+    return texts(spark, sf, "pages").select("page_id", F.md5(md.page_text("html")).alias("body"))
 
 
 # --- citations and joins -----------------------------------------------------------------------
@@ -292,7 +292,7 @@ _TOPIC = "CASE o_orderkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'AUTOMOBILE' WH
     FROM b LEFT JOIN cites c1 ON c1.topic = b.topic AND c1.in_text = k1 LEFT JOIN cites c2 ON c2.topic = b.topic AND c2.in_text = k2 LEFT JOIN cites c3 ON c3.topic = b.topic AND c3.in_text = k3""",
 )
 def link_mentions(spark, sf):
-    bodies = table(spark, sf, "orders").selectExpr("o_orderkey AS doc", f"{_TOPIC} AS topic", f"{_BODY} AS body")
+    bodies = texts(spark, sf, "orders").selectExpr("o_orderkey AS doc", f"{_TOPIC} AS topic", f"{_BODY} AS body")
     return pp.link_mentions(bodies, _cited(spark, sf)).select("doc", "body")
 
 
@@ -302,7 +302,7 @@ def link_mentions(spark, sf):
      SELECT doc_id AS doc, 0 AS pos, '' AS title, 'as ' || link || ' shows' AS body FROM s UNION ALL SELECT doc_id, 1, '一、Next', 'again ' || link FROM s""",
 )
 def report_flow(spark, sf):
-    reports_ = table(spark, sf, "documents").selectExpr(
+    reports_ = texts(spark, sf, "documents").selectExpr(
         "doc_id AS doc",
         "lang AS topic",
         r"concat('as Lee', doc_id, ', ', 2000 + doc_id % 25, ' shows\n## 一、Next\nagain (Lee', doc_id, ', ', 2000 + doc_id % 25, ')\n## 二、Empty\n') AS body",
@@ -317,7 +317,7 @@ def report_flow(spark, sf):
 )
 def paper_lookup(spark, sf):
     p = r.papers(spark, sf)
-    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("topic"))
+    docs = texts(spark, sf, "documents").select("doc_id", F.col("lang").alias("topic"))
     wanted = table(spark, sf, "labels").where("toxic = 1").join(docs, "doc_id").selectExpr("topic", "doc_id + 1 AS id")
     return pp.paper_lookup(p, wanted).select("topic", "id")
 
@@ -328,8 +328,8 @@ def paper_lookup(spark, sf):
      SELECT doc_id AS id, md5(CASE WHEN missing AND nullif(body, '') IS NOT NULL THEN body ELSE abstract END) AS abstract, (missing AND nullif(body, '') IS NOT NULL)::INT AS filled FROM f LEFT JOIN t USING (url)""",
 )
 def fill_from_fallback(spark, sf):
-    papers = table(spark, sf, "documents").selectExpr("doc_id AS id", "concat('p', doc_id) AS url", f"{_ABSTRACT} AS abstract")
-    pages = table(spark, sf, "pages").select(
+    papers = texts(spark, sf, "documents").selectExpr("doc_id AS id", "concat('p', doc_id) AS url", f"{_ABSTRACT} AS abstract")
+    pages = texts(spark, sf, "pages").select(
         F.concat(F.lit("p"), (F.col("page_id") * 3).cast("string")).alias("url"), md.page_text("html").alias("page_text")
     )
     out = pp.fill_from_fallback(papers, pages, abstract_missing_raw("abstract"))
@@ -353,7 +353,7 @@ def positional_join(spark, sf):
     f"SELECT lang AS topic, count(*) AS total, sum({missing_sql(_ABSTRACT, True)}::INT)::BIGINT AS missing_abstract FROM documents GROUP BY lang",
 )
 def raw_paper_stats(spark, sf):
-    return pp.raw_paper_stats(table(spark, sf, "documents").selectExpr("lang AS topic", f"{_ABSTRACT} AS abstract"))
+    return pp.raw_paper_stats(texts(spark, sf, "documents").selectExpr("lang AS topic", f"{_ABSTRACT} AS abstract"))
 
 
 @query(
@@ -375,7 +375,7 @@ def cluster_share(spark, sf):
     "SELECT value, count(*) AS n FROM (SELECT unnest(list_distinct([lang, source, 'mixed methods'])) AS value FROM documents) GROUP BY value ORDER BY n DESC, value LIMIT 10",
 )
 def facet_frequency(spark, sf):
-    p = table(spark, sf, "documents").selectExpr("concat(lang, '; ', source, ' ;; mixed methods;', lang) AS method")
+    p = texts(spark, sf, "documents").selectExpr("concat(lang, '; ', source, ' ;; mixed methods;', lang) AS method")
     return pp.facet_frequency(p, "method", top=10)
 
 
@@ -387,7 +387,7 @@ def facet_frequency(spark, sf):
 def qa_scope_counts(spark, sf):
     flags = (
         table(spark, sf, "labels")
-        .join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+        .join(texts(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
         .select(F.col("lang").alias("topic"), (F.col("quality") == 0).alias("out_of_scope"))
     )
     return pp.qa_scope_counts(flags, ["topic"]).withColumn("gate", F.col("gate").cast("int"))

@@ -7,13 +7,19 @@ expression for the twin queries. All roles keep every row of their table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from shelfspark.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are parsed as text; a single-split file is dealt out first."""
+    return spread(table(spark, sf_dir, name))
+
+
 # part type -> discipline spelling of a journal
 TYPE_CATEGORY = {
     "ECONOMY": "Economics",
@@ -159,7 +165,7 @@ _PAPER_COLS = [
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers: language is the topic, source the journal, the first line the title."""
-    return table(spark, sf_dir, "documents").selectExpr(*_PAPER_COLS, "trim(split_part(text, '\n', 1)) AS title")
+    return texts(spark, sf_dir, "documents").selectExpr(*_PAPER_COLS, "trim(split_part(text, '\n', 1)) AS title")
 
 
 PAPERS = f"""papers AS (SELECT {", ".join(_PAPER_COLS)}, trim(split_part(text, chr(10), 1)) AS title FROM documents)"""

@@ -9,7 +9,7 @@ from shelfspark.operators import markdown as md
 from shelfspark.operators.papers import merge_section_titles
 from shelfspark.plans import roles as r
 from shelfspark.plans.registry import query
-from shelfspark.plans.roles import WS, sql_squeeze, sql_steps, sql_trim, table
+from shelfspark.plans.roles import WS, sql_squeeze, sql_steps, sql_trim, table, texts
 
 # --- catalogue fields ---------------------------------------------------------------
 
@@ -145,7 +145,7 @@ def topic_slug(spark, sf):
 
 @query("name_norm", f"SELECT doc_id, md5({sql_squeeze('lower(text)')}) AS norm FROM documents")
 def name_norm(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.name_norm("text")).alias("norm"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.name_norm("text")).alias("norm"))
 
 
 @query(
@@ -166,7 +166,7 @@ def quartile_clean(spark, sf):
 
 @query("title_case", "SELECT doc_id, md5(" + _WORDS.format(x="lower(text)") + ") AS title FROM documents")
 def title_case(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.title_case("text")).alias("title"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.title_case("text")).alias("title"))
 
 
 @query(
@@ -174,7 +174,7 @@ def title_case(spark, sf):
     "SELECT doc_id, CASE WHEN regexp_matches(upper(text[1]), '[A-Z]') THEN upper(text[1]) ELSE '#' END AS letter FROM documents",
 )
 def index_letter(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fn.index_letter("text").alias("letter"))
+    return texts(spark, sf, "documents").select("doc_id", fn.index_letter("text").alias("letter"))
 
 
 # --- files -------------------------------------------------------------------------
@@ -221,7 +221,7 @@ _LINKED = "concat('[', source, '](http://e.org/', doc_id, ') doi: 10.1234/ab', d
     f"""SELECT doc_id, md5({sql_squeeze(sql_steps(sql_squeeze(_LINKED), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?i)https?://\S+", " "), (r"(?i)\b10\.\d{4,9}/\S+", " ")))}) AS core FROM documents""",
 )
 def strip_links_basic(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.strip_links_basic(F.expr(_LINKED))).alias("core"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.strip_links_basic(F.expr(_LINKED))).alias("core"))
 
 
 _STRICT_SQL = sql_squeeze(
@@ -241,7 +241,7 @@ def strict_sql(x: str) -> str:
 
 @query("strip_links_strict", f"SELECT doc_id, md5({strict_sql(_LINKED)}) AS core FROM documents")
 def strip_links_strict(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.strip_links_strict(F.expr(_LINKED))).alias("core"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.strip_links_strict(F.expr(_LINKED))).alias("core"))
 
 
 _MD_STEPS = (
@@ -255,7 +255,7 @@ _MD_STEPS = (
     f"""SELECT doc_id, md5({sql_steps(sql_trim(sql_steps(_LINKED, (r"\r?\n", " "))), (r"\[\]\(([^)]+)\)", r"\1 (\1)"), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1 (\2)"), *_MD_STEPS)}) AS plain FROM documents""",
 )
 def md_cell_plain(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.md_cell_plain(F.expr(_LINKED))).alias("plain"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.md_cell_plain(F.expr(_LINKED))).alias("plain"))
 
 
 _PARA = "concat('## Head ', doc_id, '\\n- one [', source, '](u', doc_id, ')\\n  * two\\n', text)"
@@ -267,7 +267,7 @@ _PARA_SQL = "('## Head ' || doc_id || chr(10) || '- one [' || source || '](u' ||
     f"""SELECT doc_id, md5({sql_trim(sql_steps(_PARA_SQL, (r"(?m)^#{1,6}\s+", ""), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1 (\2)"), *_MD_STEPS, (r"(?m)^\s*[-*+]\s+", "• ")))}) AS plain FROM documents""",
 )
 def md_paragraph_plain(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.md_paragraph_plain(F.expr(_PARA))).alias("plain"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.md_paragraph_plain(F.expr(_PARA))).alias("plain"))
 
 
 _SHOWN = "concat(CASE WHEN doc_id % 2 = 0 THEN concat('```md\\n', source, '\\n```\\n') ELSE '' END, '**（一）主题（2-4句话）** 内容）1、', text, '（ [(Lee, 2020)](#paper-', doc_id, ')）')"
@@ -278,7 +278,7 @@ _SHOWN = "concat(CASE WHEN doc_id % 2 = 0 THEN concat('```md\\n', source, '\\n``
     """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || chr(10) ELSE '' END || '**（一）主题** 内容）' || chr(10) || chr(10) || '1、' || text || '[(Lee, 2020)](#paper-' || doc_id || ')') AS shown FROM documents""",
 )
 def md_display_clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fn.md_display_clean(F.expr(_SHOWN))).alias("shown"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(fn.md_display_clean(F.expr(_SHOWN))).alias("shown"))
 
 
 _FENCED = "concat(source, CASE WHEN doc_id % 3 > 0 THEN concat('\\n```text\\n', text, CASE WHEN doc_id % 3 = 1 THEN '\\n``` tail' ELSE '' END) ELSE '' END)"
@@ -290,7 +290,7 @@ _FENCED = "concat(source, CASE WHEN doc_id % 3 > 0 THEN concat('\\n```text\\n',
       CASE WHEN doc_id % 3 = 1 THEN 'tail' ELSE '' END AS rest FROM documents""",
 )
 def summary_fence(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", fn.summary_fence(F.expr(_FENCED)).alias("f"))
+    docs = texts(spark, sf, "documents").select("doc_id", fn.summary_fence(F.expr(_FENCED)).alias("f"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return docs.select(
         "doc_id",
@@ -360,7 +360,7 @@ def ref_sociological(spark, sf):
     ref = fn.ref_sociological(
         authors=F.expr(_SOC_AUTHORS), year=F.expr("2000 + doc_id % 25"), title=F.split_part("text", F.lit("\n"), F.lit(1)), journal="source", doi=blank, openalex=blank
     )
-    return table(spark, sf, "documents").select("doc_id", F.md5(ref).alias("ref"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(ref).alias("ref"))
 
 
 # --- logs ----------------------------------------------------------------------------
@@ -379,7 +379,7 @@ _LOG = "concat(text, CASE conv_id % 3 WHEN 0 THEN concat('\\nx [FAILURE_REASON]
     """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'turn ' || turn ELSE '综述生成未完成，可能因接口超时或服务异常。建议稍后重试，或查看运行日志了解详情。' END AS reason FROM conversations""",
 )
 def failure_reason(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", fn.failure_reason(F.expr(_LOG)).alias("reason"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", fn.failure_reason(F.expr(_LOG)).alias("reason"))
 
 
 @query(
@@ -387,7 +387,7 @@ def failure_reason(spark, sf):
     f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split({sql_trim('text')}, chr(10))) END AS n FROM documents",
 )
 def line_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fn.line_count("text").cast("bigint").alias("n"))
+    return texts(spark, sf, "documents").select("doc_id", fn.line_count("text").cast("bigint").alias("n"))
 
 
 _QA = "concat('# QA\\n', text, CASE WHEN doc_id % 4 > 0 THEN concat('\\n- total: ', n_chars) ELSE '' END, '\\n- out_of_scope_candidates:  ', doc_id * 5, '\\n')"
@@ -398,7 +398,7 @@ _QA = "concat('# QA\\n', text, CASE WHEN doc_id % 4 > 0 THEN concat('\\n- total:
     """SELECT doc_id, total, doc_id * 5 AS out_of_scope, greatest(0, total - doc_id * 5) AS in_scope FROM (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN n_chars ELSE 0 END AS total FROM documents)""",
 )
 def qa_counts_parse(spark, sf):
-    q = table(spark, sf, "documents").select("doc_id", fn.qa_counts_parse(F.expr(_QA)).alias("q"))
+    q = texts(spark, sf, "documents").select("doc_id", fn.qa_counts_parse(F.expr(_QA)).alias("q"))
     return q.select(
         "doc_id",
         *[F.col(f"q.{c}").cast("bigint").alias(c) for c in ("total", "out_of_scope", "in_scope")],
@@ -410,7 +410,7 @@ def qa_counts_parse(spark, sf):
 
 def overview_docs(spark, sf):
     """One overview table of two themes and two sections per order."""
-    return table(spark, sf, "orders").selectExpr(
+    return texts(spark, sf, "orders").selectExpr(
         "o_orderkey AS doc",
         "concat('### 主题总览\\n\\n| 序号 | 主题 |\\n| --- | --- |\\n| 1 | ', o_orderpriority, ' |\\n| 2 | ', o_orderstatus, ' |\\n| x | other |\\n') AS intro",
         "concat('intro ', o_orderkey, '\\n## 一、 Customers ', o_custkey, '\\nfirst body\\n## 二、Status\\n', o_orderstatus, '\\n') AS body",
@@ -458,14 +458,14 @@ def missing_sql(x: str, raw: bool) -> str:
 
 @query("abstract_missing_raw", f"SELECT doc_id, {missing_sql(_ABSTRACT, True)}::INT AS missing FROM documents")
 def abstract_missing_raw(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", fn.abstract_missing_raw(F.expr(_ABSTRACT)).cast("int").alias("missing")
     )
 
 
 @query("abstract_missing_summary", f"SELECT doc_id, {missing_sql(_ABSTRACT, False)}::INT AS missing FROM documents")
 def abstract_missing_summary(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", fn.abstract_missing_summary(F.expr(_ABSTRACT)).cast("int").alias("missing")
     )
 
@@ -476,7 +476,7 @@ def abstract_missing_summary(spark, sf):
 )
 def manual_flag(spark, sf):
     block = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(text, ' [Manual]\\n') ELSE text END")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", fn.manual_flag(block).cast("int").alias("is_manual"), F.md5(fn.drop_manual_mark(block)).alias("clean")
     )
 
@@ -489,7 +489,7 @@ _SLUG = "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN repeat('a', c
     f"SELECT doc_id, (regexp_matches(s, '^[a-z0-9_/-]+$') AND length(s) BETWEEN 1 AND 120)::INT AS valid FROM (SELECT doc_id, {_SLUG} AS s FROM documents)",
 )
 def topic_valid(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fn.topic_valid(F.expr(_SLUG)).cast("int").alias("valid"))
+    return texts(spark, sf, "documents").select("doc_id", fn.topic_valid(F.expr(_SLUG)).cast("int").alias("valid"))
 
 
 @query(
@@ -498,7 +498,7 @@ def topic_valid(spark, sf):
 )
 def term_non_english(spark, sf):
     t = F.expr("replace(replace(text, '.', ''), ',', '')")
-    return table(spark, sf, "documents").select("doc_id", fn.term_non_english(t).cast("int").alias("flagged"))
+    return texts(spark, sf, "documents").select("doc_id", fn.term_non_english(t).cast("int").alias("flagged"))
 
 
 __all__ = ["WS", "canonical_sql", "missing_sql", "overview_docs", "overview_rows"]

@@ -9,7 +9,7 @@ from shelfspark.operators import search as se
 from shelfspark.plans import roles as r
 from shelfspark.plans.job_queries import _STAGE, stage_files
 from shelfspark.plans.registry import query
-from shelfspark.plans.roles import sql_squeeze, table
+from shelfspark.plans.roles import sql_squeeze, table, texts
 
 _KEYWORDS = "concat(lang, ' ', source, ' ', right(text, 200)) AS keywords"
 _KEYWORDS_SQL = "lang || ' ' || source || ' ' || right(text, 200) AS keywords"
@@ -29,7 +29,7 @@ def _strict(t: str) -> str:
 
 
 def searchable(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
+    return texts(spark, sf, "documents").selectExpr(
         "doc_id + 1 AS id",
         "lang",
         "source AS source_id",
@@ -88,7 +88,7 @@ _OA = "CASE doc_id % 4 WHEN 2 THEN concat('W', doc_id DIV 12) ELSE '' END"
      SELECT row_no, md5(abstract) AS abstract FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_no) AS rn FROM d) WHERE rn = 1""",
 )
 def clean_corpus(spark, sf):
-    raw = table(spark, sf, "documents").selectExpr(
+    raw = texts(spark, sf, "documents").selectExpr(
         "doc_id AS row_no", "text AS title", "2000 + doc_id % 2 AS year", "text AS abstract", f"{_DOI} AS doi", f"{_OA} AS openalex"
     )
     return se.clean_corpus(raw).select("row_no", F.md5("abstract").alias("abstract"))
@@ -117,7 +117,7 @@ LEMMAS = {"erst": "er", "erstly": "er", "heron": "heron"}
 
 
 def tokenised(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "source", "text")
     return docs.withColumn("tokens", cl.tokens("text", STOP, {"erstly": "erst", "thenter": "then"}, ["of the"])).drop("text")
 
 

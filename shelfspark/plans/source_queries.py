@@ -11,7 +11,7 @@ from shelfspark.plans import roles as r
 from shelfspark.plans.catalogue_queries import _DETAIL, _blank, _blank_sql
 from shelfspark.plans.paper_queries import _BLOCKS, summary_docs
 from shelfspark.plans.registry import query
-from shelfspark.plans.roles import table
+from shelfspark.plans.roles import table, texts
 from shelfspark.session import scratch_path
 
 
@@ -158,7 +158,7 @@ def scan_summary_blocks(spark, sf):
 @query("scan_file_inventory", "SELECT lang AS topic, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY lang")
 def scan_file_inventory(spark, sf):
     path = scratch_path(spark, "inventory")
-    table(spark, sf, "documents").selectExpr("lang AS topic", "text").write.partitionBy("topic").text(path)
+    texts(spark, sf, "documents").selectExpr("lang AS topic", "text").write.partitionBy("topic").text(path)
     files = src.scan_file_inventory(spark, path, "*.txt")
     return files.groupBy(F.regexp_extract("path", r"topic=([^/]+)/", 1).alias("topic")).agg(F.sum("size").alias("size"))
 
@@ -178,7 +178,7 @@ def scan_topic_index(spark, sf):
 )
 def scan_job_logs(spark, sf):
     path = scratch_path(spark, "logs")
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     lines = turns.selectExpr("concat('job_', conv_id) AS job_id", "turn", "text")
     live = lines.repartition("job_id").sortWithinPartitions("job_id", "turn").drop("turn")
     live.write.partitionBy("job_id").text(path)
