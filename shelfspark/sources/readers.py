@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,42 +75,83 @@ def scan_journal_index(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("title") != "")
 
 
+# one short row per file may be broadcast up to this many files, some 20 MB
+BROADCAST_FILES = 50_000
+FILE_SALTS = 64
+# headers read one by one up to this many metric files, in one pass over the data beyond
+SINGLE_HEADERS = 1_000
+
+
+def _join_by_file(rows: DataFrame, per_file: DataFrame, n_files: int) -> DataFrame:
+    """Rows with the facts of their file; one file may hold most of the rows."""
+    if n_files <= BROADCAST_FILES:
+        return rows.join(F.broadcast(per_file), "file_path")
+    salted = per_file.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row_in_block"), F.lit(FILE_SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(salted, ["file_path", "_salt"]).drop("_salt")
+
+
+def _metric_headers(spark: SparkSession, files: DataFrame, raw: DataFrame, is_header: Column) -> DataFrame:
+    """Lower-case header cells ``h`` of every metric file, by ``file_name``."""
+    samples = files.groupBy("file_name").agg(F.min("file_path").alias("p"))
+    chosen = samples.limit(SINGLE_HEADERS + 1).collect()
+    if len(chosen) <= SINGLE_HEADERS:
+        # Spark reads only the first line here; the part files of one folder share it
+        columns = lambda r: [c.strip().lower() for c in spark.read.csv(r["p"], header=True).columns]
+        with ThreadPoolExecutor(8) as pool:
+            heads = list(zip([r["file_name"] for r in chosen], pool.map(columns, chosen)))
+        return spark.createDataFrame(heads, "file_name string, h array<string>")
+    first = F.min_by("cells", F.struct("file_path", "block_start", "row_in_block"))
+    return (
+        raw.where(is_header)
+        .join(files, "file_path")
+        .groupBy("file_name")
+        .agg(F.transform(first, lambda c: F.lower(trim_all(c))).alias("h"))
+    )
+
+
 def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFrame:
     """Metric CSVs to named columns, with discipline and date from each file name.
 
     A metric file may be one CSV or a folder of that name with part files. Files may
-    order their columns differently: the header line of every file is one row of a
-    small frame, joined back by file. Rows shifted by an unquoted comma are repaired.
-    ``part_no``, ``block_start`` and ``row_in_block`` order the rows of a file.
+    order their columns differently: the facts of each file (its name parts, the
+    position of every column) are one row of a small frame, joined back by file. Rows
+    shifted by an unquoted comma are repaired. ``part_no``, ``block_start`` and
+    ``row_in_block`` order the rows of a file.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    path_col = F.col("_metadata.file_path")
-    # a short row is padded with NULL; the padding is cut off again to get the real width
-    cells = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(width)])
+    columns = [f"c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-    rows = reader.csv(path, schema=schema, quote='"', escape='"').select(
-        path_col.alias("file_path"),
-        F.regexp_extract(path_col, METRIC_SEGMENT, 1).alias("file_name"),
-        F.coalesce(F.regexp_extract(path_col, r"/part-(\d+)[^/]*$", 1).try_cast("int"), F.lit(0)).alias("part_no"),
+    # a short row is padded with NULL, so the last filled cell gives its real width
+    raw = reader.csv(path, schema=schema, quote='"', escape='"').select(
+        F.col("_metadata.file_path").alias("file_path"),
         *file_position(),
-        F.slice(cells, 1, F.greatest(*[F.when(F.col(f"c{i}").isNotNull(), i + 1).otherwise(1) for i in range(width)])).alias("cells"),
+        F.greatest(*[F.when(F.col(c).isNotNull(), i + 1).otherwise(1) for i, c in enumerate(columns)]).alias("n_cells"),
+        F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]).alias("cells"),
+    )
+    # the cheap test on the joined line runs first and is nearly always false
+    is_header = F.contains(F.lower(F.array_join("cells", ",")), F.lit("journal_name")) & F.exists(
+        "cells", lambda c: F.lower(trim_all(c)) == "journal_name"
     )
-    rows = rows.where(F.col("file_name") != "")
-    is_header = F.exists("cells", lambda c: F.lower(trim_all(c)) == "journal_name")
-    first = F.min_by("cells", F.struct("block_start", "row_in_block"))
-    names = F.transform("h", lambda c: F.lower(trim_all(c)))
-    # position of every column, worked out once per file
-    header = (
-        rows.where(is_header)
-        .groupBy("file_path")
-        .agg(first.alias("h"))
-        .select("file_path", names.alias("h"))
-        .select("file_path", *[(F.array_position("h", F.lit(c)).cast("int") - 1).alias(f"at_{c}") for c in METRIC_COLUMNS])
+    files = (
+        scan_file_inventory(spark, path, "*.csv")
+        .select(F.col("uri").alias("file_path"), F.regexp_extract("uri", METRIC_SEGMENT, 1).alias("file_name"))
+        .where(F.col("file_name") != "")
     )
-    body = rows.where(~is_header).join(header, "file_path")
+    part = lambda i: F.regexp_extract("file_name", K.METRIC_FILE_PATTERN, i)
+    per_file = files.join(_metric_headers(spark, files, raw, is_header), "file_name").select(
+        "file_path",
+        "file_name",
+        part(2).alias("slug"),
+        F.translate(part(2), "_", " ").alias("file_discipline"),
+        part(3).alias("file_date"),
+        F.coalesce(F.regexp_extract("file_path", r"/part-(\d+)[^/]*$", 1).try_cast("int"), F.lit(0)).alias("part_no"),
+        *[(F.array_position("h", F.lit(c)).cast("int") - 1).alias(f"at_{c}") for c in METRIC_COLUMNS],
+    )
+    body = _join_by_file(raw.where(~is_header), per_file, files.count())
     name_at, cat_at = F.col("at_journal_name"), F.col("at_category")
     body = body.withColumn(
-        "was_shifted", trim_all(F.get("cells", name_at)).isin(K.EDITION_CODES) & (F.size("cells") > name_at + 1)
+        "was_shifted", trim_all(F.get("cells", name_at)).isin(K.EDITION_CODES) & (F.col("n_cells") > name_at + 1)
     )
     shifted = F.col("was_shifted")
 
@@ -124,12 +166,11 @@ def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFr
         return F.when(at >= 0, value)
 
     fixed = {c: cell(c) for c in METRIC_COLUMNS}
-    part = lambda i: F.regexp_extract("file_name", K.METRIC_FILE_PATTERN, i)
     return body.select(
         "file_name",
-        part(2).alias("slug"),
-        F.translate(part(2), "_", " ").alias("file_discipline"),
-        part(3).alias("file_date"),
+        "slug",
+        "file_discipline",
+        "file_date",
         "part_no",
         "block_start",
         "row_in_block",
@@ -213,7 +254,10 @@ def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ",
 
 
 def scan_file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files below ``path``: ``path, name, size, mtime``. The content column is never read."""
+    """Files below ``path``: ``path, name, size, mtime`` and the ``uri`` other readers report.
+
+    The content column is never read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -222,6 +266,7 @@ def scan_file_inventory(spark: SparkSession, path: str, glob: str | None = None)
         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
+        F.col("_metadata.file_path").alias("uri"),
     )
 
 
