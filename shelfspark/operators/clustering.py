@@ -54,7 +54,9 @@ def token_features(
     docs: DataFrame, token_col: str = "tokens", vocab: int = 1 << 14, min_df: float = 2.0, max_df: float = MAX_DF
 ) -> tuple[DataFrame, list[str]]:
     """TF-IDF vectors in ``features`` and the vocabulary behind them."""
-    cv = CountVectorizer(inputCol=token_col, outputCol="_tf", vocabSize=vocab, minDF=min_df, maxDF=max_df).fit(docs)
+    counter = CountVectorizer(inputCol=token_col, outputCol="_tf", vocabSize=vocab, minDF=min_df)
+    # from 1.0 on the estimator would read a number of documents
+    cv = (counter.setMaxDF(max_df) if max_df < 1 else counter).fit(docs)
     counted = cv.transform(docs)
     idf = IDF(inputCol="_tf", outputCol="features").fit(counted)
     return idf.transform(counted).drop("_tf"), cv.vocabulary

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -204,23 +204,29 @@ def scan_registry_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("file_name"), *file_position())
 
 
-def _yaml_items(batches: Iterator) -> Iterator:
-    """One YAML list item per row to its registry fields."""
-    import pandas as pd
-    import yaml
+def _yaml_items(indent: str) -> Callable[[Iterator], Iterator]:
+    """Batches of one YAML list item per row to registry fields."""
 
     def fields(item: str) -> dict:
-        record = yaml.safe_load("- " + item) or [{}]
+        import yaml
+
+        # the item keeps the indent of its file, so that its later lines fit
+        record = yaml.safe_load(f"{indent}- {item}")
         got = record[0] if isinstance(record, list) and isinstance(record[0], dict) else {}
         cats = got.get("source_categories")
         row = {f: None if got.get(f) is None else str(got[f]) for f in REGISTRY_FIELDS}
         return {**row, "source_categories": [str(c) for c in cats] if isinstance(cats, list) else None}
 
-    for pdf in batches:
-        parsed = pd.DataFrame([fields(v) for v in pdf["value"]], columns=[*REGISTRY_FIELDS, "source_categories"])
-        for c in ("file_path", "file_name", "block_start", "row_in_block"):
-            parsed[c] = pdf[c].to_numpy()
-        yield parsed
+    def load(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            parsed = pd.DataFrame([fields(v) for v in pdf["value"]], columns=[*REGISTRY_FIELDS, "source_categories"])
+            for c in ("file_path", "file_name", "block_start", "row_in_block"):
+                parsed[c] = pdf[c].to_numpy()
+            yield parsed
+
+    return load
 
 
 def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ", indent: str = "  ") -> DataFrame:
@@ -250,7 +256,7 @@ def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ",
             T.StructField("row_in_block", T.LongType()),
         ]
     )
-    return rows.mapInPandas(_yaml_items, schema)
+    return rows.mapInPandas(_yaml_items(indent), schema)
 
 
 def scan_file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
