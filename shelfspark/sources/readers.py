@@ -351,7 +351,8 @@ def scan_topic_index(spark: SparkSession, path: str, glob: str = "index.json") -
     return topics.join(labels, "topic", "left").withColumn("label", F.coalesce("label", "topic"))
 
 
-JOB_FILE = r"(job_[A-Za-z0-9_]+)(?:\.log|\.meta\.json)?(?:/[^/]*)?$"
+# a file named after its job, or any file in the partition of its job
+JOB_FILE = r"/(?:job_id=)?(job_[A-Za-z0-9_]+)(?:\.log|\.meta\.json)$|/job_id=(job_[A-Za-z0-9_]+)/[^/]+$"
 
 
 def scan_job_logs(
@@ -363,7 +364,7 @@ def scan_job_logs(
     """
     reader = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     p = F.col("_metadata.file_path")
-    job = F.regexp_extract(p, JOB_FILE, 1)
+    job = F.concat(F.regexp_extract(p, JOB_FILE, 1), F.regexp_extract(p, JOB_FILE, 2))
     prio = F.struct(F.contains(p, F.lit("/archive/")).cast("int").alias("a"), p.alias("p"))
     logs = (
         reader(log_glob)
