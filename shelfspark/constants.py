@@ -163,3 +163,38 @@ K_DEFAULT, K_MIN, K_MAX = 6, 2, 20
 ARCHIVE_DAYS_DEFAULT, ARCHIVE_DAYS_MIN, ARCHIVE_DAYS_MAX = 3, 1, 365
 QA_GATE_TOTAL = 100
 VERSION_MATCH_MILLIS = 2000
+
+# --- fixed values: patterns ----------------------------------------------------------
+
+# Java's \s is ASCII only; documents also hold NBSP, ideographic space and BOM
+SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+NON_SPACE = r"[^\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+LINK_ANY = r"\[([^\]]*)\]\([^)]*\)"
+LINK_FULL = r"\[([^\]]+)\]\(([^)]+)\)"
+LINK_NO_TEXT = r"\[\]\(([^)]+)\)"
+URL = rf"(?i)https?://{NON_SPACE}+"
+DOI = rf"(?i)\b10\.\d{{4,9}}/{NON_SPACE}+"
+ID_PAIR = rf"(?i)\b(?:doi|openalex|link|url){SPACE}*[:：]{SPACE}*{NON_SPACE}+"
+ID_TOKEN = rf"(?i)\b(?:ISSN|ISBN|PMID){SPACE}*{NON_SPACE}*"
+
+EMPHASIS = r"[*_]{1,3}([^*_]+)[*_]{1,3}"
+INLINE_CODE = r"`([^`]+)`"
+HEADING_MARK = r"(?m)^#{1,6}\s+"
+BULLET_MARK = r"(?m)^\s*[-*+]\s+"
+NUMBER_AFTER_PAREN = r"）\s*(\d+)、"
+NUMBER_AFTER_BREAK = r"(\*\*|）)\n(\d+)、"
+PARENS_ROUND_LINK = r"[（(]\s*(\[[^\]]+\]\(#paper-\d+\))\s*[）)]"
+
+AUTHOR_SEPARATOR = rf"(?i)[,，、;；]|{SPACE}+and{SPACE}+|{SPACE}*&{SPACE}*"
+ET_AL = rf"(?i){SPACE}+et{SPACE}+al\.?"
+LATIN_AUTHORS = r"^[\x00-\x7F\x{C0}-\x{24F}\x{A0}\x{3000}]+$"
+
+LIST_PREFIX = r"^journals_ssci_"
+LIST_SUFFIX = r"(?i)_q1$"
+QUARTILE_SUFFIX = r"(?i)\s+Q[1-4]$"
+WOMEN_STUDIES = r"(?i)^(.*?)women'?s?\s*studies"
+TOPIC = r"^[a-z0-9_/-]+$"
+NON_ENGLISH = r"[^a-zA-Z0-9\s_\-]"
+FAILURE_MARK = r"\[FAILURE_REASON\]([^\n]*)"
+MANUAL_TAIL = r"(?i)\s*\[MANUAL\]\s*$"

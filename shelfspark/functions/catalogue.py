@@ -60,7 +60,7 @@ def discipline_canonical(c: Column | str) -> Column:
 
 
 def strip_quartile_suffix(c: Column | str) -> Column:
-    return discipline_canonical(F.regexp_replace(trim_all(c), r"(?i)\s+Q[1-4]$", ""))
+    return discipline_canonical(F.regexp_replace(trim_all(c), K.QUARTILE_SUFFIX, ""))
 
 
 def discipline_compare_key(c: Column | str) -> Column:
@@ -69,7 +69,7 @@ def discipline_compare_key(c: Column | str) -> Column:
             c,
             (f"(?i){SPACE}+and{SPACE}+", " "),
             (SPACE + "+", " "),
-            (r"(?i)^(.*?)women'?s?\s*studies", "$1Women Studies"),
+            (K.WOMEN_STUDIES, "$1Women Studies"),
         )
     )
 
@@ -89,7 +89,7 @@ def discipline_slug(c: Column | str, default: str = K.FALLBACK_DISCIPLINE_SLUG)
 def slug_to_display(c: Column | str) -> Column:
     """List-file prefix or slug to a display name."""
     return trim_all(
-        capitalise_words(replace_all(c, (r"^journals_ssci_", ""), (r"(?i)_q1$", ""), (r"_", " ")))
+        capitalise_words(replace_all(c, (K.LIST_PREFIX, ""), (K.LIST_SUFFIX, ""), (r"_", " ")))
     )
 
 
@@ -123,7 +123,7 @@ def index_letter(c: Column | str) -> Column:
 
 def category_match_key(c: Column) -> Column:
     """Category in the form compared with a discipline: lower case, no quartile suffix."""
-    return trim_all(F.regexp_replace(F.lower(trim_all(c)), r"\s+q[1-4]$", ""))
+    return trim_all(F.regexp_replace(F.lower(trim_all(c)), K.QUARTILE_SUFFIX, ""))
 
 
 def discipline_match_set(discipline: str) -> list[str]:

@@ -23,8 +23,8 @@ def surnames(authors: Column | str) -> Column:
     raw = trim_all(F.coalesce(col(authors), F.lit("")))
     segments = F.filter(
         F.transform(
-            F.split(raw, f"(?i)[,，、;；]|{SPACE}+and{SPACE}+|{SPACE}*&{SPACE}*"),
-            lambda s: trim_all(F.regexp_replace(s, rf"(?i){SPACE}+et{SPACE}+al\.?", " ")),
+            F.split(raw, K.AUTHOR_SEPARATOR),
+            lambda s: trim_all(F.regexp_replace(s, K.ET_AL, " ")),
         ),
         lambda s: s != "",
     )
@@ -153,7 +153,7 @@ def sociological_authors(authors: Column) -> Column:
 
 def ref_sociological(**names: Column | str) -> Column:
     p = _fields(**names)
-    latin = p["authors"].rlike("[a-zA-Z]") & p["authors"].rlike(r"^[\x00-\x7F\x{C0}-\x{24F}\x{A0}\x{3000}]+$")
+    latin = p["authors"].rlike("[a-zA-Z]") & p["authors"].rlike(K.LATIN_AUTHORS)
     western = F.concat(
         sociological_authors(p["authors"]),
         F.lit(". "),

@@ -65,7 +65,7 @@ def beijing_minute(ts: Column | str) -> Column:
 
 def failure_reason(log: Column | str) -> Column:
     """Text after the first failure mark, or the default message."""
-    found = F.regexp_extract(col(log), r"\[FAILURE_REASON\]([^\n]*)", 1)
+    found = F.regexp_extract(col(log), K.FAILURE_MARK, 1)
     return F.coalesce(blank_to_null(found), F.lit(K.FAILURE_DEFAULT))
 
 

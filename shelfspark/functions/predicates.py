@@ -43,12 +43,12 @@ def manual_flag(block: Column | str) -> Column:
 
 
 def drop_manual_mark(c: Column | str) -> Column:
-    return trim_all(F.regexp_replace(col(c), r"(?i)\s*\[MANUAL\]\s*$", ""))
+    return trim_all(F.regexp_replace(col(c), K.MANUAL_TAIL, ""))
 
 
 def topic_valid(c: Column | str) -> Column:
-    return F.coalesce(col(c).rlike("^[a-z0-9_/-]+$") & F.length(col(c)).between(1, 120), F.lit(False))
+    return F.coalesce(col(c).rlike(K.TOPIC) & F.length(col(c)).between(1, 120), F.lit(False))
 
 
 def term_non_english(c: Column | str) -> Column:
-    return (trim_all(c) != "") & col(c).rlike(r"[^a-zA-Z0-9\s_\-]")
+    return (trim_all(c) != "") & col(c).rlike(K.NON_ENGLISH)

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 
-# Java's \s is ASCII only; documents here also hold NBSP, ideographic space and BOM.
-SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-NON_SPACE = r"[^" + SPACE[1:]
+SPACE = K.SPACE
 _SPACE_CHARS = " \t\n\x0b\f\r" + "".join(
     map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
 )
@@ -74,9 +72,9 @@ def strip_links_basic(c: Column | str) -> Column:
     return squeeze(
         replace_all(
             squeeze(c),
-            (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-            ("(?i)https?://" + NON_SPACE + "+", " "),
-            (r"(?i)\b10\.\d{4,9}/" + NON_SPACE + "+", " "),
+            (K.LINK_ANY, "$1"),
+            (K.URL, " "),
+            (K.DOI, " "),
         )
     )
 
@@ -86,16 +84,16 @@ def strip_links_strict(c: Column | str) -> Column:
     return squeeze(
         replace_all(
             c,
-            ("(?i)https?://" + NON_SPACE + "+", " "),
-            (r"(?i)\b10\.\d{4,9}/" + NON_SPACE + "+", " "),
-            (rf"(?i)\b(?:doi|openalex|link|url){SPACE}*[:：]{SPACE}*{NON_SPACE}+", " "),
-            (rf"(?i)\b(?:ISSN|ISBN|PMID){SPACE}*{NON_SPACE}*", " "),
+            (K.URL, " "),
+            (K.DOI, " "),
+            (K.ID_PAIR, " "),
+            (K.ID_TOKEN, " "),
         )
     )
 
 
-_EMPHASIS = (r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1")
-_CODE = (r"`([^`]+)`", "$1")
+_EMPHASIS = (K.EMPHASIS, "$1")
+_CODE = (K.INLINE_CODE, "$1")
 
 
 def md_cell_plain(c: Column | str) -> Column:
@@ -103,8 +101,8 @@ def md_cell_plain(c: Column | str) -> Column:
     one_line = trim_all(F.regexp_replace(col(c), r"\r?\n", " "))
     return replace_all(
         one_line,
-        (r"\[\]\(([^)]+)\)", "$1 ($1)"),
-        (r"\[([^\]]+)\]\(([^)]+)\)", "$1 ($2)"),
+        (K.LINK_NO_TEXT, "$1 ($1)"),
+        (K.LINK_FULL, "$1 ($2)"),
         _EMPHASIS,
         _CODE,
     )
@@ -115,11 +113,11 @@ def md_paragraph_plain(c: Column | str) -> Column:
     return trim_all(
         replace_all(
             c,
-            (r"(?m)^#{1,6}\s+", ""),
-            (r"\[([^\]]+)\]\(([^)]+)\)", "$1 ($2)"),
+            (K.HEADING_MARK, ""),
+            (K.LINK_FULL, "$1 ($2)"),
             _EMPHASIS,
             _CODE,
-            (r"(?m)^\s*[-*+]\s+", "• "),
+            (K.BULLET_MARK, "• "),
         )
     )
 
@@ -151,9 +149,9 @@ def md_display_clean(c: Column | str) -> Column:
     return replace_all(
         out,
         (K.HEADING_HINT_PATTERN, ""),
-        (r"）\s*(\d+)、", "）\n\n$1、"),
-        (r"(\*\*|）)\n(\d+)、", "$1\n\n$2、"),
-        (r"[（(]\s*(\[[^\]]+\]\(#paper-\d+\))\s*[）)]", "$1"),
+        (K.NUMBER_AFTER_PAREN, "）\n\n$1、"),
+        (K.NUMBER_AFTER_BREAK, "$1\n\n$2、"),
+        (K.PARENS_ROUND_LINK, "$1"),
     )
 
 

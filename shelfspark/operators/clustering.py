@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from shelfspark import constants as K
 from shelfspark.functions.text import col, lookup
+from shelfspark.session import written
 
 MAX_DF, TIGHT_MAX_DF = 0.5, 0.35
 
@@ -145,10 +146,11 @@ def centroid_distance(points: DataFrame, cluster: str = "cluster", vector: str =
     """Euclidean distance of every point to the mean of its cluster.
 
     Means are vector sums with map-side combine, one buffer per cluster and task, and
-    the centroid table has one row per cluster.
+    the written centroid table has one row per cluster, so the points are not shuffled
+    for it.
     """
     as_vector = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
-    centre = points.groupBy(cluster).agg(vector_to_array(Summarizer.mean(as_vector)).alias("_c"))
+    centre = written(points.groupBy(cluster).agg(vector_to_array(Summarizer.mean(as_vector)).alias("_c")), "centroids")
     sq = F.aggregate(
         F.zip_with(vector, "_c", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)),
         F.lit(0.0),
@@ -159,8 +161,8 @@ def centroid_distance(points: DataFrame, cluster: str = "cluster", vector: str =
 
 def out_of_scope_by_distance(distances: DataFrame, cluster: str = "cluster", sigmas: float = 2.0) -> DataFrame:
     """Flag points farther from their centroid than mean + ``sigmas`` deviations of the cluster."""
-    limits = distances.groupBy(cluster).agg(
-        (F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("_limit")
+    limits = written(
+        distances.groupBy(cluster).agg((F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("_limit")), "limits"
     )
     return distances.join(limits, cluster).withColumn("out_of_scope", F.col("distance") > F.col("_limit")).drop("_limit")
 

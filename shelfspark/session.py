@@ -62,3 +62,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *keys)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once into the shared folder and read back.
+
+    For aggregates that are much smaller than their input: later joins plan with the
+    true size, so Spark broadcasts the table only while it is below its threshold and
+    shuffles otherwise, and a lost executor does not repeat the aggregation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
