@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
@@ -24,6 +24,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, keep: Sequence[str], items: Column, value: str, pos: str = "_pos") -> DataFrame:
+    """One row per array item with its position, for arrays that are costly to build.
+
+    An inner ``explode`` makes the optimizer filter on the size of the array first,
+    which builds it twice. The outer form does not; its row for an empty array is
+    dropped afterwards.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(pos, value)).where(F.col(pos).isNotNull())
+    return rows.drop(pos) if pos == "_pos" else rows
+
+
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:
     """Value of a small constant map, NULL when the key is absent."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

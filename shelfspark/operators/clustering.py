@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from shelfspark import constants as K
-from shelfspark.functions.text import col, lookup
+from shelfspark.functions.text import col, lookup, unnest
 from shelfspark.session import written
 
 MAX_DF, TIGHT_MAX_DF = 0.5, 0.35
@@ -46,7 +46,7 @@ def tokens(
 
 def document_frequency(docs: DataFrame, token_col: str = "tokens", max_df: float = MAX_DF) -> DataFrame:
     """Terms with their document frequency, without terms in more than ``max_df`` of all documents."""
-    df = docs.select(F.explode(F.array_distinct(token_col)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = unnest(docs, [], F.array_distinct(token_col), "term").groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n_docs")).scalar()
     return df.withColumn("n_docs", total).where(F.col("df") <= F.col("n_docs") * max_df)
 
@@ -115,21 +115,28 @@ def cluster_labels(
 ) -> DataFrame:
     """Top terms per cluster by summed TF-IDF, joined with `` / ``.
 
-    Term counts are summed per (cluster, term) before the ranking, so the window sees
-    the vocabulary of a cluster and not its papers.
+    One pass over the tokens counts, per (cluster, term), the occurrences and the
+    documents. A document has one cluster, so the document frequency of a term is the
+    sum over its clusters, and the ranking sees the vocabulary of a cluster, not its papers.
     """
-    tf = (
-        docs.select(cluster, F.explode(token_col).alias("term"))
-        .groupBy(cluster, "term")
-        .agg(F.count("*").alias("tf"))
+    seen = F.transform(token_col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(
+        F.array_distinct(token_col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
     )
-    idf = document_frequency(docs, token_col, max_df).select(
-        "term", F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)).alias("idf")
+    counts = (
+        unnest(docs, [cluster], F.concat(seen, once), "t")
+        .groupBy(cluster, F.col("t.term").alias("term"))
+        .agg(F.sum("t.tf").alias("tf"), F.sum("t.df").alias("df"))
     )
+    n_docs = docs.agg(F.count("*")).scalar()
+    total = F.sum("df").over(Window.partitionBy("term"))
+    idf = F.log((F.col("n_docs") + 1.0) / (F.col("total") + 1.0))
     rank = Window.partitionBy(cluster).orderBy(F.desc("w"), "term")
     best = (
-        tf.join(idf, "term")
-        .withColumn("w", F.col("tf") * F.col("idf"))
+        counts.withColumn("total", total)
+        .withColumn("n_docs", n_docs)
+        .where(F.col("total") <= F.col("n_docs") * max_df)
+        .withColumn("w", F.col("tf") * idf)
         .withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= top)
     )

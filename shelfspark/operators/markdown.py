@@ -19,6 +19,7 @@ from shelfspark.functions.text import (
     md_cell_plain,
     md_paragraph_plain,
     trim_all,
+    unnest,
 )
 
 
@@ -80,19 +81,13 @@ def explode_md_tables(docs: DataFrame, doc: str = "doc", body: str = "body") ->
     """One row per table row: ``doc, table_no, row_no, cells``; the rule row is dropped, row 0 is the header."""
     tables = F.filter(md_segments(body), lambda s: s["is_table"] & (F.size(s["lines"]) >= 2))
     rows = lambda t: F.transform(t["lines"], table_cells)
-    return (
-        docs.select(F.col(doc), F.posexplode(tables).alias("table_no", "t"))
-        .select(
-            doc,
-            "table_no",
-            F.posexplode(
-                F.filter(
-                    F.transform(rows(F.col("t")), lambda c, i: F.struct(i.alias("i"), c.alias("cells"))),
-                    lambda r: ~((r["i"] == 1) & _is_rule(r["cells"])),
-                )
-            ).alias("row_no", "r"),
-        )
-        .select(doc, "table_no", "row_no", F.col("r.cells").alias("cells"))
+    kept = F.filter(
+        F.transform(rows(F.col("t")), lambda c, i: F.struct(i.alias("i"), c.alias("cells"))),
+        lambda r: ~((r["i"] == 1) & _is_rule(r["cells"])),
+    )
+    found = unnest(docs, [doc], tables, "t", "table_no")
+    return unnest(found, [doc, "table_no"], kept, "r", "row_no").select(
+        doc, "table_no", "row_no", F.col("r.cells").alias("cells")
     )
 
 
@@ -124,7 +119,7 @@ def explode_raw_papers(docs: DataFrame, doc: str = "doc", body: str = "body") ->
     lines = F.filter(md_lines(strip_bom(body)), lambda s: trim_all(s).startswith("|"))
     cell = lambda i: trim_all(F.get(F.col("r.cells"), F.lit(i) if isinstance(i, int) else i))
     at = F.col("r.abstract_at")
-    return docs.select(F.col(doc), F.posexplode(let(lines, data_rows)).alias("row_no", "r")).select(
+    return unnest(docs, [doc], let(lines, data_rows), "r", "row_no").select(
         doc,
         "row_no",
         cell(0).alias("journal"),
@@ -177,7 +172,7 @@ def paper_fields(block: Column) -> dict[str, Column]:
 def paper_blocks(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
     """Blocks of summary documents that carry a paper number."""
     blocks = F.split(strip_bom(body), BLOCK_SEPARATOR)
-    return docs.select(F.col(doc), F.posexplode(blocks).alias("pos", "block")).where(
+    return unnest(docs, [doc], blocks, "block", "pos").where(
         F.col("block").rlike(r"^\s*##[ \t]+\d+\.")
     )
 
@@ -276,7 +271,7 @@ def explode_report_sections(docs: DataFrame, doc: str = "doc", body: str = "body
             trim_all(F.regexp_replace(line, r"^##\s+", "")),
         ),
     ).otherwise("")
-    return docs.select(F.col(doc), F.posexplode(F.split(trim_all(body), _SECTION_SPLIT)).alias("pos", "part")).select(
+    return unnest(docs, [doc], F.split(trim_all(body), _SECTION_SPLIT), "part", "pos").select(
         doc,
         "pos",
         trim_all(title).alias("title"),
@@ -286,7 +281,7 @@ def explode_report_sections(docs: DataFrame, doc: str = "doc", body: str = "body
 
 def explode_subsections(sections: DataFrame, keys: tuple[str, ...] = ("doc", "pos"), body: str = "body") -> DataFrame:
     parts = F.filter(F.split(trim_all(body), _SUB_SPLIT), lambda p: trim_all(p) != "")
-    return sections.select(*keys, F.posexplode(parts).alias("sub_pos", "part")).select(
+    return unnest(sections, keys, parts, "part", "sub_pos").select(
         *keys,
         "sub_pos",
         trim_all(F.replace(_first_line(F.col("part")), F.lit("**"), F.lit(""))).alias("sub_title"),
@@ -352,7 +347,7 @@ def explode_content_blocks(docs: DataFrame, doc: str = "doc", body: str = "body"
         lambda s: ~s["is_table"] | (F.size(s["lines"]) >= 2),
     )
     blocks = F.filter(F.transform(segments, block), lambda b: (b["type"] == "table") | (b["text"] != ""))
-    return docs.select(F.col(doc), F.posexplode(blocks).alias("pos", "b")).select(doc, "pos", "b.type", "b.text", "b.rows")
+    return unnest(docs, [doc], blocks, "b", "pos").select(doc, "pos", "b.type", "b.text", "b.rows")
 
 
 def render_md_table(cells: Column | str) -> Column:
@@ -405,7 +400,7 @@ def chunk_report(
             ),
         )
 
-    return docs.select(F.col(doc), F.posexplode(let(parts, chunks)).alias("chunk_no", "chunk"))
+    return unnest(docs, [doc], let(parts, chunks), "chunk", "chunk_no")
 
 
 def page_text(html: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions.citations import in_text_citation
 from shelfspark.functions.predicates import abstract_missing_raw
-from shelfspark.functions.text import blank_to_null, trim_all
+from shelfspark.functions.text import blank_to_null, trim_all, unnest
 from shelfspark.operators.ranking import distributed_row_number, first_per_key
 
 
@@ -68,7 +68,7 @@ def link_mentions(
         lambda i: F.substring(t, i, F.length(t)),
     )
     found = (
-        with_max.select(doc, "_t", F.explode(F.array_distinct(F.flatten(F.transform(tails, suffixes)))).alias("key"))
+        unnest(with_max, [doc, "_t"], F.array_distinct(F.flatten(F.transform(tails, suffixes))), "key")
         .join(known, ["_t", "key"])
         .groupBy(doc, "_t")
         .agg(
@@ -161,23 +161,28 @@ def audit_partition(audit: DataFrame, by: Sequence[str] = ("topic",)) -> DataFra
 def corpus_profile(papers: DataFrame, by: Sequence[str] = ("topic",), top: int = 3) -> DataFrame:
     """Paper count, year span and leading journals.
 
-    Journals are counted first; the ranking then sees one row per journal and keeps
-    ``top`` of them.
+    One pass over the papers counts them per journal; the windows then see one row
+    per journal of a topic.
     """
     counts = papers.groupBy(*by, "journal").agg(
         F.count("*").alias("n"), F.min("year").alias("y0"), F.max("year").alias("y1")
     )
-    rank = Window.partitionBy(*by).orderBy(F.desc("n"), "journal")
-    leading = (
-        counts.withColumn("r", F.row_number().over(rank))
-        .where(F.col("r") <= top)
-        .groupBy(*by)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "journal"))), lambda s: s["journal"]), "、").alias("leading"))
+    topic = Window.partitionBy(*by)
+    ranked = counts.select(
+        *by,
+        "journal",
+        F.row_number().over(topic.orderBy(F.desc("n"), "journal")).alias("r"),
+        F.sum("n").over(topic).alias("papers"),
+        F.min("y0").over(topic).alias("year_from"),
+        F.max("y1").over(topic).alias("year_to"),
+    ).where(F.col("r") <= top)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("r", "journal"))), lambda s: s["journal"])
+    return ranked.groupBy(*by).agg(
+        F.first("papers").alias("papers"),
+        F.first("year_from").alias("year_from"),
+        F.first("year_to").alias("year_to"),
+        F.array_join(names, "、").alias("leading"),
     )
-    totals = counts.groupBy(*by).agg(
-        F.sum("n").alias("papers"), F.min("y0").alias("year_from"), F.max("y1").alias("year_to")
-    )
-    return totals.join(leading, list(by))
 
 
 def cluster_share(assignments: DataFrame, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
@@ -191,7 +196,7 @@ def cluster_share(assignments: DataFrame, by: Sequence[str] = (), cluster: str =
 def facet_frequency(papers: DataFrame, column: str, top: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """How many papers name each value of a ``;`` separated field."""
     values = F.array_distinct(F.filter(F.transform(F.split(column, ";"), trim_all), lambda v: v != ""))
-    counts = papers.select(*by, F.explode(values).alias("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    counts = unnest(papers, by, values, "value").groupBy(*by, "value").agg(F.count("*").alias("n"))
     if top is None:
         return counts
     if not by:
