@@ -201,12 +201,12 @@ def exclude_out_of_scope(spark, sf):
 
 @query(
     "stage_gate",
-    f"""WITH f AS (SELECT 'u' || user_id AS topic, {_STAGE} AS stage FROM events WHERE value > 20),
+    f"""WITH f AS (SELECT 'u' || user_id || '_' || event_type AS topic, {_STAGE} AS stage FROM events),
      c AS (SELECT topic, {", ".join(f"count(*) FILTER (stage = '{s}') AS s{i}" for i, s in enumerate(["01_raw", "02_clean", "03_summaries", "04_meta", "05_report", "06_review"]))} FROM f GROUP BY topic)
      SELECT topic, s0 AS "01_raw", s5 AS "06_review", concat_ws(',', '01_raw', CASE WHEN s0 > 0 THEN '02_clean' END, CASE WHEN s1 > 0 THEN '03_summaries' END, CASE WHEN s2 > 0 THEN '04_meta' END, CASE WHEN s3 > 0 THEN '05_report' END, CASE WHEN s4 > 0 THEN '06_review' END) AS ready FROM c""",
 )
 def stage_gate(spark, sf):
-    files = table(spark, sf, "events").where("value > 20").selectExpr("concat('u', user_id) AS topic", f"{_STAGE} AS stage")
+    files = table(spark, sf, "events").selectExpr("concat('u', user_id, '_', event_type) AS topic", f"{_STAGE} AS stage")
     return cl.stage_gate(files).select("topic", "01_raw", "06_review", "ready")
 
 
