@@ -38,12 +38,12 @@ def distributed_row_number(
     broadcast only while they are few; beyond that they are joined with a shuffle.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*[F.col(k).asc() for k in keys], *order_by]
     path = scratch_path(spark, "ranked")
+    # without a number AQE joins small neighbouring ranges, which keeps their order
+    ranges = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        ranges.sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
         .write.parquet(path)
     )

@@ -153,6 +153,18 @@ def test_row_number_equals_window_on_a_hot_key(spark):
     assert overall.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()[:] == (1, 5000, 5000)
 
 
+def test_row_number_without_a_number_of_partitions(spark):
+    df = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(3)).alias("g"), F.hash("id").alias("v"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = distributed_row_number(df, [F.asc("v"), F.asc("id")], ["g"])
+        ranks = got.groupBy("g").agg(F.min("rn").alias("a"), F.max("rn").alias("b"), F.countDistinct("rn").alias("n"), F.count("*").alias("c"))
+        assert ranks.where("a <> 1 OR b <> c OR n <> c").count() == 0
+        assert got.alias("x").join(got.alias("y"), F.expr("x.g = y.g AND x.rn = y.rn - 1 AND x.v > y.v")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_row_number_handles_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v int")
     got = {(r["g"], r["v"], r["rn"]) for r in distributed_row_number(df, [F.asc("v")], ["g"]).collect()}
