@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding", "decontaminate"]
+_MODULES = ["sharding", "decontaminate", "chat_format"]
 
 
 def all_queries() -> dict:
