@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding", "decontaminate", "chat_format"]
+_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join"]
 
 
 def all_queries() -> dict:
