@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join"]
+_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe"]
 
 
 def all_queries() -> dict:
