@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe"]
+_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe", "quality", "toxicity"]
 
 
 def all_queries() -> dict:

@@ -139,9 +139,11 @@ class Vocabulary:
         heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first.tolist()) if r != NONE]
         heapq.heapify(heap)
 
+        part = [piece[k : k + 1] for k in range(n)]
+
         def push(i: int, j: int) -> None:
-            r = int(self.pair_ranks(np.array([ids[i]], np.int32), np.array([ids[j]], np.int32))[0])
-            if r != NONE:
+            r = self.ranks.get(part[i] + part[j])
+            if r is not None:
                 heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         while heap:
@@ -150,6 +152,7 @@ class Vocabulary:
             if j < 0 or ids[j] != b:
                 continue
             ids[i], ids[j] = rank, -1
+            part[i] += part[j]
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i

@@ -67,6 +67,7 @@ class Words:
     ptr: np.ndarray
     hash: np.ndarray
     offsets: np.ndarray
+    total: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -76,6 +77,13 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), self.counts)
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words longer than ``n`` bytes and the hash of their first ``n`` bytes."""
+        k = np.flatnonzero(self.ends - self.starts > n)
+        at = self.starts[k]
+        with np.errstate(over="ignore"):
+            return k, mix((self.total[at + n] - self.total[at]) * _power("down", len(self.raw))[at] + np.uint64(n))
+
     def bytes_of(self, k: int) -> bytes:
         """Word ``k``, A-Z lower-cased."""
         return self.raw[self.starts[k] : self.ends[k]].tobytes().lower()
@@ -114,7 +122,7 @@ def words(texts: pa.Array, table: np.ndarray = ALNUM) -> Words:
     raw, off = text_bytes(texts)
     if not len(raw):
         none = np.zeros(0, np.int64)
-        return Words(raw, none, none, np.zeros(len(off), np.int64), np.zeros(0, np.uint64), off)
+        return Words(raw, none, none, np.zeros(len(off), np.int64), np.zeros(0, np.uint64), off, np.zeros(1, np.uint64))
     low = table[raw]
     inside = low > 0
     edge = np.zeros(len(raw) + 1, bool)
@@ -129,7 +137,7 @@ def words(texts: pa.Array, table: np.ndarray = ALNUM) -> Words:
         np.cumsum(low * _power("up", len(raw)), out=total[1:])
         h = (total[ends] - total[starts]) * _power("down", len(raw))[starts]
         h = mix(h)
-    return Words(raw, starts, ends, np.searchsorted(starts, off).astype(np.int64), h, off)
+    return Words(raw, starts, ends, np.searchsorted(starts, off).astype(np.int64), h, off, total)
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
