@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe", "quality", "toxicity", "pii"]
+_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe", "quality", "toxicity", "pii", "language_model"]
 
 
 def all_queries() -> dict:
