@@ -78,8 +78,8 @@ FALLBACK_SLUGS = {
 
 EDITION_CODES = ["SCIE", "SSCI", "ESCI", "AHCI"]
 KEPT_EDITION = "SSCI"
-METRIC_FILE_PATTERN = r"(?i)^WOS_JCR_(\d{6})_(.+)_(\d{6})_normalized\.csv$"
-SOURCE_LIST_PATTERN = r"(?i)^(.*)_(\d{8})_v(\d+)\.ya?ml$"
+METRIC_FILE_PATTERN = r"(?i)^WOS_JCR_(\d{6})_(.+)_(\d{6})_normalized\.csv\z"
+SOURCE_LIST_PATTERN = r"(?i)^(.*)_(\d{8})_v(\d+)\.ya?ml\z"
 
 # --- fixed values: files and stages ----------------------------------------------
 
@@ -194,7 +194,7 @@ LIST_PREFIX = r"^journals_ssci_"
 LIST_SUFFIX = r"(?i)_q1$"
 QUARTILE_SUFFIX = r"(?i)\s+Q[1-4]$"
 WOMEN_STUDIES = r"(?i)^(.*?)women'?s?\s*studies"
-TOPIC = r"^[a-z0-9_/-]+$"
+TOPIC = r"^[a-z0-9_/-]+\z"
 NON_ENGLISH = r"[^a-zA-Z0-9\s_\-]"
 FAILURE_MARK = r"\[FAILURE_REASON\]([^\n]*)"
 MANUAL_TAIL = r"(?i)\s*\[MANUAL\]\s*$"

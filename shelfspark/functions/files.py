@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions.text import blank_to_null, col, lookup, trim_all
 
-_VERSIONED = r"^(.+?)_(\d{8})_v(\d+)(?:\.[A-Za-z]+)?$"
+_VERSIONED = r"^(.+?)_(\d{8})_v(\d+)(?:\.[A-Za-z]+)?\z"
 
 
 def version_parse(name: Column | str) -> Column:

@@ -326,9 +326,9 @@ def letter_groups(df: DataFrame, title: str = "title") -> DataFrame:
 
 
 def topic_union_labels(presets: DataFrame, found: DataFrame) -> DataFrame:
-    """Preset topics overlaid by discovered ones; the discovered label wins."""
+    """Preset topics overlaid by discovered ones; the discovered label wins, of several the last by name."""
     both = presets.select("topic", "label", F.lit(0).alias("p")).union(found.select("topic", "label", F.lit(1)))
-    return both.groupBy("topic").agg(F.max_by("label", "p").alias("label"))
+    return both.groupBy("topic").agg(F.max(F.struct("p", "label"))["label"].alias("label"))
 
 
 def union_key_pairs(journals: DataFrame) -> DataFrame:

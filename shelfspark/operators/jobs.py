@@ -107,9 +107,12 @@ def near_version_match(
 
 def stage_file_key(name: str = "name") -> Column:
     v = version_parse(name)
+    number = v["version"].cast("string")
+    # padded to four digits, never cut
+    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
     return (
         F.when(F.contains(F.col(name), F.lit("_latest.")), F.lit("9_latest"))
-        .when(v.isNotNull(), F.concat(F.lit("1_"), v["date_tag"], F.lit("_"), F.lpad(v["version"].cast("string"), 4, "0")))
+        .when(v.isNotNull(), F.concat(F.lit("1_"), v["date_tag"], F.lit("_"), padded))
         .otherwise(F.concat(F.lit("2_"), F.col(name)))
     )
 

@@ -136,9 +136,10 @@ def explode_raw_papers(docs: DataFrame, doc: str = "doc", body: str = "body") ->
 
 # --- paper blocks ----------------------------------------------------------------
 
-BLOCK_SEPARATOR = r"\n---[ \t]*\n"
+BLOCK_SEPARATOR = r"\r?\n---\s*\n"
+_NUMBER = r"(?m)^##[ \t]+(\d+)\."
 _HEADING = r"(?m)^##[ \t]+(\d+)\.[ \t]+(.*?)[ \t]*\((\d{4}|NA)\)[ \t]*$"
-_FIELD_END = r"(?=\n\*\*|\n---|\z)"
+_FIELD_END = r"(?=\r?\n\*\*|\r?\n---|\z)"
 
 
 def _bullet(block: Column, label: str) -> Column:
@@ -153,7 +154,7 @@ def _section(block: Column, label: str) -> Column:
 def paper_fields(block: Column) -> dict[str, Column]:
     heading = lambda i: F.regexp_extract(block, _HEADING, i)
     return {
-        "id": F.regexp_extract(block, r"(?m)^##[ \t]+(\d+)\.", 1).try_cast("int"),
+        "id": F.regexp_extract(block, _NUMBER, 1).try_cast("int"),
         "title": blank_to_null(heading(2)),
         "year": heading(3).try_cast("int"),
         "journal": _bullet(block, "Journal"),
@@ -169,12 +170,22 @@ def paper_fields(block: Column) -> dict[str, Column]:
     }
 
 
+def document_blocks(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """All blocks of documents as ``(doc, pos, block, separator)``; :func:`join_blocks` gives the same text again.
+
+    The separator is the one that follows the block, empty behind the last.
+    """
+    text = F.col(body)
+    ends = F.regexp_extract_all(text, F.lit(f"({BLOCK_SEPARATOR})"), F.lit(1))
+    parts = F.zip_with(F.split(text, BLOCK_SEPARATOR), ends, lambda b, s: F.struct(b.alias("block"), F.coalesce(s, F.lit("")).alias("separator")))
+    rows = unnest(docs, [doc], parts, "part", "pos")
+    return rows.select(doc, "pos", "part.block", "part.separator")
+
+
 def paper_blocks(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
-    """Blocks of summary documents that carry a paper number."""
+    """Blocks of summary documents that carry a paper number, also behind other lines of the block."""
     blocks = F.split(strip_bom(body), BLOCK_SEPARATOR)
-    return unnest(docs, [doc], blocks, "block", "pos").where(
-        F.col("block").rlike(r"^\s*##[ \t]+\d+\.")
-    )
+    return unnest(docs, [doc], blocks, "block", "pos").where(F.col("block").rlike(_NUMBER))
 
 
 def explode_paper_blocks(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
@@ -216,18 +227,19 @@ def render_paper_block(
 def patch_blocks(blocks: DataFrame, patches: DataFrame, doc: str = "doc") -> DataFrame:
     """Replace the key findings of patched papers and mark them as manual.
 
-    ``blocks`` is ``(doc, pos, block)``, ``patches`` is ``(doc, idx, abstract, seq)``;
-    the last patch of an index wins. Blocks without a patch are unchanged. Rows stay
-    one per block, so no document has to be assembled in one task.
+    ``blocks`` is ``(doc, pos, block)`` with or without ``separator``, ``patches`` is
+    ``(doc, idx, abstract, seq)``; the last patch of an index wins. Blocks without a
+    patch or a number are unchanged. Rows stay one per block, so no document has to be
+    assembled in one task.
     """
     last = (
         patches.groupBy(doc, F.col("idx").alias("_idx"))
         .agg(F.max_by("abstract", "seq").alias("_patch"))
     )
-    idx = F.coalesce(F.regexp_extract("block", r"(?m)^##\s+(\d+)\.", 1).try_cast("int"), F.lit(0))
-    pattern = r"(?is)(\*\*Key findings \(from abstract\)\*\*:\s*)(.*?)(?=\n\*\*|\n---|\z)"
+    idx = F.regexp_extract("block", _NUMBER, 1).try_cast("int")
+    # anchored at the start, so only the first field of a block is replaced
+    pattern = rf"(?is)\A(.*?\*\*Key findings \(from abstract\)\*\*:\s*)(.*?){_FIELD_END}"
     escaped = F.regexp_replace(trim_all("_patch"), r"([\\$])", r"\\$1")
-    # only the first field of a block is replaced: the tail is kept behind the match
     replacement = F.concat(F.lit("$1"), escaped, F.lit(" " + K.MANUAL_MARK + "\n\n"))
     patched = F.regexp_replace(F.col("block"), F.lit(pattern), replacement)
     return (
@@ -239,11 +251,17 @@ def patch_blocks(blocks: DataFrame, patches: DataFrame, doc: str = "doc") -> Dat
 
 
 def join_blocks(blocks: DataFrame, doc: str = "doc") -> DataFrame:
-    """Blocks back to one document per key. Use only where a document fits one row, as its source did."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "block")))
-    return blocks.groupBy(doc).agg(
-        F.array_join(F.transform(ordered, lambda b: b["block"]), "\n---\n\n").alias("body")
-    )
+    """Blocks back to one document per key. Use only where a document fits one row, as its source did.
+
+    With a ``separator`` column each block is followed by its own, else blocks are set apart in one way.
+    """
+    if "separator" in blocks.columns:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("block", "separator").alias("block"))))
+        between = ""
+    else:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "block")))
+        between = "\n---\n\n"
+    return blocks.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda b: b["block"]), between).alias("body"))
 
 
 # --- reports ---------------------------------------------------------------------

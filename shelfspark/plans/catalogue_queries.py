@@ -85,7 +85,7 @@ def multi_category(spark, sf):
 
 _LABEL = "CASE WHEN s_acctbal > 0 THEN 'sources/q1' ELSE 'manual' END AS label"
 _FILE = "concat('refs/journals_ssci_', CASE s_nationkey % 5 WHEN 0 THEN 'women_studies' WHEN 1 THEN 'area_studies' WHEN 2 THEN 'area_asian_studies' WHEN 3 THEN 'urban_studies' ELSE concat('nation_', s_nationkey) END, '_q1_2026', lpad(1 + s_suppkey % 12, 2, '0'), '15_v', 1 + s_suppkey % 3, CASE WHEN s_suppkey % 11 = 3 THEN '.txt' ELSE '.yml' END) AS file"
-_INPUTS_SQL = f"""inputs AS (SELECT s_suppkey AS pos, s_nationkey // 5 AS registry_id, s_suppkey % 4 AS count, {_LABEL},
+_INPUTS_SQL = f"""inputs AS (SELECT s_suppkey AS pos, s_suppkey // 8 AS registry_id, s_suppkey % 4 AS count, {_LABEL},
    CASE s_nationkey % 5 WHEN 0 THEN 'women_studies' WHEN 1 THEN 'area_studies' WHEN 2 THEN 'area_asian_studies' WHEN 3 THEN 'urban_studies' ELSE 'nation_' || s_nationkey END AS stem FROM supplier),
  valid AS (SELECT *, 'journals_ssci_' || stem || '_q1' AS prefix,
    CASE stem WHEN 'women_studies' THEN 'Women''s Studies' WHEN 'area_studies' THEN 'Area and Asian Studies' WHEN 'area_asian_studies' THEN 'Area and Asian Studies'
@@ -94,7 +94,7 @@ _INPUTS_SQL = f"""inputs AS (SELECT s_suppkey AS pos, s_nationkey // 5 AS regist
 
 def registry_inputs(spark, sf):
     return table(spark, sf, "supplier").selectExpr(
-        "s_suppkey AS pos", "cast(s_nationkey DIV 5 AS INT) AS registry_id", "s_suppkey % 4 AS count", _LABEL, _FILE
+        "s_suppkey AS pos", "cast(s_suppkey DIV 8 AS INT) AS registry_id", "s_suppkey % 4 AS count", _LABEL, _FILE
     )
 
 
@@ -108,7 +108,7 @@ def registry_inputs_valid(spark, sf):
     f"WITH {_INPUTS_SQL} SELECT registry_id, discipline, arg_min(prefix, pos) AS prefix FROM valid GROUP BY 1, 2",
 )
 def fanout_registry_inputs(spark, sf):
-    # a registry's inputs are its own array, as in its meta block
+    # a registry's eight inputs are its own array, as in its meta block
     rows = registry_inputs(spark, sf).groupBy("registry_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "label", "file", "count"))).alias("listed")
     )
@@ -342,12 +342,12 @@ def letter_groups(spark, sf):
     "topic_union_labels",
     """SELECT topic, coalesce(max(label) FILTER (p = 1), max(label) FILTER (p = 0)) AS label FROM (
         SELECT 'topic_' || (n_nationkey % 20) AS topic, 'preset ' || (n_nationkey % 20) AS label, 0 AS p FROM nation
-        UNION ALL SELECT DISTINCT 'topic_' || c_nationkey, c_mktsegment, 1 FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY topic""",
+        UNION ALL SELECT DISTINCT 'topic_' || c_nationkey, c_mktsegment, 1 FROM customer) GROUP BY topic""",
 )
 def topic_union_labels(spark, sf):
     presets = table(spark, sf, "nation").selectExpr("concat('topic_', n_nationkey % 20) AS topic", "concat('preset ', n_nationkey % 20) AS label").distinct()
     found = (
-        table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("concat('topic_', c_nationkey) AS topic", "c_mktsegment AS label")
+        table(spark, sf, "customer").selectExpr("concat('topic_', c_nationkey) AS topic", "c_mktsegment AS label")
     )
     return cat.topic_union_labels(presets, found)
 

@@ -114,7 +114,7 @@ def near_version_match(spark, sf):
 
 
 _STAGE = "CASE event_id % 6 WHEN 0 THEN '01_raw' WHEN 1 THEN '02_clean' WHEN 2 THEN '03_summaries' WHEN 3 THEN '04_meta' WHEN 4 THEN '05_report' ELSE '06_review' END"
-_STAGE_NAME = "CASE event_id % 7 WHEN 0 THEN concat('p', event_id, '_latest.md') WHEN 1 THEN concat('notes-', event_id, '.md') ELSE concat('papers', event_id % 3, '_', date_format(ts, 'yyyyMMdd'), '_v', event_id, '.md') END"
+_STAGE_NAME = "CASE event_id % 7 WHEN 0 THEN concat('p', event_id, '_latest.md') WHEN 1 THEN concat('notes-', event_id, '.md') ELSE concat('papers', event_id % 3, '_', date_format(ts, 'yyyyMMdd'), '_v', event_id + 5000, '.md') END"
 _STAGE_NAME_SQL = _STAGE_NAME.replace("date_format(ts, 'yyyyMMdd')", "strftime(ts, '%Y%m%d')")
 
 
@@ -124,7 +124,7 @@ def stage_files(spark, sf):
 
 @query(
     "sort_stage_files",
-    f"""WITH f AS (SELECT event_type AS topic, {_STAGE} AS stage, {_STAGE_NAME_SQL} AS name, CASE event_id % 7 WHEN 0 THEN '9_latest' WHEN 1 THEN '2_notes-' || event_id || '.md' ELSE '1_' || strftime(ts, '%Y%m%d') || '_' || CASE WHEN event_id < 10000 THEN lpad(event_id::VARCHAR, 4, '0') ELSE substr(event_id::VARCHAR, 1, 4) END END AS sort_key FROM events)
+    f"""WITH f AS (SELECT event_type AS topic, {_STAGE} AS stage, {_STAGE_NAME_SQL} AS name, CASE event_id % 7 WHEN 0 THEN '9_latest' WHEN 1 THEN '2_notes-' || event_id || '.md' ELSE '1_' || strftime(ts, '%Y%m%d') || '_' || repeat('0', greatest(0, 4 - length((event_id + 5000)::VARCHAR))) || (event_id + 5000)::VARCHAR END AS sort_key FROM events)
      SELECT topic, stage, name, row_number() OVER (PARTITION BY topic, stage ORDER BY sort_key DESC, name) AS rank FROM f""",
 )
 def sort_stage_files(spark, sf):

@@ -172,8 +172,8 @@ def patch_blocks(spark, sf):
     patches = labels.selectExpr("doc_id AS doc", "cast(doc_id + 1 AS INT) AS idx", "'older' AS abstract", "0 AS seq").union(
         labels.selectExpr("doc_id", "cast(doc_id + 1 AS INT)", "concat('Better $1 text ', quality, toxic, ' ')", "1")
     )
-    blocks = md.patch_blocks(md.paper_blocks(summary_docs(spark, sf)), patches)
-    # written out and read again, as the next stage does
+    blocks = md.patch_blocks(md.document_blocks(summary_docs(spark, sf)), patches)
+    # whole documents written back and read again, as the next stage does
     again = md.audit_blocks(md.join_blocks(blocks))
     return again.select(
         "doc",

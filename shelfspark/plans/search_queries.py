@@ -11,8 +11,8 @@ from shelfspark.plans.job_queries import _STAGE, stage_files
 from shelfspark.plans.registry import query
 from shelfspark.plans.roles import sql_squeeze, table, texts
 
-_KEYWORDS = "concat(lang, ' ', source, ' ', right(text, 200)) AS keywords"
-_KEYWORDS_SQL = "lang || ' ' || source || ' ' || right(text, 200) AS keywords"
+_KEYWORDS = "concat(lang, ' ', source, ' ', text) AS keywords"
+_KEYWORDS_SQL = "lang || ' ' || source || ' ' || text AS keywords"
 _SEARCH = f"""s AS (SELECT doc_id + 1 AS id, lang, source AS source_id, 2000 + doc_id % 25 AS year, trim(split_part(text, chr(10), 1)) AS title, text AS abstract, {_KEYWORDS_SQL} FROM documents)"""
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +77,6 @@ def scan_journal_index(spark: SparkSession, path: str) -> DataFrame:
 # one short row per file may be broadcast up to this many files, some 20 MB
 BROADCAST_FILES = 50_000
 FILE_SALTS = 64
-# headers read one by one up to this many metric files, in one pass over the data beyond
-SINGLE_HEADERS = 1_000
 
 
 def _join_by_file(rows: DataFrame, per_file: DataFrame, n_files: int) -> DataFrame:
@@ -91,16 +88,8 @@ def _join_by_file(rows: DataFrame, per_file: DataFrame, n_files: int) -> DataFra
     return rows.withColumn("_salt", salt).join(salted, ["file_path", "_salt"]).drop("_salt")
 
 
-def _metric_headers(spark: SparkSession, files: DataFrame, raw: DataFrame, is_header: Column) -> DataFrame:
-    """Lower-case header cells ``h`` of every metric file, by ``file_name``."""
-    samples = files.groupBy("file_name").agg(F.min("file_path").alias("p"))
-    chosen = samples.limit(SINGLE_HEADERS + 1).collect()
-    if len(chosen) <= SINGLE_HEADERS:
-        # Spark reads only the first line here; the part files of one folder share it
-        columns = lambda r: [c.strip().lower() for c in spark.read.csv(r["p"], header=True).columns]
-        with ThreadPoolExecutor(8) as pool:
-            heads = list(zip([r["file_name"] for r in chosen], pool.map(columns, chosen)))
-        return spark.createDataFrame(heads, "file_name string, h array<string>")
+def _metric_headers(files: DataFrame, raw: DataFrame, is_header: Column) -> DataFrame:
+    """Lower-case header cells ``h`` of every metric file, by ``file_name``: its first line that names the journal column."""
     first = F.min_by("cells", F.struct("file_path", "block_start", "row_in_block"))
     return (
         raw.where(is_header)
@@ -110,18 +99,25 @@ def _metric_headers(spark: SparkSession, files: DataFrame, raw: DataFrame, is_he
     )
 
 
-def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFrame:
+def _metric_width(reader, path: str) -> int:
+    """Cells of the widest header line of any file, and one more for a shifted row."""
+    lines = reader.text(path).where(F.contains(F.lower("value"), F.lit("journal_name")))
+    return (lines.agg(F.max(F.size(F.split("value", ","))).alias("n")).first()["n"] or 1) + 1
+
+
+def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
     """Metric CSVs to named columns, with discipline and date from each file name.
 
     A metric file may be one CSV or a folder of that name with part files. Files may
     order their columns differently: the facts of each file (its name parts, the
     position of every column) are one row of a small frame, joined back by file. Rows
     shifted by an unquoted comma are repaired. ``part_no``, ``block_start`` and
-    ``row_in_block`` order the rows of a file.
+    ``row_in_block`` order the rows of a file. A file without a header that names the
+    journal column gives no rows. Files may be of any width and number.
     """
-    columns = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    columns = [f"c{i}" for i in range(_metric_width(reader, path))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     # a short row is padded with NULL, so the last filled cell gives its real width
     raw = reader.csv(path, schema=schema, quote='"', escape='"').select(
         F.col("_metadata.file_path").alias("file_path"),
@@ -139,7 +135,7 @@ def scan_metric_files(spark: SparkSession, path: str, width: int = 24) -> DataFr
         .where(F.col("file_name") != "")
     )
     part = lambda i: F.regexp_extract("file_name", K.METRIC_FILE_PATTERN, i)
-    per_file = files.join(_metric_headers(spark, files, raw, is_header), "file_name").select(
+    per_file = files.join(_metric_headers(files, raw, is_header), "file_name").select(
         "file_path",
         "file_name",
         part(2).alias("slug"),
@@ -316,21 +312,23 @@ def scan_summary_blocks(spark: SparkSession, path: str, glob: str = "*.md") -> D
     """Summary files cut at their ``---`` lines while reading: ``topic, file, block``.
 
     For files too large for one row: the text source splits at the separator, so one
-    file is read by many tasks. Feed ``block`` to ``paper_fields``.
+    file is read by many tasks. Feed ``block`` to ``paper_fields``. Here any
+    line that begins with ``---`` ends a block, whatever follows in it; read files where
+    such lines are text by :func:`scan_markdown_corpus`.
     """
     p = F.col("_metadata.file_path")
     topic, _ = _topic_stage(p)
     raw = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .option("lineSep", "\n---\n")
+        .option("lineSep", "\n---")
         .text(path)
     )
     return raw.select(
         topic.alias("topic"),
         F.col("_metadata.file_name").alias("file"),
         F.regexp_replace("value", r"^\x{FEFF}", "").alias("block"),
-    ).where(F.col("block").rlike(r"^\s*##[ \t]+\d+\."))
+    ).where(F.col("block").rlike(r"(?m)^##[ \t]+\d+\."))
 
 
 def scan_topic_index(spark: SparkSession, path: str, glob: str = "index.json") -> DataFrame:

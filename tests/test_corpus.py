@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from shelfspark.operators import clustering as cl
@@ -91,6 +93,25 @@ def test_audit_and_patch(spark):
     assert (by["total"], by["n_missing"], by["n_filled"], by["n_manual"]) == (4, 3, 1, 1)
 
 
+LOOSE = "# Head\n\nno separator\n## 1. First (2020)\n\n**Key findings (from abstract)**: one\n\n**Key findings (from abstract)**: two\n\n---  \n\n## Notes\n\nunnumbered\n\n---\n## 2. Second (NA)\n\n**Key findings (from abstract)**: x\n"
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_blocks_lose_nothing(spark, end):
+    body = LOOSE.replace("\n", end)
+    d = docs(spark, body, "", "---", "no block")
+    assert {(r["id"], r["title"]) for r in md.explode_paper_blocks(d).collect()} == {(1, "First"), (2, "Second")}
+    blocks = md.document_blocks(d)
+    back = {r["doc"]: r["body"] for r in md.join_blocks(blocks).collect()}
+    assert back == {0: body, 1: "", 2: "---", 3: "no block"}
+    patches = spark.createDataFrame([(0, 1, "patched $1", 0), (0, 0, "nobody", 0), (3, 0, "nobody", 0)], "doc int, idx int, abstract string, seq int")
+    after = {r["doc"]: r["body"] for r in md.join_blocks(md.patch_blocks(blocks, patches)).collect()}
+    # the first field only; preamble, notes and the other paper stay as they are
+    one, rest = body.split(f"{end}{end}**Key findings (from abstract)**: two")
+    assert after[0].startswith(one[: -len("one")] + "patched $1 [MANUAL]") and after[0].endswith(f"**Key findings (from abstract)**: two{rest}")
+    assert {k: v for k, v in after.items() if k} == {k: v for k, v in back.items() if k}
+
+
 def test_render_then_parse_is_identity(spark):
     fields = {"Abstract": "abstract", "Research question": "rq", "Data / material": "data", "Method": "method", "Key findings (from abstract)": "findings", "Contribution": "contribution"}
     bullets = {"Journal": "journal", "Author(s)": "authors", "DOI": "doi", "OpenAlex": "openalex"}

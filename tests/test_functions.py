@@ -187,7 +187,7 @@ def test_log_functions(one):
     assert one(fn.beijing_minute(F.col("a").cast("timestamp")), a="2026-02-23 18:05:59") == "2026/02/24 02:05"
 
 
-@pytest.mark.parametrize("slug, ok", [("a_b/c-1", True), ("A", False), ("", False), ("a" * 120, True), ("a" * 121, False)])
+@pytest.mark.parametrize("slug, ok", [("a_b/c-1", True), ("A", False), ("", False), ("a" * 120, True), ("a" * 121, False), ("abc\n", False)])
 def test_topic_valid(one, slug, ok):
     assert one(fn.topic_valid("a"), a=slug) is ok
 

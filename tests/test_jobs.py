@@ -53,6 +53,15 @@ def test_version_orders(spark):
     assert [r["label"] for r in jb.sort_versions(v).orderBy("rank").collect()] == ["当前使用 (summaries_latest)", "2026-03-01 v1", "2026-02-21 v10", "2026-02-21 v2"]
 
 
+def test_stage_file_versions_are_padded_not_cut(spark):
+    names = [f"papers_20260221_v{v}.md" for v in (9, 999, 9999, 10000, 12340, 12345, 12349)]
+    f = spark.createDataFrame([("t", "01_raw", n) for n in names], "topic string, stage string, name string")
+    keys = {r["name"]: r["k"] for r in f.select("name", jb.stage_file_key().alias("k")).collect()}
+    assert [keys[n][11:] for n in names] == ["0009", "0999", "9999", "10000", "12340", "12345", "12349"]
+    got = [r["name"] for r in jb.sort_stage_files(f).orderBy("rank").collect()]
+    assert got == sorted(names, key=lambda n: keys[n], reverse=True)
+
+
 def test_near_version_takes_the_newest_within_two_seconds(spark):
     ts = lambda df, c="mtime": df.withColumn(c, F.col(c).cast("timestamp"))
     latest = ts(spark.createDataFrame([("t", "2026-02-20 12:00:02"), ("u", "2026-02-20 12:00:02")], "topic string, mtime string"))

@@ -51,7 +51,6 @@ def test_metric_files(spark, tmp_path, monkeypatch, salted):
     if salted:
         # the ways for very many files give the same rows
         monkeypatch.setattr(src.readers, "BROADCAST_FILES", 0)
-        monkeypatch.setattr(src.readers, "SINGLE_HEADERS", 0)
     rows = src.scan_metric_files(spark, metric_dir(tmp_path))
     got = {r["journal_name"]: r for r in rows.collect()}
     assert set(got) == {"One", "Two", "One again", "Three", "Four"}
@@ -66,6 +65,14 @@ def test_metric_files(spark, tmp_path, monkeypatch, salted):
     assert idx["11111111"] == ("Q3", "L") and idx["2222000X"] == ("Q2", "TWO") and idx["33333333"] == ("Q4", "M")
 
 
+def test_metric_files_of_any_width(spark, tmp_path):
+    extra = ",".join(f"x{i}" for i in range(40))
+    put(tmp_path, "WOS_JCR_260101_Law_260301_normalized.csv", f"{extra},{HEAD}" + "v," * 40 + "LAW,SSCI,Wide,1111-1111,,P,Q1,1.5,,,10,W\n")
+    put(tmp_path, "WOS_JCR_260101_Arts_260301_normalized.csv", "category,title\nLAW,No header\n")
+    got = src.scan_metric_files(spark, str(tmp_path)).collect()
+    assert [(r["journal_name"], r["quartile"], r["jif"], r["jcr_abbrev"]) for r in got] == [("Wide", "Q1", "1.5", "W")]
+
+
 YAML = """meta:
   generated: 2026-02-01
   inputs:
