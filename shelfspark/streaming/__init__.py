@@ -2,6 +2,8 @@
 
 from shelfspark.streaming.jobs import (  # noqa: F401
     drain,
+    fold_blocks,
+    fold_status,
     job_status_stream,
     purge_archived_stream,
     session_blocks_stream,

@@ -18,42 +18,66 @@ def _finish_ts(ts: str, line: str) -> Column:
     return F.when(F.col(line).rlike(FINISH_MARK), F.col(ts))
 
 
-def job_status_stream(lines: DataFrame, job: str = "job_id", ts: str = "ts", line: str = "line") -> DataFrame:
-    """Current state per job; run in update mode. Also works on a batch frame."""
+def _by_part(lines: DataFrame, job: str, ts: str, span: str, delay: str):
+    return lines.withWatermark(ts, delay).groupBy(job, F.window(ts, span).alias("w"))
+
+
+def job_status_stream(
+    lines: DataFrame, job: str = "job_id", ts: str = "ts", line: str = "line", span: str = "1 day", delay: str = "1 day"
+) -> DataFrame:
+    """State of each job by parts of ``span``; run in update mode and read with :func:`fold_status`.
+
+    A part leaves the state once it lies ``delay`` behind the newest line, so the state does not
+    grow with the number of jobs; lines later than that are lost. Also works on a batch frame.
+    """
     finished = _finish_ts(ts, line)
-    state = lines.groupBy(job).agg(
+    state = _by_part(lines, job, ts, span, delay).agg(
         F.max(ts).alias("last_activity"),
         F.max(finished).alias("finished_at"),
         F.max_by(F.regexp_extract(line, FINISH_MARK, 2), finished).alias("exit_code"),
     )
+    return state.select(job, F.col("w.start").alias("part"), "last_activity", "finished_at", "exit_code")
+
+
+def fold_status(parts: DataFrame, job: str = "job_id") -> DataFrame:
+    """Current state per job from its parts."""
+    state = parts.groupBy(job).agg(
+        F.max("last_activity").alias("last_activity"),
+        F.max("finished_at").alias("finished_at"),
+        F.max_by("exit_code", "finished_at").alias("exit_code"),
+    )
     return state.withColumn("state", F.when(F.col("finished_at").isNotNull(), "done").otherwise("running"))
 
 
 def session_blocks_stream(
-    lines: DataFrame,
-    job: str = "job_id",
-    ts: str = "ts",
-    line: str = "line",
-    ttl: str = "30 minutes",
-    delay: str = "10 minutes",
+    lines: DataFrame, job: str = "job_id", ts: str = "ts", line: str = "line", span: str = "1 day", delay: str = "1 day"
 ) -> DataFrame:
-    """Start-to-finish block of each job; run in append mode.
+    """Start and finish of each job by parts of ``span``; run in update mode and read with :func:`fold_blocks`.
 
-    A block is a session of one job: it closes ``ttl`` after the last line, so a job
-    that never finishes leaves the state too, and a repeated finish mark falls into
-    the same block and is not emitted twice.
+    Open jobs come out too, and a pause of any length does not cut a job. The state is bounded as in
+    :func:`job_status_stream`.
     """
     finished = _finish_ts(ts, line)
+    marks = _by_part(lines, job, ts, span, delay).agg(
+        F.min(F.when(F.col(line).rlike(START_MARK), F.col(ts))).alias("started_at"),
+        F.min(finished).alias("finished_at"),
+        F.min_by(F.regexp_extract(line, FINISH_MARK, 2), finished).alias("code"),
+        F.count("*").alias("n_lines"),
+    )
+    return marks.select(job, F.col("w.start").alias("part"), "started_at", "finished_at", "code", "n_lines")
+
+
+def fold_blocks(parts: DataFrame, job: str = "job_id") -> DataFrame:
+    """Block per started job from its parts: first start mark to first finish mark, as the batch operator gives it."""
     return (
-        lines.withWatermark(ts, delay)
-        .groupBy(job, F.session_window(ts, ttl).alias("w"))
+        parts.groupBy(job)
         .agg(
-            F.min(F.when(F.col(line).rlike(START_MARK), F.col(ts))).alias("started_at"),
-            F.min(finished).alias("finished_at"),
-            F.min_by(F.regexp_extract(line, FINISH_MARK, 2), finished).alias("code"),
-            F.count("*").alias("n_lines"),
+            F.min("started_at").alias("started_at"),
+            F.min("finished_at").alias("finished_at"),
+            F.min_by("code", "finished_at").alias("code"),
+            F.sum("n_lines").alias("n_lines"),
         )
-        .drop("w")
+        .where(F.col("started_at").isNotNull())
     )
 
 

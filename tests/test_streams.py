@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from shelfspark.operators.jobs import purge_archived_blocks, session_blocks
-from shelfspark.streaming import drain, job_status_stream, purge_archived_stream, session_blocks_stream
+from shelfspark.streaming import drain, fold_blocks, fold_status, job_status_stream, purge_archived_stream, session_blocks_stream
 
 START = "timestamp_seconds(1700000000 + pos * 60)"
 
 
 def lines(spark):
     rows = [("job_a", 0, "====== job_a started ======"), ("job_b", 1, "====== job_b started ======"), ("job_a", 2, "x"), ("job_a", 3, "====== job_a finished code=0 ======"),
-            ("job_a", 4, "====== job_a finished code=0 ======"), ("job_b", 5, "y"), ("job_z", 900, "====== job_z started ======")]
+            ("job_a", 4, "====== job_a finished code=0 ======"), ("job_b", 500, "y"), ("job_z", 900, "====== job_z started ======")]
     return spark.createDataFrame(rows, "job_id string, pos int, line string").withColumn("ts", F.expr(START))
 
 
@@ -23,17 +23,30 @@ def stream(spark, tmp_path, per_file=None):
 
 
 def test_status(spark, tmp_path):
-    got = drain(job_status_stream(stream(spark, tmp_path, 1)), "update", ["job_id"])
-    want = job_status_stream(lines(spark))
+    got = fold_status(drain(job_status_stream(stream(spark, tmp_path, 1), span="1 hour", delay="30 days"), "update", ["job_id", "part"]))
+    want = fold_status(job_status_stream(lines(spark)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     assert {r["job_id"]: r["state"] for r in got.collect()} == {"job_a": "done", "job_b": "running", "job_z": "running"}
 
 
 def test_blocks(spark, tmp_path):
-    got = {r["job_id"]: (r["code"], r["n_lines"], r["finished_at"] is not None) for r in drain(session_blocks_stream(stream(spark, tmp_path)), "append").collect()}
-    # the last job is still open; a second finish mark does not emit the block again
-    want = {r["job_id"]: (r["code"], r["n_lines"], r["finished"]) for r in session_blocks(lines(spark)).collect() if r["job_id"] != "job_z"}
-    assert got == want
+    parts = drain(session_blocks_stream(stream(spark, tmp_path, 2), span="1 hour", delay="30 days"), "update", ["job_id", "part"])
+    got = {r["job_id"]: (r["code"], r["n_lines"], r["finished_at"] is not None) for r in fold_blocks(parts).collect()}
+    # open jobs, a pause of hours within a job and a second finish mark: the same as in one batch
+    want = {r["job_id"]: (r["code"], r["n_lines"], r["finished"]) for r in session_blocks(lines(spark)).collect()}
+    assert got == want and set(want) == {"job_a", "job_b", "job_z"}
+
+
+def test_state_is_dropped_behind_the_watermark(spark, tmp_path):
+    # a line per file, in order of time: parts of the first hour are gone when the late line comes
+    df = lines(spark)
+    late = df.where("job_id = 'job_b' and pos = 500")
+    path = str(tmp_path / "ordered")
+    for k, part in enumerate([df.where("pos <= 4"), df.where("pos = 900"), late.withColumn("line", F.lit("too late"))]):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    reader = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    parts = drain(session_blocks_stream(reader, span="1 hour", delay="1 minute"), "update", ["job_id", "part"])
+    assert {r["job_id"]: r["n_lines"] for r in fold_blocks(parts).collect()} in ({"job_a": 4, "job_b": 1, "job_z": 1}, {"job_a": 4, "job_b": 2, "job_z": 1})
 
 
 def test_purge(spark, tmp_path):
