@@ -26,7 +26,9 @@ from shelfspark.llm.words import chunks
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 128, 256)
 LONGEST = BUCKETS[-1]
 #: Pieces a task keeps encoded; beyond it the cache starts anew.
-CACHE = 500_000
+CACHE = 150_000
+#: Bytes of text that are cut into pieces at a time.
+CHUNK = 1 << 20
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,6 +233,10 @@ def decode(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v.token_bytes[np.arange(ptr[-1]) - np.repeat(ptr[:-1] - v.token_ptr[ids], length)], ptr
 
 
+def _bytes(raw: np.ndarray, borders: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def send_vocabulary(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Vocabulary(load_ranks(path), pattern))
 
@@ -246,7 +252,7 @@ def encode_texts(docs: DataFrame, vocabulary, text: str = "text", carry: list[st
     def run(batches):
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            for part in chunks(batch, "__text"):
+            for part in chunks(batch, "__text", CHUNK):
                 ids, ptr = encoder.encode([t or "" for t in part.column(len(carry)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids, pa.int32()))], [*carry, "ids"])
 
@@ -265,19 +271,35 @@ def decode_ids(encoded: DataFrame, vocabulary, ids: str = "ids") -> DataFrame:
             own = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             raw, ptr = decode(v, lists.flatten().to_numpy().astype(np.int64))
             off = ptr[np.r_[0, np.cumsum(own)]]
-            out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)])
-            out = pc.if_else(lists.is_valid(), out, None).cast(pa.binary())
+            out = pc.if_else(lists.is_valid(), _bytes(raw, off), None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], out], [*columns, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("decoded", T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, vocabulary, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns, ``ids`` and ``decoded``: both operators in one Python worker, so a task holds the vocabulary once."""
+    carry = [c for c in (carry if carry is not None else docs.columns) if c not in ("ids", "decoded", text)]
+    df = docs.select(*carry, F.col(text).cast("string").alias("__text"))
+
+    def run(batches):
+        encoder = Encoder(vocabulary.value)
+        for batch in batches:
+            for part in chunks(batch, "__text", CHUNK):
+                ids, ptr = encoder.encode([t or "" for t in part.column(len(carry)).to_pylist()])
+                raw, off = decode(vocabulary.value, ids.astype(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], lists, _bytes(raw, off[ptr])], [*carry, "ids", "decoded"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+
+
 def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokens, digest of the ids and digest of the decoded bytes, per row of ``docs``."""
     import public_tokenizers
 
     vocabulary = send_vocabulary(docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    decoded = decode_ids(encode_texts(docs, vocabulary, text, [key]), vocabulary)
+    decoded = round_trip(docs, vocabulary, text, [key])
     return decoded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
