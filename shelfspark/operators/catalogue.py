@@ -341,17 +341,14 @@ def union_key_pairs(journals: DataFrame) -> DataFrame:
 
 
 def source_fallback(*sources: DataFrame) -> DataFrame:
-    """Rows of the first source that has any.
+    """The first source that has any row, else the last.
 
-    The first non-empty position is a scalar subquery, so nothing is counted on the
-    driver and each source is scanned by the cluster.
+    Each source is asked for one row when this is called; only the chosen one is read in full.
     """
-    tagged = None
-    for i, s in enumerate(sources):
-        part = s.withColumn("_src", F.lit(i))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    first = tagged.agg(F.min("_src")).scalar()
-    return tagged.where(F.col("_src") == first).drop("_src")
+    for s in sources[:-1]:
+        if not s.isEmpty():
+            return s
+    return sources[-1]
 
 
 # --- versions of lists and files --------------------------------------------------------

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover
+from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -51,29 +51,70 @@ def document_frequency(docs: DataFrame, token_col: str = "tokens", max_df: float
     return df.withColumn("n_docs", total).where(F.col("df") <= F.col("n_docs") * max_df)
 
 
-def token_features(
-    docs: DataFrame, token_col: str = "tokens", vocab: int = 1 << 14, min_df: float = 2.0, max_df: float = MAX_DF
-) -> tuple[DataFrame, list[str]]:
-    """TF-IDF vectors in ``features`` and the vocabulary behind them."""
-    counter = CountVectorizer(inputCol=token_col, outputCol="_tf", vocabSize=vocab, minDF=min_df)
-    # from 1.0 on the estimator would read a number of documents
-    cv = (counter.setMaxDF(max_df) if max_df < 1 else counter).fit(docs)
-    counted = cv.transform(docs)
-    idf = IDF(inputCol="_tf", outputCol="features").fit(counted)
-    return idf.transform(counted).drop("_tf"), cv.vocabulary
+def token_features(docs: DataFrame, token_col: str = "tokens", max_df: float = MAX_DF, buckets: int = 1 << 16) -> DataFrame:
+    """TF-IDF vectors in ``features``; every term has a place in them by its hash, so no vocabulary is held or cut.
+
+    Terms in more than ``max_df`` of the documents are left out. There are at most (mean number of different
+    terms of a document) / ``max_df`` of them, so they are a list in the plan.
+    """
+    if max_df < 1:
+        df = unnest(docs, [], F.array_distinct(token_col), "term").groupBy("term").agg(F.count("*").alias("df"))
+        common = [r["term"] for r in df.where(F.col("df") > docs.count() * max_df).collect()]
+        kept = F.filter(token_col, lambda w: ~w.isin(common)) if common else F.col(token_col)
+    else:
+        kept = F.col(token_col)
+    counted = HashingTF(inputCol="_kept", outputCol="_tf", numFeatures=buckets).transform(docs.withColumn("_kept", kept))
+    return IDF(inputCol="_tf", outputCol="features").fit(counted).transform(counted).drop("_tf", "_kept")
+
+
+def token_weights(docs: DataFrame, key: str = "doc_id", token_col: str = "tokens", max_df: float = MAX_DF) -> DataFrame:
+    """(key, term, weight): TF-IDF of each term of a document as rows, by the formula of :func:`token_features`."""
+    df = document_frequency(docs, token_col, max_df)
+    tf = unnest(docs, [key], F.col(token_col), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    weight = F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1))
+    return tf.join(df, "term").select(key, "term", weight.alias("weight"))
 
 
 def array_features(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
 
 
-def cluster_topics(features: DataFrame, k: int | str = K.K_DEFAULT, seed: int = 7) -> DataFrame:
-    """``cluster`` per row; ``k`` is a number from 2 to 20 or ``auto``."""
+def cluster_model(features: DataFrame, k: int | str = K.K_DEFAULT, seed: int = 7) -> KMeansModel:
+    """k-means on ``features``; ``k`` is a number from 2 to 20 or ``auto``."""
     if k == "auto":
         k = best_k(k_scan(features, seed=seed))
     k = min(max(int(k), K.K_MIN), K.K_MAX)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
-    return model.transform(features)
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
+
+
+def cluster_topics(features: DataFrame, k: int | str = K.K_DEFAULT, seed: int = 7) -> DataFrame:
+    """``cluster`` per row; ``k`` is a number from 2 to 20 or ``auto``."""
+    return cluster_model(features, k, seed).transform(features)
+
+
+def nearest_centre(assigned: DataFrame, model: KMeansModel, key: str) -> DataFrame:
+    """(key, cluster, nearest): whether the row's cluster is the one of its nearest centre.
+
+    Computed apart from the model by a join over the non-zero components; the centres are at most 20 rows.
+    """
+    spark = assigned.sparkSession
+    rows = [(c, float(x @ x), [float(v) for v in x]) for c, x in enumerate(model.clusterCenters())]
+    centres = spark.createDataFrame(rows, "c int, norm double, centre array<double>")
+    parts = centres.select("c", F.posexplode("centre").alias("i", "m")).where("m <> 0")
+    own = assigned.select(key, "cluster", F.posexplode(vector_to_array("features")).alias("i", "x")).where("x <> 0")
+    dots = own.join(parts, "i").groupBy(key, "c").agg(F.sum(F.col("x") * F.col("m")).alias("dot"))
+    every = assigned.select(key, "cluster", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("c"))
+    apart = every.join(centres.select("c", "norm"), "c").join(dots, [key, "c"], "left")
+    # the row's own norm is the same for all centres and left out
+    apart = apart.withColumn("d", F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0)))
+    best = apart.groupBy(key).agg(F.min("d").alias("least"), F.max(F.when(F.col("c") == F.col("cluster"), F.col("d"))).alias("d"), F.first("cluster").alias("cluster"))
+    return best.select(key, "cluster", (F.col("d") <= F.col("least") + 1e-9 * (1 + F.abs("least"))).alias("nearest"))
+
+
+def silhouette(features: DataFrame, cluster: str = "cluster") -> float:
+    """Mean silhouette of an assignment, by squared distance."""
+    numbered = features.withColumn("_c", F.col(cluster).cast("double"))
+    return float(ClusteringEvaluator(featuresCol="features", predictionCol="_c").evaluate(numbered))
 
 
 def k_scan(

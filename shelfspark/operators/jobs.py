@@ -185,7 +185,3 @@ def block_lines(lines: DataFrame, blocks: DataFrame, job: str = "job_id", pos: s
 def purge_archived_blocks(lines: DataFrame, archived: DataFrame, job: str = "job_id") -> DataFrame:
     """Lines of jobs that are not archived."""
     return lines.join(archived.select(job).distinct(), job, "left_anti")
-
-
-def latest_state(events: DataFrame, job: str = "job_id", ts: str = "ts", state: str = "state") -> DataFrame:
-    return last_per_key(events.select(job, ts, state), [job], [ts])

@@ -102,21 +102,27 @@ def paper_lookup(papers: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("t
     return papers.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def fill_from_fallback(papers: DataFrame, pages: DataFrame, missing: Column, key: str = "url") -> DataFrame:
-    """Fill missing abstracts with the text of the page of the same URL.
+def fill_from_fallback(papers: DataFrame, pages: DataFrame, missing: Column, key: str | Sequence[str] = "url") -> DataFrame:
+    """Fill missing abstracts with the text of the page of the same key; of several keys (URL, DOI) the first that has text.
 
     Only papers that lack an abstract carry a key into the join, so the text of the
     others is never matched; their missing keys are spread.
     """
-    text = pages.groupBy(key).agg(F.max("page_text").alias("_text")).withColumnRenamed(key, "_key")
-    probe = F.when(missing, F.col(key))
-    salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
-    joined = papers.withColumn("_key", F.coalesce(probe, salt)).join(text, "_key", "left")
-    return joined.select(
-        *[F.col(c) for c in papers.columns if c != "abstract"],
-        F.coalesce(F.when(missing, blank_to_null("_text")), F.col("abstract")).alias("abstract"),
-        (missing & blank_to_null("_text").isNotNull()).alias("filled"),
-    )
+    keys = [key] if isinstance(key, str) else list(key)
+    df = papers.withColumn("filled", F.lit(False)).withColumn("_wanted", F.coalesce(missing, F.lit(False)))
+    for k in keys:
+        text = pages.where(F.col(k).isNotNull()).groupBy(k).agg(F.max("page_text").alias("_text")).withColumnRenamed(k, "_key")
+        wanted = F.col("_wanted") & ~F.col("filled")
+        salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string"))
+        joined = df.withColumn("_key", F.coalesce(F.when(wanted, F.col(k)), salt)).join(text, "_key", "left")
+        found = wanted & blank_to_null("_text").isNotNull()
+        df = joined.select(
+            *[F.col(c) for c in papers.columns if c != "abstract"],
+            F.when(found, blank_to_null("_text")).otherwise(F.col("abstract")).alias("abstract"),
+            (F.col("filled") | found).alias("filled"),
+            "_wanted",
+        )
+    return df.drop("_wanted")
 
 
 def merge_section_titles(rows: DataFrame, sections: DataFrame, doc: str = "doc") -> DataFrame:

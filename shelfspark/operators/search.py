@@ -71,7 +71,8 @@ def paper_key(doi="doi", openalex="openalex", title="title", year="year") -> Col
     return F.coalesce(
         F.concat(F.lit("doi:"), bare_doi),
         F.concat(F.lit("oa:"), blank_to_null(openalex)),
-        F.concat(F.lit("t:"), name_norm(title), F.lit("|"), F.coalesce(col(year).cast("string"), F.lit(""))),
+        # titles can be whole texts, so their digest is the key
+        F.concat(F.lit("t:"), F.sha2(name_norm(title), 256), F.lit("|"), F.coalesce(col(year).cast("string"), F.lit(""))),
     )
 
 

@@ -171,7 +171,6 @@ def sort_base_insensitive(spark, sf):
 
 # --- session log --------------------------------------------------------------------------------
 
-_LINES = """concat('job_', conv_id) AS job_id, cast(conv_id * 1000 + turn * 2 AS BIGINT) AS pos, text AS line"""
 
 
 def session_lines(spark, sf):

@@ -141,21 +141,48 @@ def cluster_labels(spark, sf):
     return cl.cluster_labels(tokenised(spark, sf).withColumnRenamed("source", "cluster"))
 
 
-@query("cluster_topics")
+@query(
+    "token_weights",
+    f"""WITH {_TOKENS}, {_DF}, tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY 1, 2)
+     SELECT doc_id, term, round(tf * ln((n_docs + 1.0) / (df + 1.0)), 6) AS weight FROM tf JOIN df USING (term)""",
+)
+def token_weights(spark, sf):
+    return cl.token_weights(tokenised(spark, sf)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("cluster_topics", "SELECT vec_id, TRUE AS nearest FROM embeddings")
 def cluster_topics(spark, sf):
+    # cluster numbers have no SQL form; that every row is in the cluster of its nearest centre has one
     points = cl.array_features(table(spark, sf, "embeddings"))
-    return cl.cluster_topics(points, k=6).select("vec_id", "cluster")
+    model = cl.cluster_model(points, k=6)
+    return cl.nearest_centre(model.transform(points), model, "vec_id").select("vec_id", "nearest")
 
 
-@query("cluster_text")
+@query("cluster_text", "SELECT doc_id, TRUE AS nearest FROM documents")
 def cluster_text(spark, sf):
-    features, _ = cl.token_features(tokenised(spark, sf))
-    return cl.cluster_topics(features, k=6).select("doc_id", "cluster")
+    features = cl.token_features(tokenised(spark, sf), buckets=1 << 12)
+    model = cl.cluster_model(features, k=6)
+    return cl.nearest_centre(model.transform(features), model, "doc_id").select("doc_id", "nearest")
 
 
-@query("k_scan")
+@query("k_scan", "SELECT CAST(range AS INT) AS k, TRUE AS valid FROM range(2, 21)")
 def k_scan(spark, sf):
-    return cl.k_scan(cl.array_features(table(spark, sf, "embeddings")))
+    scan = cl.k_scan(cl.array_features(table(spark, sf, "embeddings")))
+    top = scan.agg(F.max("silhouette")).scalar()
+    valid = F.col("silhouette").between(-1, 1) & (~F.col("best") | (F.col("silhouette") == top))
+    return scan.select("k", valid.alias("valid"))
+
+
+@query(
+    "silhouette_of_labels",
+    """WITH v AS (SELECT vec_id AS id, label AS c, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+      p AS (SELECT a.id, a.c, b.c AS o, sum(list_distance(a.e, b.e) ** 2) AS s, count(*) AS n FROM v a JOIN v b ON true GROUP BY 1, 2, 3),
+      q AS (SELECT id, max(CASE WHEN c = o THEN s / (n - 1) END) AS a, min(CASE WHEN c <> o THEN s / n END) AS b FROM p GROUP BY id)
+     SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM q""",
+)
+def silhouette_of_labels(spark, sf):
+    points = cl.array_features(table(spark, sf, "embeddings"))
+    return spark.createDataFrame([(round(cl.silhouette(points, "label"), 6),)], "silhouette double")
 
 
 @query(

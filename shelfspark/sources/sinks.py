@@ -26,13 +26,20 @@ def sink_versioned(df: DataFrame, path: str, date_tag: str) -> int:
     """Write ``df`` as the next version of the day and return its number.
 
     Versions are partitions, so choosing the next number reads directory names only
-    and "latest" is a filter (:func:`read_latest`), not a second copy.
+    and "latest" is a filter (:func:`read_latest`), not a second copy. A version that
+    another writer has begun is never added to: the next number is taken.
     """
     spark = df.sparkSession
     known = _versions(spark, path)
     n = 1 if known is None else next_version(known, date_tag).first()["next_version"]
-    df.withColumn("date_tag", F.lit(date_tag)).withColumn("version", F.lit(n)).write.partitionBy("date_tag", "version").mode("append").parquet(path)
-    return n
+    while True:
+        try:
+            df.write.mode("errorifexists").parquet(f"{path}/date_tag={date_tag}/version={n}")
+            return n
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            n += 1
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
@@ -52,9 +59,20 @@ def sink_job_subset(journals: DataFrame, path: str, job_id: str) -> None:
 
 
 def sink_archive_by_month(jobs: DataFrame, path: str) -> None:
-    """Append jobs to ``month=YYYY-MM`` partitions (month of mtime in the session zone, UTC)."""
+    """Append jobs to ``month=YYYY-MM`` partitions (month of mtime in the session zone, UTC).
+
+    Jobs that are in their month already are left out, so a rerun adds nothing.
+    """
+    spark = jobs.sparkSession
+    months = retired_to_months(jobs)
+    try:
+        held = spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "job_id")
+        months = months.join(held, ["month", "job_id"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
     # rows of one month may fill many files; the extra key keeps a hot month off a single task
-    spread = retired_to_months(jobs).repartition("month", F.pmod(F.xxhash64("job_id"), F.lit(32)))
+    spread = months.repartition("month", F.pmod(F.xxhash64("job_id"), F.lit(32)))
     spread.write.partitionBy("month").mode("append").parquet(path)
 
 

@@ -192,3 +192,17 @@ def test_facets_and_letters(spark):
     assert {(r["discipline"], r["ord"]) for r in cat.facet_ordered_canonical(cat.facet_disciplines(j)).collect()} == {("Economics", 4), ("Women's Studies", 13)}
     assert {r[0] for r in cat.facet_publishers(j).collect()} == {"P"}
     assert {(r["letter"], r["n"]) for r in cat.letter_groups(j).collect()} == {("A", 2), ("#", 1)}
+
+
+def test_discipline_without_journals_takes_its_metric_file(spark):
+    from shelfspark.plans.catalogue import journal_catalogue
+
+    journals = spark.createDataFrame([("A", "1111-1111", "", "P", ["Law"])], "title string, issn string, eissn string, publisher string, categories array<string>")
+    metrics = spark.createDataFrame(
+        [("f1", "Social Work", "One", "2222-2222", "", "P", "SSCI", "Q1", "1.5", "1", "2", "3", "O", 1), ("f2", "Arts", "Two", "3333-3333", "", "P", "SSCI", "Q2", "1", "1", "2", "3", "T", 1)],
+        "file_name string, file_discipline string, journal_name string, issn_print string, issn_e string, publisher string, edition string, quartile string, jif string, jci string, oa_citable_pct string, total_citations string, jcr_abbrev string, line int",
+    )
+    index = cat.metric_index(metrics, line_cols=["line"])
+    assert [r["title"] for r in journal_catalogue(journals, index, discipline="Law", metrics=metrics).collect()] == ["A"]
+    got = journal_catalogue(journals, index, discipline="Social Work", metrics=metrics).collect()
+    assert [(r["title"], r["jif"]) for r in got] == [("One", "1.5")]

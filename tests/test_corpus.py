@@ -230,6 +230,10 @@ def test_clusters(spark):
     assert cl.best_k(scan) == 2 and scan.where("best").count() == 1
     a, b = (sorted((r["id"], r["cluster"]) for r in cl.cluster_topics(f, k=2).collect()) for _ in range(2))
     assert a == b and len({c for i, c in a if i % 2}) == 1
+    model = cl.cluster_model(f, k=2)
+    assert cl.nearest_centre(model.transform(f), model, "id").where("nearest").count() == 40
+    swapped = model.transform(f).withColumn("cluster", 1 - F.col("cluster"))
+    assert cl.nearest_centre(swapped, model, "id").where("nearest").count() == 0
     share = pp.cluster_share(spark.createDataFrame(a, "id int, cluster int")).collect()
     assert sum(r["pct"] for r in share) == 100.0
     far = spark.createDataFrame([(i, 0, [0.0, float(i == 9) * 50]) for i in range(10)], "id int, cluster int, embedding array<double>")
@@ -243,8 +247,13 @@ def test_tokens_and_labels(spark):
     assert [r["tokens"] for r in t.collect()] == [["machine_learning", "run"], ["machine_learning", "run"], ["field", "work"]]
     labels = {r["cluster"]: r["label"] for r in cl.cluster_labels(t, max_df=1.0).collect()}
     assert labels == {0: "machine_learning / run", 1: "field / work"}
-    features, vocab = cl.token_features(t, min_df=1.0, max_df=1.0)
-    assert set(vocab) == {"machine_learning", "run", "field", "work"} and "features" in features.columns
+    features = [r["features"] for r in cl.token_features(t, max_df=1.0).collect()]
+    # no term is dropped, also those of a single document
+    assert [v.numNonzeros() for v in features] == [2, 2, 2]
+    common = [r["features"].numNonzeros() for r in cl.token_features(t, max_df=0.5).collect()]
+    assert common == [0, 0, 2]
+    weights = {(r["cluster"], r["term"]): r["weight"] for r in cl.token_weights(t.where("cluster = 1"), "cluster", max_df=1.0).collect()}
+    assert weights == {(1, "field"): 0.0, (1, "work"): 0.0}
 
 
 def test_qa_gate_and_batches(spark):
@@ -256,3 +265,11 @@ def test_qa_gate_and_batches(spark):
     sizes = sorted(r["count"] for r in pp.papers_per_cluster_batches(a).groupBy("batch").count().collect())
     assert sizes == [1, 12, 12]
     assert pp.papers_per_cluster_batches(a, 0).select("batch").distinct().count() == 25
+
+
+def test_fallback_by_url_then_doi(spark):
+    papers = spark.createDataFrame([(1, "u1", "d1", ""), (2, "u2", "d2", ""), (3, None, "d3", None), (4, "u1", None, "kept"), (5, None, None, "")], "id int, url string, doi string, abstract string")
+    pages = spark.createDataFrame([("u1", "d9", "by url"), ("x", "d1", "other"), (None, "d2", "by doi"), (None, "d3", " ")], "url string, doi string, page_text string")
+    missing = F.coalesce(F.col("abstract"), F.lit("")) == ""
+    got = {r["id"]: (r["abstract"], r["filled"]) for r in pp.fill_from_fallback(papers, pages, missing, ["url", "doi"]).collect()}
+    assert got == {1: ("by url", True), 2: ("by doi", True), 3: (None, False), 4: ("kept", False), 5: ("", False)}

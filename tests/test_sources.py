@@ -151,3 +151,11 @@ def test_job_subset_rerun_replaces_only_its_own(spark, tmp_path):
     for job, n in (("a", 3), ("b", 2), ("a", 1)):
         src.sink_job_subset(spark.range(n), path, job)
     assert {(r["job_id"], r["count"]) for r in spark.read.parquet(path).groupBy("job_id").count().collect()} == {("a", 1), ("b", 2)}
+
+
+def test_archive_rerun_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    jobs = spark.createDataFrame([("a", "2026-01-05 00:00:00"), ("b", "2026-02-05 00:00:00")], "job_id string, mtime string").withColumn("mtime", F.col("mtime").cast("timestamp"))
+    src.sink_archive_by_month(jobs, path)
+    src.sink_archive_by_month(jobs.union(jobs.limit(1).withColumn("job_id", F.lit("c"))), path)
+    assert sorted(r["job_id"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
