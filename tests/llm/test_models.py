@@ -261,3 +261,26 @@ def test_rare_words_are_joined(spark, documents, monkeypatch):
     none = lm.score_texts(docs, docs.limit(0)).collect()
     assert len(none) == len(rows) and all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in none)
     assert lm.score_texts(docs.limit(0), docs).count() == 0
+
+
+def test_pii_query(spark, sf):
+    import hashlib
+
+    got = {r["doc_id"]: r for r in pii.op7_pii(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        spans, r = plain_spans(d["text"]), got[d["doc_id"]]
+        told = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
+        assert set(told.split(",")) <= set(r["spans"].split(","))
+
+
+def test_bounded_sample(spark):
+    df = spark.range(10_000).repartition(20)
+    got = stats.bounded(df, 50, "id")
+    assert 20 <= got.count() <= 50 and stats.bounded(df, 20_000, "id").count() == 10_000
+    same = spark.range(10_000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("id"))
+    assert stats.bounded(same, 200, "id").where("id = 7").count() < 150
+    assert stats.bounded(df.limit(0), 5, "id").count() == 0
