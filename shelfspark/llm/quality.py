@@ -25,6 +25,8 @@ RANK = 8
 SAMPLE_ROWS = 6000
 FOLDS, HELD = 4, 2
 ACCEPT = 0.7
+#: The filter rejects only what is likelier bad than good, so that clean texts stay.
+REJECT = 0.5
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.1, 2e-4
 #: Small samples are passed through more often, up to so many steps.
 LEAST_STEPS = 1200
@@ -165,10 +167,10 @@ def quality_scores(docs: DataFrame, model: FactorMachine, carry: list[str] | Non
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents the classifier accepts, with their own columns only."""
+    """Documents the classifier does not reject, with their own columns only."""
     model = train(docs, labels)
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__body"), F.col("n_chars").alias("__n"))
-    return quality_scores(packed, model, ["__row"], "__body", "__n").where(F.col("score") >= ACCEPT).select("__row.*")
+    return quality_scores(packed, model, ["__row"], "__body", "__n").where(F.col("score") >= REJECT).select("__row.*")
 
 
 @query("op6_quality")
