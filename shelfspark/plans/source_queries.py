@@ -8,7 +8,7 @@ from shelfspark import sources as src
 from shelfspark.operators import catalogue as cat
 from shelfspark.operators import markdown as md
 from shelfspark.plans import roles as r
-from shelfspark.plans.catalogue_queries import _DETAIL, _blank, _blank_sql
+from shelfspark.plans.catalogue_queries import _DETAIL, _INPUTS_SQL, _blank, _blank_sql, registry_inputs
 from shelfspark.plans.paper_queries import _BLOCKS, summary_docs
 from shelfspark.plans.registry import query
 from shelfspark.plans.roles import table, texts
@@ -103,7 +103,21 @@ def _registry_out(df):
 def scan_registry(spark, sf):
     path = scratch_path(spark, "registry-yaml")
     _yaml_items(spark, sf).select("item").write.text(path)
-    return _registry_out(src.scan_registry(spark, path, indent=""))
+    return _registry_out(src.scan_registry(spark, path))
+
+
+@query("scan_registry_inputs", f"WITH {_INPUTS_SQL} SELECT 'registry_' || registry_id AS registry, discipline, arg_min(prefix, pos) AS prefix FROM valid GROUP BY 1, 2")
+def scan_registry_inputs(spark, sf):
+    """Registries of eight inputs each as files with a meta block, read back and fanned out to disciplines."""
+    path = scratch_path(spark, "registry-inputs")
+    line = F.concat(F.lit("    - label: "), F.col("label"), F.lit("\n      file: '"), F.col("file"), F.lit("'\n      count: "), F.col("count").cast("string"))
+    listed = registry_inputs(spark, sf).groupBy("registry_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit("meta:\n  inputs:\n"), F.array_join("l.line", "\n"), F.lit("\njournals:\n  - name: x"))
+    listed.select(F.concat(F.lit("registry_"), F.col("registry_id").cast("string")).alias("registry"), text.alias("value")).write.partitionBy("registry").text(path)
+    rows = src.scan_registry_inputs(spark, path)
+    meta = rows.groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label", "file", "count"))), lambda i: F.struct(i["label"].alias("label"), i["file"].alias("file"), i["count"].alias("count"))).alias("inputs"))
+    named = meta.withColumn("registry", F.regexp_extract("folder", r"registry=([^/]+)$", 1))
+    return cat.fanout_registry_inputs(named, keys=["registry"]).select("registry", "discipline", "prefix")
 
 
 @query("scan_registry_json", _REGISTRY_ROWS)
@@ -123,7 +137,7 @@ def scan_source_lists(spark, sf):
     for stem, low, keep in (("low_20260301_v2", True, True), ("low_20260301_v1", True, False), ("high_20260201_v10", False, True), ("high_20260201_v9", False, False)):
         rows = items.where(F.col("low") == low).select(F.col("item") if keep else F.lit("- name: old\n  issn: '1'"))
         rows.write.text(f"{path}/journals_{stem}.yml")
-    out = src.scan_source_lists(spark, path, indent="")
+    out = src.scan_source_lists(spark, path)
     return out.select("prefix", "date_tag", "version", "name")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,24 +227,47 @@ def _yaml_items(indent: str) -> Callable[[Iterator], Iterator]:
     return load
 
 
-def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ", indent: str = "  ") -> DataFrame:
+#: First keys a registry record may have.
+_RECORD_KEYS = "|".join([*REGISTRY_FIELDS, "title", "source_categories"])
+
+
+def _registry_indents(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files by the blank before their records: the least one before a list item that begins with a registry field."""
+    items = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.regexp_extract("value", rf"^(?:\x{{FEFF}})?( *)- *(?:{_RECORD_KEYS}):", 1).alias("indent"),
+        F.col("value").rlike(rf"^(?:\x{{FEFF}})? *- *(?:{_RECORD_KEYS}):").alias("is_item"),
+    )
+    found = items.groupBy("file_path").agg(F.min(F.when(F.col("is_item"), F.length("indent"))).alias("n")).collect()
+    empty = [r["file_path"] for r in found if r["n"] is None]
+    if empty or not found:
+        raise ValueError(f"no registry record in {empty or path}")
+    out: dict[str, list[str]] = {}
+    for r in found:
+        out.setdefault(" " * r["n"], []).append(unquote(r["file_path"]))
+    return out
+
+
+def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ", indent: str | None = None) -> DataFrame:
     """Registry or source list in YAML, ``{journals: [...]}`` or a bare list.
 
     The file is split at its list items (``lineSep``), so it is read by many tasks
-    and only single records reach the YAML loader. ``indent`` is the blank before an
-    item: two in the ``journals:`` form, none for a bare list.
+    and only single records reach the YAML loader. ``indent``, the blank before an
+    item, is read from each file where it is not given; a file without a record is an
+    error.
     """
+    if indent is None:
+        parts = [scan_registry(spark, files, item, own) for own, files in sorted(_registry_indents(spark, path).items())]
+        return reduce(DataFrame.unionByName, parts)
     raw = spark.read.option("lineSep", f"\n{indent}{item}").text(path)
     # the first piece of a file is its head (meta, ``journals:``); in a bare list it is the first item
-    piece = F.regexp_replace("value", rf"^(?:\x{{FEFF}})?{item}", "")
+    piece = F.regexp_replace("value", rf"^(?:\x{{FEFF}})?{indent}{item}", "")
     rows = raw.select(
         piece.alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         *file_position(),
-    ).where(F.col("value").rlike(r"(?m)^\s*(name|issn|eissn|title):"))
-    if indent:
-        rows = rows.where(~F.col("value").rlike(r"(?m)^(meta|journals):"))
+    ).where(F.col("value").rlike(rf"(?m)^\s*(?:{_RECORD_KEYS}):") & ~F.col("value").rlike(r"(?m)^(meta|journals):"))
     schema = T.StructType(
         [
             *REGISTRY_SCHEMA.fields,
@@ -255,6 +280,23 @@ def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ",
     return rows.mapInPandas(_yaml_items(indent), schema)
 
 
+def scan_registry_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """``meta.inputs`` of registries as rows ``folder, file_name, pos, label, file, count``, by lines; the records are not parsed."""
+    line = r"^\s*(-\s+)?(label|file|count):\s*(.*?)\s*$"
+    part = lambda i: F.regexp_extract("value", line, i)
+    rows = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), *file_position())
+        .where(F.col("value").rlike(line))
+        .select("file_path", "file_name", "block_start", "row_in_block", (part(1) != "").cast("int").alias("first"), part(2).alias("key"), F.trim(part(3), F.lit("'\"")).alias("v"))
+    )
+    # only the few input lines of a file reach the window
+    order = Window.partitionBy("file_path").orderBy("block_start", "row_in_block")
+    numbered = rows.withColumn("pos", F.sum("first").over(order) - 1)
+    value = lambda k: F.max(F.when(F.col("key") == k, F.col("v")))
+    return numbered.groupBy("file_path", "file_name", "pos").agg(value("label").alias("label"), value("file").alias("file"), value("count").try_cast("int").alias("count")).select(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("folder"), "file_name", "pos", "label", "file", "count")
+
+
 def scan_file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Files below ``path``: ``path, name, size, mtime`` and the ``uri`` other readers report.
 
@@ -401,6 +443,7 @@ __all__ = [
     "scan_journal_index",
     "scan_markdown_corpus",
     "scan_metric_files",
+    "scan_registry_inputs",
     "scan_registry",
     "scan_registry_json",
     "scan_source_lists",

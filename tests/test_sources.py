@@ -100,6 +100,17 @@ def test_registry_yaml(spark, tmp_path):
     assert got["Beta"]["eissn"] == "0000-0001" and "WOS/JCR" in got["Beta"]["notes"] and got["Beta"]["source_categories"] is None
     bare = put(tmp_path, "bare.yml", chr(0xFEFF) + "- name: One\n  issn: '1'\n- name: Two\n")
     assert {r["name"] for r in src.scan_registry(spark, bare, indent="").collect()} == {"One", "Two"}
+    # the usual dump does not indent the items; a record may begin with any field
+    flat = put(tmp_path, "flat.yml", "meta:\n  generated: 1\njournals:\n- short: S\n  name: Three\n- short: only\n- name: Four\n")
+    got = src.scan_registry(spark, [bare, flat, str(tmp_path / "journals.yml")]).collect()
+    assert sorted((r["name"] or r["short"]) for r in got) == ["Alpha: a journal", "Beta", "Four", "One", "Three", "Two", "only"]
+    with pytest.raises(ValueError, match="no registry record"):
+        src.scan_registry(spark, put(tmp_path, "none.yml", "meta:\n  a: 1\n"))
+
+
+def test_registry_inputs(spark, tmp_path):
+    got = src.scan_registry_inputs(spark, put(tmp_path, "journals.yml", YAML.replace("count: 3", "count: 3\n    - label: 'b'\n      file: x_20260101_v1.yml\n      count: many"))).orderBy("pos").collect()
+    assert [(r["pos"], r["label"], r["file"], r["count"]) for r in got] == [(0, "sources q1", "a.yml", 3), (1, "b", "x_20260101_v1.yml", None)]
 
 
 def test_newest_source_lists(spark, tmp_path):
