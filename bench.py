@@ -8,7 +8,7 @@ import statistics
 import time
 
 from shelfspark.plans import all_queries
-from shelfspark.session import build_session
+from shelfspark.session import build_session, clear_scratch
 
 HEADLINE = [
     "catalogue_flow",
@@ -40,6 +40,12 @@ HEADLINE = [
     "session_blocks",
     "job_status_stream",
     "scan_metric_files",
+    "scan_registry",
+    "sort_stage_files",
+    "session_blocks_stream",
+    "cluster_topics",
+    "cluster_text",
+    "k_scan",
 ]
 
 
@@ -65,6 +71,7 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         times[name] = round(statistics.median(runs), 3)
+        clear_scratch(spark)
     print(
         json.dumps(
             {

@@ -47,9 +47,26 @@ def work_root(spark: SparkSession) -> str:
     return named
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """Fresh path below the shared folder; never reused between runs."""
-    return f"{work_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """Fresh path below the shared folder; never reused between runs, removed by :func:`clear_scratch`."""
+    path = f"{work_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what this process wrote below the shared folder. Call it once the results that read it are written.
+
+    Goes through Spark's file system, so it works on any store. Returns the number of paths removed.
+    """
+    conf, removed = spark._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as entry_module
 from shelfspark.operators import catalogue as cat
 from shelfspark.operators import markdown as md
+from shelfspark.plans import all_queries
 from shelfspark.plans import roles as r
 
 SF = "/root/testdata/sf0.01"
-QUERIES = entry_module.queries()
+QUERIES = all_queries()
 
 
 def plan(df):
@@ -49,3 +49,17 @@ def test_markdown_parsing_has_no_shuffle(spark):
 def test_winners_come_from_partial_aggregates(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "Window" not in text and "partial_m" in text
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    from shelfspark.operators.ranking import distributed_row_number
+    from shelfspark.session import clear_scratch, scratch_path
+
+    clear_scratch(spark)
+    path = scratch_path(spark, "probe")
+    ranked = distributed_row_number(spark.range(50), [F.desc("id")])
+    assert ranked.agg(F.max("rn")).first()[0] == 50
+    spark.range(3).write.parquet(path)
+    assert clear_scratch(spark) == 2 and not os.path.exists(path.removeprefix("file:")) and clear_scratch(spark) == 0
