@@ -32,6 +32,8 @@ THRESHOLD = 0.8
 T = 64
 RUNS = 20
 LIMIT = 2048
+#: Classes of a bucket that one task compares at a time; a larger bucket is compared in pairs of such blocks.
+BLOCK = 2048
 #: A split that leaves more than this share of its bucket together does not help any more.
 DENSE = 0.7
 MAX_DEPTH = 12
@@ -168,7 +170,7 @@ def _changes(rows: pa.Table, keys: int) -> np.ndarray:
     return np.flatnonzero(differs) + 1
 
 
-def likely_pairs(sig: np.ndarray, block: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likely_pairs(sig: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of one group that agree in enough min-hashes. Brute force, small groups side by side."""
     need = int(np.ceil(LIKELY * T))
     left, right = [], []
@@ -201,7 +203,7 @@ def _bucket_forest(batches):
     for rows in _grouped(batches, 2):
         cuts = np.r_[0, _changes(rows, 2), rows.num_rows]
         cls, sig = rows.column(2).to_numpy(), _matrix(rows.column(3).combine_chunks(), np.uint32, T)
-        i, j = likely_pairs(sig, rows.column(1).to_numpy(), cuts)
+        i, j = likely_pairs(sig, cuts)
         a, b = forest(cls[i], cls[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -212,7 +214,7 @@ def block_pairs(block, blocks):
     return F.transform(other, lambda o: F.least(block, o) * blocks + F.greatest(block, o))
 
 
-def candidate_links(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
+def candidate_links(classes: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """Forest of likely pairs of classes (cls, sig): the recursive splitting and the buckets' brute force."""
     rows = classes.mapInArrow(_root_paths, "path long, cls long").withColumn("parent_size", F.lit(None).cast("long"))
     found = None
@@ -222,7 +224,7 @@ def candidate_links(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
         rows = written(rows.join(sizes, "path"), "buckets")
         dense = F.coalesce(F.col("size") >= DENSE * F.col("parent_size"), F.lit(False))
         leaf = (F.col("size") <= limit) | dense | F.lit(depth == MAX_DEPTH)
-        blocks = F.ceil(F.col("size") / limit)
+        blocks = F.ceil(F.col("size") / block)
         ends = rows.where(leaf).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")))
         ends = ends.select("path", F.explode(block_pairs(F.col("own"), F.col("blocks"))).alias("block"), "cls")
         ends = ends.join(classes, "cls").select("path", "block", "cls", "sig")
@@ -335,16 +337,16 @@ def exact_links(docs: DataFrame, members: DataFrame, text: str = "text", tile: i
     return rows.mapInArrow(_tile_links, "cls long, n long, low long")
 
 
-def near_classes(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(cls, links, group, least, copies) of every class in ``rows`` (key, cls, sig): links to rows of other classes,
     the group's label and its smallest key."""
     held = rows.where("cls is not null")
     classes = written(held.groupBy("cls").agg(F.first("sig").alias("sig")), "classes")
     copies = held.groupBy("cls").agg(F.count("*").alias("copies"), F.min(key).alias("least"))
     copies = written(copies, "copies")
-    likely = components(candidate_links(classes), "candidates")
+    likely = components(candidate_links(classes, limit, block), "candidates")
     members = likely.select(F.col("node").alias("cls"), "component").join(copies.select("cls", "copies"), "cls")
-    found = written(exact_links(docs, members, text), "links")
+    found = written(exact_links(docs, members, text, tile), "links")
     groups = components(found.where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")), "groups")
     links = found.groupBy("cls").agg(F.sum("n").alias("links"))
     known = copies.join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
@@ -353,7 +355,7 @@ def near_classes(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: st
     return known.drop("least").join(least, "group")
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(key, n_links, class_id, kept) for every row of ``docs``.
 
     ``n_links``: other rows with a Jaccard similarity of at least 0.8 on five-word shingles, copies included.
@@ -362,7 +364,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     of them are ``kept`` if one is; ``one_of_each`` then leaves one. Other columns are ignored.
     """
     rows = written(classed(docs, key, text), "signatures")
-    near = near_classes(docs, rows, key, text)
+    near = near_classes(docs, rows, key, text, limit, block, tile)
     placed = rows.select(key, F.coalesce("cls", F.xxhash64(F.lit("none"), key)).alias("cls")).join(near, "cls", "left")
     class_id = F.when(F.col("least").isNull(), F.col(key)).otherwise(F.col("least"))
     return placed.select(
