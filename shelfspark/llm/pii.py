@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm.registry import query, table
+from shelfspark.llm.stats import bounded
 from shelfspark.llm.words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -360,9 +361,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Tagger:
                 rows, tags = training_windows(t, pick)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([r.tobytes() for r in tags], pa.binary()), pa.array([pick] * len(rows), pa.int32())], ["code", "tag", "pick"])
 
-    order = F.xxhash64(F.lit("pii"), F.col(key), F.col(text))
-    held = docs.where(F.col(text).rlike("[0-9@]"))
-    some = held.orderBy(order).limit(SAMPLE_DOCS).select(F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key)), F.lit(9)).cast("int").alias("p"))
+    held = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    some = bounded(held, SAMPLE_DOCS, "k").select("t", F.pmod(F.xxhash64("k"), F.lit(9)).cast("int").alias("p"))
     found = some.mapInArrow(run, "code binary, tag binary, pick int").orderBy(F.xxhash64("code", "pick")).limit(SAMPLE_WINDOWS).toArrow()
     tagger = Tagger.new()
     tagger.p["bias"][0] = 3.0

@@ -101,6 +101,18 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def bounded(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """At most ``rows`` rows by a hash of ``by`` and the row's place in the scan, so that equal rows are as rare here as in all.
+
+    One count fixes the share of hashes that is taken, so only about ``rows`` rows ever move to the one task
+    that cuts them, whatever the number of partitions.
+    """
+    total, parts = df.count(), 1 << 30
+    take = min(parts, -(-parts * 5 * rows // (4 * max(total, 1))))
+    hashed = df.withColumn("__hash", F.pmod(F.xxhash64(*by, F.monotonically_increasing_id()), F.lit(parts)))
+    return hashed.where(F.col("__hash") < take).orderBy("__hash").limit(rows).drop("__hash")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, parts: int, held: int, key: str = "doc_id", carry: tuple[str, ...] = ("text",)) -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out fold, with the column ``label``.
 
