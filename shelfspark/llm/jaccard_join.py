@@ -142,7 +142,7 @@ def _split_paths(batches):
 def _grouped(batches, keys: int, limit_rows: int = 1 << 16):
     """Batches of whole groups: rows of equal first ``keys`` columns, which come sorted, are never cut apart."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, usual = 0, limit_rows
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -156,7 +156,7 @@ def _grouped(batches, keys: int, limit_rows: int = 1 << 16):
         if cut:
             yield whole.slice(0, cut)
         held, rows = whole.slice(cut).to_batches(), whole.num_rows - cut
-        limit_rows = max(limit_rows, rows * 2) if not cut else 1 << 16
+        limit_rows = max(limit_rows, rows * 2) if not cut else usual
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
