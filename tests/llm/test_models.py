@@ -284,3 +284,15 @@ def test_bounded_sample(spark):
     same = spark.range(10_000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("id"))
     assert stats.bounded(same, 200, "id").where("id = 7").count() < 150
     assert stats.bounded(df.limit(0), 5, "id").count() == 0
+
+
+def untrained(spark, docs):
+    """Symbols that occur in ``docs`` and whose embedding the training has left as it was."""
+    corpus = lm.Corpus.of(lm.token_counts(docs), docs.count())
+    net = lm.train(docs, corpus, spark.sparkContext.broadcast(corpus))
+    moved = np.abs(net.p["embed"] - lm.Network(corpus.symbol_count).p["embed"]).max(1) > 1e-5
+    return np.flatnonzero(~moved & (corpus.symbol_count > 0))
+
+
+def test_language_model_trains_on_all_documents(spark, documents):
+    assert untrained(spark, documents([f"own{k} same words" for k in range(1500)])).size == 0
