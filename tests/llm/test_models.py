@@ -287,7 +287,8 @@ def test_bounded_sample(spark):
 
 
 def untrained(spark, docs):
-    """Symbols that occur in ``docs`` and whose embedding the training has left as it was."""
+    """Symbols that occur in ``docs``, trained on by one task, and whose embedding the training has left as it was."""
+    docs = docs.coalesce(1)
     corpus = lm.Corpus.of(lm.token_counts(docs), docs.count())
     net = lm.train(docs, corpus, spark.sparkContext.broadcast(corpus))
     moved = np.abs(net.p["embed"] - lm.Network(corpus.symbol_count).p["embed"]).max(1) > 1e-5
@@ -296,3 +297,18 @@ def untrained(spark, docs):
 
 def test_language_model_trains_on_all_documents(spark, documents):
     assert untrained(spark, documents([f"own{k} same words" for k in range(1500)])).size == 0
+
+
+def test_long_text_displaces_no_other(spark, documents):
+    long = " ".join(["same words"] * 150_500 + ["last1 last2"])
+    assert untrained(spark, documents([*(f"own{k} same words" for k in range(50)), long, *(f"own{k} same words" for k in range(50, 100))])).size == 0
+
+
+def test_padding_of_lanes_counts_nothing():
+    net, rng = lm.Network(np.arange(lm.VOCABULARY)), np.random.default_rng(0)
+    target, fresh = rng.integers(0, lm.VOCABULARY, (6, 4)), np.zeros((6, 4), bool)
+    keep = np.ones((6, 4), bool)
+    keep[:, 3] = False
+    h = np.zeros((4, lm.HIDDEN), np.float32)
+    (a, g, _), (b, want, _) = net.gradients(target, target, fresh, h, keep), net.gradients(target[:, :3], target[:, :3], fresh[:, :3], h[:3])
+    assert a == pytest.approx(b) and all(np.allclose(g[k], want[k], atol=1e-6) for k in g)
