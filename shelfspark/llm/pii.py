@@ -2,9 +2,10 @@
 
 The rules give the base spans, which always stay. The network reads windows of ``WINDOW`` characters that
 overlap by half; every window is decoded (Viterbi), each character takes the tag of the window in whose middle
-it lies, and spans are read from the stitched tags of the whole text, so a border never cuts one. Each kind
-holds a digit or an ``@`` by definition, so cells of the grid that hold neither, nor border on one that does,
-can hold no span and are not computed. Found spans must hold what their kind demands and touch no base span.
+it lies, and spans are read from the stitched tags of the whole text, so a border never cuts one. Found spans must
+hold what their kind demands (``plausible``) and touch no base span. That is a digit, an ``@`` or an ``(at)``, with
+what may belong to it on both sides (``reaches``); cells of the grid outside of that, and not beside it, can hold
+no span and are not computed.
 
 The network is trained in numpy on windows of a bounded sample whose labels are the rules' spans, plain and
 rewritten (other separators, spelled signs), so that it learns the form and its surroundings.
@@ -34,6 +35,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+#: Signs of which every plausible span holds one, how an address goes on behind one, and digits with the points of an ip.
+GATE = r"[0-9@]|[(\[]at[)\]]"
+_GATE = re.compile(GATE)
+_AT = re.compile(r"@|[(\[]at[)\]]")
+_HOST = re.compile(r"\s*[\w-]+(?:\s*(?:\.|[(\[]dot[)\]])\s*[\w-]+)*")
+_POINTS = re.compile(r"[0-9]+(?:\s*\[?\.\]?\s*[0-9]+)+")
 
 WINDOW, CELL, CONTEXT = 64, 32, 16
 ALPHABET, EMBED, HIDDEN = 256, 8, 12
@@ -88,10 +95,25 @@ def codes(text: str) -> np.ndarray:
     return np.where(c < 128, np.maximum(c, 1), 128 + c % 127).astype(np.int16)
 
 
-def cells(code: np.ndarray) -> np.ndarray:
-    """Grid cells that hold a digit or ``@``, and their neighbours."""
+def reaches(text: str) -> list[tuple[int, int]]:
+    """Borders of all that can be one plausible span with a sign of it, as far as the sign's own cell may not cover it."""
+    out, end = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1].isspace():
+            start -= 1
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        host = _HOST.match(text, m.end())
+        out.append((start, host.end() if host else m.end()))
+        end = m.end()
+    return out + [m.span() for m in _POINTS.finditer(text) if m.end() - m.start() > CELL]
+
+
+def cells(code: np.ndarray, reach: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Grid cells that hold a digit or ``@`` or part of a reach, and their neighbours."""
     at = np.flatnonzero(((code >= 48) & (code <= 57)) | (code == 64)) // CELL
-    at = np.unique(at)
+    at = np.unique(np.concatenate([at, *(np.arange(s // CELL, (e - 1) // CELL + 1) for s, e in reach or [])]))
     at = np.unique(np.concatenate([at - 1, at, at + 1]))
     return at[(at >= 0) & (at * CELL < len(code))]
 
@@ -289,9 +311,9 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int
     out = [[(*s, True) for s in base_spans(t)] for t in texts]
     picked = []
     for k, t in enumerate(texts):
-        if _SIGN.search(t):
+        if _GATE.search(t):
             code = codes(t)
-            picked.append((k, code, cells(code)))
+            picked.append((k, code, cells(code, reaches(t))))
     for a in range(0, len(picked), 256):
         group = picked[a : a + 256]
         rows = np.concatenate([windows(code, cell) for _, code, cell in group])
@@ -344,7 +366,7 @@ def training_windows(text: str, pick: int) -> tuple[np.ndarray, np.ndarray]:
     for kind, s, e in marks:
         tag[s:e] = 2 + 2 * KINDS.index(kind)
         tag[s] -= 1
-    cell = cells(code)
+    cell = cells(code, reaches(text))
     rows, tags = windows(code, cell), windows(tag, cell)
     # a window that begins inside a span begins with its first tag
     inside = (tags[:, 0] > 0) & (tags[:, 0] % 2 == 0)
@@ -361,7 +383,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Tagger:
                 rows, tags = training_windows(t, pick)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([r.tobytes() for r in tags], pa.binary()), pa.array([pick] * len(rows), pa.int32())], ["code", "tag", "pick"])
 
-    held = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    held = docs.where(F.col(text).rlike(GATE)).select(F.col(key).alias("k"), F.col(text).alias("t"))
     some = bounded(held, SAMPLE_DOCS, "k").select("t", F.pmod(F.xxhash64("k"), F.lit(9)).cast("int").alias("p"))
     found = some.mapInArrow(run, "code binary, tag binary, pick int").orderBy(F.xxhash64("code", "pick")).limit(SAMPLE_WINDOWS).toArrow()
     tagger = Tagger.new()

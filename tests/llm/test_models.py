@@ -178,6 +178,32 @@ def test_tagger_learns_and_stitches():
         assert all(a[3] or all(a[2] <= b[1] or b[2] <= a[1] for b in marked) for a in spans)
 
 
+def test_pii_reads_all_that_can_be_a_span(monkeypatch):
+    pad = "plain words of a text that say nothing at all " * 6
+    mails = ["jane(at)example(dot)org", "jane[at]example[dot]org", f"{'j' * 150}(at)example(dot)org", f"jane (at) {'sub-label . ' * 20}org", f"jane{' ' * 150}@ example.org"]
+    texts = [pad + m + " " + pad for m in mails] + [pad + "1" + "\t" * 150 + ". 2.3.4 " + pad]
+
+    def decode(self, code):
+        """A network that marks all of e-mails, or all digits and signs of an ip."""
+        out = np.zeros(code.shape, np.int8)
+        for t, body in zip(texts, [*mails, texts[5][len(pad) : -len(pad) - 1]]):
+            k = t.index(body)
+            tag = np.zeros(len(t), np.int16)
+            tag[k : k + len(body)] = 2 + 2 * pii.KINDS.index("email" if body in mails else "ip")
+            tag[k] -= 1
+            all_ = np.arange(-(-len(t) // pii.CELL))
+            known = {c.tobytes(): x for c, x in zip(pii.windows(pii.codes(t), all_).astype(int), pii.windows(tag, all_))}
+            for row, c in enumerate(code.astype(int)):
+                out[row] = np.maximum(out[row], known.get(c.tobytes(), 0))
+        return out
+
+    monkeypatch.setattr(pii.Tagger, "decode", decode)
+    got = pii.all_spans(pii.Tagger({}), texts)
+    assert [[(k, t[s:e]) for k, s, e, base in x if not base] for t, x in zip(texts, got)] == [*([("email", m)] for m in mails), [("ip", texts[5][len(pad) : -len(pad) - 1])]]
+    rows, tags = pii.training_windows(pad + "write a@b.co " + pad, 1 + 3 * 100)
+    assert tags.any() and pii.training_windows(pad + "jane(at)example(dot)org", 0)[0].size
+
+
 def test_pii_frames(spark, documents):
     mail = "é write a@b.co, +1 (017) 555-7713 or 4111 1111 1111 1111 "
     docs = documents([*EDGES, mail * 400, mail, mail])
