@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe", "quality", "toxicity", "pii", "language_model", "embedding_dedup", "manifest", "vector_codes"]
+_MODULES = ["sharding", "decontaminate", "chat_format", "jaccard_join", "byte_bpe", "quality", "toxicity", "pii", "language_model", "embedding_dedup", "manifest", "vector_codes", "html_extract"]
 
 
 def all_queries() -> dict:
