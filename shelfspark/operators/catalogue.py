@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions import catalogue as fc
 from shelfspark.functions.text import blank_to_null, col, lookup, trim_all
-from shelfspark.operators.ranking import first_per_key, last_per_key
+from shelfspark.operators.ranking import first_by_rank, first_per_key, last_per_key, ordinals, packed_rank
+from shelfspark.session import written
 
 DETAIL = ["quartile_raw", "jif", "jci", "oa_citable_pct", "total_citations", "jcr_abbrev"]
 
@@ -58,35 +59,47 @@ def filter_edition(df: DataFrame, edition: str = K.KEPT_EDITION, column: str = "
     return df.where(F.upper(trim_all(column)) == edition)
 
 
+#: Bits of the columns that order the rows of a metric file; others take ``LINE_BITS``.
+LINE_WIDTHS = {"part_no": 16, "block_start": 44, "row_in_block": 33, "line_no": 40}
+LINE_BITS = 32
+FILE_BITS = 20
+
+
+def metric_ranks(jcr: DataFrame, files: DataFrame, file_col: str, line_cols: Sequence[str | tuple[str, int]]) -> DataFrame:
+    """Rows with ``_rank``: the place of the file (``files`` has it as ``_file``), then the line, the last line first."""
+    widths = [(c, LINE_WIDTHS.get(c, LINE_BITS)) if isinstance(c, str) else c for c in line_cols]
+    return jcr.join(files, file_col).withColumn("_rank", packed_rank(("_file", FILE_BITS), *[(c, bits, "down") for c, bits in widths]))
+
+
+def metric_winners(ranked: DataFrame, strict_x: bool = True) -> DataFrame:
+    """``(issn_key, _rank, _q)``: rank of the detail row, and rank of the quartile row with the quartile in its lowest bits."""
+    q = F.right(fc.quartile_clean("quartile"), F.lit(1)).cast("int") - 1
+    keys = F.array(fc.issn_key("issn_print", strict_x), fc.issn_key("issn_e", strict_x))
+    narrow = ranked.select(F.explode(keys).alias("issn_key"), "_rank", (F.col("_rank") * 4 + q).cast("decimal(38,0)").alias("_q"))
+    return narrow.where(F.col("issn_key").isNotNull()).groupBy("issn_key").agg(F.min("_rank").alias("_rank"), F.min("_q").alias("_q"))
+
+
 def metric_index(
     jcr: DataFrame,
     file_col: str = "file_name",
-    line_cols: Sequence[str | Column] = ("line_no",),
+    line_cols: Sequence[str | tuple[str, int]] = ("line_no",),
     strict_x: bool = True,
 ) -> DataFrame:
     """Metrics per ISSN key: last row in a file, first file over files.
 
-    Print and electronic ISSN share one key space. ``quartile`` only looks at rows
-    with a valid quartile, the detail columns look at every row, so the two may come
-    from different files. ``line_cols`` are numeric and order the rows of a file:
-    with their sign turned, file order and line order become one ascending rank, and
-    a single aggregate with map-side combine gives both winners.
+    Print and electronic ISSN share one key space. ``quartile`` only looks at rows with a valid quartile, the detail columns
+    look at every row, so the two may come from different files. ``line_cols`` are whole numbers from 0, given with their
+    bits where :data:`LINE_WIDTHS` does not say; together they order the rows of a file, and no two rows of it share them.
+    The place of the file among all (found when this is called) and the line numbers, their order turned, are one ascending
+    number per row, so a hash aggregate over narrow rows finds both winners: the quartile travels in the two lowest bits, the
+    detail is fetched by that number.
     """
-    keyed = jcr.select(
-        "*",
-        F.explode(F.array(fc.issn_key("issn_print", strict_x), fc.issn_key("issn_e", strict_x))).alias("issn_key"),
-    ).where(F.col("issn_key").isNotNull())
-    rank = F.struct(F.col(file_col).alias("f"), *[(-col(c)).alias(f"l{i}") for i, c in enumerate(line_cols)])
-    q = fc.quartile_clean("quartile")
-    detail = F.struct(
-        blank_to_null("quartile").alias("quartile_raw"),
-        *[blank_to_null(c).alias(c) for c in DETAIL[1:]],
-    )
-    return (
-        keyed.groupBy("issn_key")
-        .agg(F.min_by(q, F.when(q.isNotNull(), rank)).alias("quartile"), F.min_by(detail, rank).alias("d"))
-        .select("issn_key", "quartile", "d.*")
-    )
+    ranked = metric_ranks(jcr, ordinals(jcr, file_col, "_file"), file_col, line_cols)
+    won = written(metric_winners(ranked, strict_x), "metric-winners")  # its true size decides how the rows are fetched
+    code = F.when(F.col("_q").isNotNull(), F.concat(F.lit("Q"), (F.col("_q") % 4 + 1).cast("int").cast("string")))
+    # values are cleaned behind the join, for winners only
+    rows = won.join(ranked.select("_rank", "quartile", *DETAIL[1:]), "_rank")
+    return rows.select("issn_key", code.alias("quartile"), blank_to_null("quartile").alias("quartile_raw"), *[blank_to_null(c).alias(c) for c in DETAIL[1:]])
 
 
 # --- lookups -----------------------------------------------------------------------
@@ -116,19 +129,14 @@ def enrich_two_key(journals: DataFrame, index: DataFrame, strict_x: bool = True)
 
 
 def registry_keys(registry: DataFrame, strict_x: bool = True) -> DataFrame:
-    """Registry as ``(kind, key, rec)``; the last record of a repeated key wins, as in a map."""
-    rec = F.struct(*[F.col(c) for c in registry.columns if c != "row_pos"])
+    """Registry as ``(kind, key, row_pos)``; the last record of a repeated key wins, as in a map."""
     keys = F.array(
         F.struct(F.lit("issn").alias("kind"), fc.issn_key("issn", strict_x).alias("key")),
         F.struct(F.lit("eissn").alias("kind"), fc.issn_key("eissn", strict_x).alias("key")),
         F.struct(F.lit("name").alias("kind"), fc.name_key("name").alias("key")),
     )
-    return (
-        registry.select(F.explode(keys).alias("k"), rec.alias("rec"), "row_pos")
-        .where(F.col("k.key").isNotNull())
-        .groupBy(F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
-        .agg(F.max_by("rec", "row_pos").alias("rec"))
-    )
+    rows = registry.select(F.explode(keys).alias("k"), "row_pos").select("k.kind", "k.key", "row_pos")
+    return rows.where(F.col("key").isNotNull()).groupBy("kind", "key").agg(F.max("row_pos").alias("row_pos"))
 
 
 def _resolve(entries: DataFrame, registry: DataFrame, probes: list[tuple[str, Column]], entry_id: str) -> DataFrame:
@@ -138,15 +146,22 @@ def _resolve(entries: DataFrame, registry: DataFrame, probes: list[tuple[str, Co
             for p, (kind, key) in enumerate(probes)
         ]
     )
+    # a probe finds one record at most, so one number per probe is the whole buffer of the aggregate
+    found = [F.min(F.when(F.col("prio") == p, F.col("row_pos"))).alias(f"_at{p}") for p in range(len(probes))]
     hits = (
         entries.select(entry_id, F.explode(candidates).alias("c"))
         .where(F.col("c.key").isNotNull())
         .select(entry_id, "c.*")
         .join(registry_keys(registry), ["kind", "key"])
         .groupBy(entry_id)
-        .agg(F.min_by(F.struct("rec", "prio"), "prio").alias("h"))
-        .select(entry_id, F.col("h.rec").alias("resolved"), F.col("h.prio").alias("matched_by"))
+        .agg(*found)
     )
+    places = [F.col(f"_at{p}") for p in range(len(probes))]
+    first = F.coalesce(*[F.when(at.isNotNull(), F.lit(p)) for p, at in enumerate(places)])
+    hits = hits.select(entry_id, F.coalesce(*places).alias("_at"), first.alias("matched_by"))
+    # the record itself is fetched once, by its place
+    records = registry.select(F.col("row_pos").alias("_at"), F.struct(*[F.col(c) for c in registry.columns if c != "row_pos"]).alias("resolved"))
+    hits = hits.join(records, "_at").select(entry_id, "resolved", "matched_by")
     return entries.join(hits, entry_id, "left")
 
 
@@ -174,22 +189,26 @@ def anti_missing_issn(requested: DataFrame, journals: DataFrame, key: str = "iss
 
 def category_override(journals: DataFrame, registry: DataFrame) -> DataFrame:
     """Categories of the registry by print key, else e-key, when it has any; else the journal's own."""
-    cats = (
-        registry.where(F.size("source_categories") > 0)
-        .select("row_pos", "source_categories", F.explode(F.array(fc.issn_key("issn"), fc.issn_key("eissn"))).alias("k"))
+    named = registry.where(F.size("source_categories") > 0)
+    places = (
+        named.select("row_pos", F.explode(F.array(fc.issn_key("issn"), fc.issn_key("eissn"))).alias("k"))
         .where(F.col("k").isNotNull())
         .groupBy("k")
-        .agg(F.max_by("source_categories", "row_pos").alias("sc"))
+        .agg(F.max("row_pos").alias("at"))
     )
-    side = lambda tag: cats.select(F.col("k").alias(f"_{tag}"), F.col("sc").alias(f"_{tag}_sc"))
+    side = lambda tag: places.select(F.col("k").alias(f"_{tag}"), F.col("at").alias(f"_{tag}_at"))
     joined = (
         journals.withColumn("_p", spread_null_key(fc.issn_key("issn"), "title", "eissn"))
         .withColumn("_e", spread_null_key(fc.issn_key("eissn"), "title", "issn"))
         .join(side("p"), "_p", "left")
         .join(side("e"), "_e", "left")
     )
+    # journals without a record get places that no record has, so that they do not meet in one task
+    none = -1 - F.pmod(F.xxhash64("title", "issn", "eissn"), F.lit(1024))
+    placed = joined.withColumn("_at", F.coalesce("_p_at", "_e_at", none))
+    cats = named.select(F.col("row_pos").cast("long").alias("_at"), F.col("source_categories").alias("_sc"))
     own = [F.col(c) for c in journals.columns if c != "categories"]
-    return joined.select(*own, F.coalesce("_p_sc", "_e_sc", "categories").alias("categories"))
+    return placed.join(cats, "_at", "left").select(*own, F.coalesce("_sc", "categories").alias("categories"))
 
 
 def overlay_nonnull(entries: DataFrame, index: DataFrame, requested: Sequence[str]) -> DataFrame:
@@ -302,8 +321,15 @@ def facet_ordered_canonical(names: DataFrame, column: str = "discipline") -> Dat
     )
 
 
+#: Bits of the order columns of a catalogue: discipline, quartile, row.
+ORDER_WIDTHS = {"disc_pos": 20, "q_pos": 8, "row_pos": 62}
+
+
 def dedupe_catalogue(entries: DataFrame, order: Sequence[str] = ("disc_pos", "q_pos", "row_pos")) -> DataFrame:
-    """First record of every journal, by source id, else ISSN, else e-ISSN, else name."""
+    """First record of every journal, by source id, else ISSN, else e-ISSN, else name.
+
+    ``order`` names whole numbers from 0 that no two records share; columns without a width in :data:`ORDER_WIDTHS` take 32 bits.
+    """
     # the fields of one record decide its key, whichever of them is filled first
     tagged = lambda tag, c: F.concat(F.lit(tag), c)
     key = F.coalesce(
@@ -314,7 +340,7 @@ def dedupe_catalogue(entries: DataFrame, order: Sequence[str] = ("disc_pos", "q_
         # a record without any of them is nobody's copy
         F.concat_ws("|", F.lit("row"), *[F.col(o).cast("string") for o in order]),
     )
-    return first_per_key(entries, [key], order)
+    return first_by_rank(entries, [key], packed_rank(*[(o, ORDER_WIDTHS.get(o, 32)) for o in order]))
 
 
 def letter_groups(df: DataFrame, title: str = "title") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.catalogue import name_norm
 from shelfspark.functions.text import blank_to_null, col, squeeze
-from shelfspark.operators.ranking import first_per_key
+from shelfspark.operators.ranking import first_by_rank, packed_rank
 
 
 def term_hit(term: str, mode: str = "relaxed", title="title", abstract="abstract", keywords="keywords") -> Column:
@@ -77,7 +77,14 @@ def paper_key(doi="doi", openalex="openalex", title="title", year="year") -> Col
 
 
 def clean_corpus(raw: DataFrame, order: Sequence[str] = ("row_no",), by: Sequence[str] = ()) -> DataFrame:
-    """Collapse white space and keep the first row of every paper."""
+    """Collapse white space and keep the first row of every paper.
+
+    ``order`` names whole numbers from 0 that no two rows share. Only digests of the keys and row numbers are aggregated;
+    texts are cleaned behind that, for the rows that stay.
+    """
     text = {c: squeeze(c) for c in ("title", "journal", "authors", "doi", "openalex", "abstract") if c in raw.columns}
-    cleaned = raw.select(*[text[c].alias(c) if c in text else F.col(c) for c in raw.columns])
-    return first_per_key(cleaned, [*by, paper_key()], list(order))
+    of = lambda c: text.get(c, F.col(c))
+    key = paper_key(of("doi"), of("openalex"), of("title"), of("year"))
+    bits = min(62, 120 // max(len(order), 1))
+    kept = first_by_rank(raw, [*by, key], packed_rank(*[(o, bits) for o in order]))
+    return kept.select(*[text[c].alias(c) if c in text else F.col(c) for c in raw.columns])

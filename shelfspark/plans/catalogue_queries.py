@@ -11,6 +11,7 @@ from shelfspark.plans import roles as r
 from shelfspark.plans.registry import query
 from shelfspark.plans.roles import table, texts
 from shelfspark.plans.scalars import canonical_sql
+from shelfspark.session import written
 
 _IDX = f"{r.METRICS}, {r.metric_index_sql()}"
 _DETAIL = ["jif", "jci", "oa_citable_pct", "total_citations", "jcr_abbrev"]
@@ -26,7 +27,12 @@ def _blank_sql(*cols, prefix=""):
 
 
 def index(spark, sf):
-    return cat.metric_index(r.metrics(spark, sf), line_cols=r.LINE_COLS)
+    return cat.metric_index(r.metrics(spark, sf), line_cols=list(r.LINE_WIDTHS.items()))
+
+
+def looked_up(spark, sf):
+    """The index as a written table, one narrow row a key: lookups ask it twice."""
+    return written(index(spark, sf), "metric-index")
 
 
 # --- filters ------------------------------------------------------------------------
@@ -184,7 +190,7 @@ _ENRICHED = f"""{r.JOURNALS}, {_IDX}, enriched AS (SELECT j.*, coalesce(p.quarti
 
 @query("enrich_two_key", f"WITH {_ENRICHED} SELECT entry_id, {_blank_sql('quartile', *_DETAIL)} FROM enriched")
 def enrich_two_key(spark, sf):
-    return cat.enrich_two_key(r.journals(spark, sf), index(spark, sf)).select("entry_id", *_blank("quartile", *_DETAIL))
+    return cat.enrich_two_key(r.journals(spark, sf), looked_up(spark, sf)).select("entry_id", *_blank("quartile", *_DETAIL))
 
 
 @query(
@@ -193,7 +199,7 @@ def enrich_two_key(spark, sf):
       WHERE quartile = 'Q1' AND list_contains(categories, 'Psychology, Social')""",
 )
 def catalogue_flow(spark, sf):
-    df = flows.journal_catalogue(r.journals(spark, sf), index(spark, sf), discipline="Psychology", quartile="Q1")
+    df = flows.journal_catalogue(r.journals(spark, sf), looked_up(spark, sf), discipline="Psychology", quartile="Q1")
     return df.select("entry_id", "title", "publisher", "quartile", *_blank(*_DETAIL))
 
 
@@ -255,7 +261,7 @@ def overlay_nonnull(spark, sf):
     entries = r.list_entries(spark, sf).selectExpr(
         "entry_id", "name", "issn", "eissn", "CASE WHEN size % 2 = 0 THEN 'Q9' END AS quartile", "cast(size AS STRING) AS jif"
     )
-    out = cat.overlay_nonnull(entries, index(spark, sf), ["Sociology", "Economics"])
+    out = cat.overlay_nonnull(entries, looked_up(spark, sf), ["Sociology", "Economics"])
     return out.select("entry_id", "title", F.array_join("categories", "|").alias("categories"), *_blank("quartile", "jif", "jci"))
 
 
@@ -277,7 +283,7 @@ _DISC_RESOLVED = f"""{r.REGISTRY}, {r.ENTRIES}, {_RKEYS}, {_IDX}, c AS (
 )
 def discipline_flow(spark, sf):
     entries = r.list_entries(spark, sf).withColumn("disc_pos", F.col("size") % 7).withColumn("row_pos", F.col("entry_id"))
-    out = flows.journals_of_disciplines(entries, r.registry(spark, sf), index(spark, sf), ["Sociology"])
+    out = flows.journals_of_disciplines(entries, r.registry(spark, sf), looked_up(spark, sf), ["Sociology"])
     return out.select("entry_id", "title", F.array_join("categories", "|").alias("categories"), *_blank("quartile"))
 
 

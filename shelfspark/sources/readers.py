@@ -15,6 +15,8 @@ from shelfspark import constants as K
 from shelfspark.functions.files import version_parse
 from shelfspark.functions.text import blank_to_null, trim_all
 from shelfspark.operators.catalogue import latest_per_prefix, repair_shifted_rows
+from shelfspark.operators.ranking import distributed_row_number
+from shelfspark.session import written
 
 INDEX_COLUMNS = {
     "title": r"journal title",
@@ -46,10 +48,13 @@ LIST_SEGMENT = r"(?i)^(.*/([^/]+_\d{8}_v\d+\.ya?ml))(?:/[^/]*)?$"
 
 
 def file_position() -> list[Column]:
-    """Order of rows inside one file: start of the split, then the row number in it."""
+    """Order of rows inside one file: start of the split, then the row number in it.
+
+    A split is read by one task, so the task's own row count (the lower 33 bits of the id) orders its rows.
+    """
     return [
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_in_block"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row_in_block"),
     ]
 
 
@@ -395,38 +400,34 @@ def scan_topic_index(spark: SparkSession, path: str, glob: str = "index.json") -
 JOB_FILE = r"/(?:job_id=)?(job_[A-Za-z0-9_]+)(?:\.log|\.meta\.json)$|/job_id=(job_[A-Za-z0-9_]+)/[^/]+$"
 
 
+def _chosen_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """``(uri, job_id)``: one file per job, a live one before archived ones, then by path; found from the listing alone."""
+    uri = F.col("uri")
+    job = F.concat(F.regexp_extract(uri, JOB_FILE, 1), F.regexp_extract(uri, JOB_FILE, 2))
+    files = scan_file_inventory(spark, path, glob).select("uri", job.alias("job_id"), F.contains(uri, F.lit("/archive/")).cast("int").alias("archived"))
+    ranked = distributed_row_number(files, [F.col("archived").asc(), uri.asc()], ["job_id"], name="rn")
+    return written(ranked.where("rn = 1").select("uri", "job_id"), "job-files")
+
+
 def scan_job_logs(
     spark: SparkSession, path: str, log_glob: str = "job_*.log", meta_glob: str = "job_*.meta.json"
 ) -> DataFrame:
     """Logs and outcomes of jobs; a live file wins over its archived copies.
 
-    ``job_id, content, done, exit_code``. One log is one row.
+    ``job_id, content, done, exit_code``. One log is one row. The file of each job is chosen from the listing; texts meet no
+    aggregate, they are only joined with the chosen paths.
     """
     reader = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    p = F.col("_metadata.file_path")
-    job = F.concat(F.regexp_extract(p, JOB_FILE, 1), F.regexp_extract(p, JOB_FILE, 2))
-    prio = F.struct(F.contains(p, F.lit("/archive/")).cast("int").alias("a"), p.alias("p"))
-    logs = (
-        reader(log_glob)
-        .text(path, wholetext=True)
-        .select(job.alias("job_id"), prio.alias("prio"), "value")
-        .groupBy("job_id")
-        .agg(F.min_by("value", "prio").alias("content"))
-    )
-    metas = (
-        reader(meta_glob)
-        .schema("exitCode int, signal string, done boolean")
-        .option("multiLine", "true")
-        .json(path)
-        .select(job.alias("job_id"), prio.alias("prio"), F.struct("exitCode", "signal", "done").alias("m"))
-        .groupBy("job_id")
-        .agg(F.min_by("m", "prio").alias("m"))
-    )
+    uri = F.col("_metadata.file_path").alias("uri")
+    logs = reader(log_glob).text(path, wholetext=True).select(uri, F.col("value").alias("content"))
+    logs = logs.join(_chosen_files(spark, path, log_glob), "uri").select("job_id", "content")
+    metas = reader(meta_glob).schema("exitCode int, signal string, done boolean").option("multiLine", "true").json(path)
+    metas = metas.select(uri, "exitCode", "done").join(_chosen_files(spark, path, meta_glob), "uri").drop("uri")
     return logs.join(metas, "job_id", "left").select(
         "job_id",
         "content",
-        F.coalesce(F.col("m.done"), F.lit(False)).alias("done"),
-        F.col("m.exitCode").alias("exit_code"),
+        F.coalesce("done", F.lit(False)).alias("done"),
+        F.col("exitCode").alias("exit_code"),
     )
 
 

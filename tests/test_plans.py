@@ -47,12 +47,42 @@ def test_markdown_parsing_has_no_shuffle(spark):
         assert "Exchange" not in plan(df)
 
 
-@pytest.mark.parametrize("name", ["metric_index", "dedupe_catalogue", "latest_per_prefix", "clean_corpus", "session_blocks"])
+@pytest.mark.parametrize("name", ["dedupe_catalogue", "latest_per_prefix", "clean_corpus", "session_blocks"])
 def test_winners_come_from_partial_aggregates(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "Window" not in text and "partial_m" in text
 
 
+@pytest.mark.parametrize("name", ["metric_index", "dedupe_catalogue", "clean_corpus", "scan_job_logs", "resolve_record", "resolve_cross_key", "category_override", "catalogue_flow"])
+def test_wide_rows_are_not_sorted_for_an_aggregate(spark, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, SF))
+
+
+def test_metric_winners_are_numbers_in_a_hash_table(spark):
+    ranked = cat.metric_ranks(r.metrics(spark, SF), spark.createDataFrame([("metrics_A", 0)], "file_name string, _file int"), "file_name", list(r.LINE_WIDTHS.items()))
+    text = plan(cat.metric_winners(ranked))
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Window" not in text
+
+
+def test_packed_ranks_order_rows_as_their_fields_do(spark):
+    from pyspark.errors import PySparkException
+
+    from shelfspark.operators.ranking import first_by_rank, packed_rank
+
+    values = [None, 0, 1, 5, 2**40, 2**61]
+    rows = [(a, b, c) for a in (None, 0, 3, 14) for b in values for c in (0, 1, None)]
+    df = spark.createDataFrame(rows, "a int, b long, c int")
+    low = lambda v: -1 if v is None else v
+    got = [tuple(x) for x in df.orderBy(packed_rank(("a", 4), ("b", 62, "down"), ("c", 2))).collect()]
+    assert got == sorted(rows, key=lambda x: (low(x[0]), -low(x[1]), low(x[2])))
+    assert dict(df.select(packed_rank(("a", 4), ("c", 2)).alias("r")).dtypes)["r"] == "bigint"
+    first = {(x["a"], x["b"]) for x in first_by_rank(df.where("c = 1"), ["a"], packed_rank(("b", 62, "down"), ("a", 4))).collect()}
+    assert first == {(a, 2**61) for a in (None, 0, 3, 14)}  # null is a key
+    for bad in ("b", "a - 9"):
+        with pytest.raises(PySparkException):
+            df.selectExpr(f"{bad} AS v").select(packed_rank(("v", 8))).collect()
+
+
 def test_scratch_is_removed(spark, tmp_path):
     import os
 
