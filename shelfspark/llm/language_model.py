@@ -7,8 +7,11 @@ frequent words are sent to all tasks as a table of fixed size; rarer ones are jo
 
 The network (GRU) is trained by truncated backpropagation in numpy on all training documents, where they
 lie: in each round every task trains on its share of them from the weights sent to all, and the weights are
-averaged by the tokens they were trained on. Documents are scored side by side in lanes; the state is carried
-from window to window through the whole document.
+averaged by the tokens they were trained on. One pass in ``ROUNDS`` rounds is made at every size. Documents are scored
+side by side in lanes; the state is carried from window to window through the whole document.
+
+Texts are read twice: once for the counts, once to be written as symbols of two bytes with all the counts say of a
+document. Training and scoring read that table.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +38,17 @@ CLASSES, CLASS_WORDS = 32, 64
 VOCABULARY = CLASSES * CLASS_WORDS
 END, UNKNOWN = 0, 1
 HIDDEN, EMBED = 16, 16
-EPOCHS, LANES, STEPS, RATE = 3, 64, 16, 0.01
-#: One pass over all training documents has so many rounds, each over another share of them. Text so small that
-#: ``EPOCHS`` passes stay below ``LEAST_TOKENS`` is passed through that often, in one round each.
-ROUNDS, LEAST_TOKENS = 4, 3_000_000
+LANES, STEPS, RATE = 64, 16, 0.01
+#: The pass over all training documents has so many rounds, each over another share of them.
+ROUNDS = 4
 #: Long text is laid out in more than ``LANES`` lanes, up to ``WIDE``, of at least so many tokens each.
 WIDE, LANE_TOKENS = 512, 1024
 #: Tokens a task lays out in lanes at a time; averaged weights are sums of whole numbers, so their order is of no effect.
 TRAIN_TOKENS, FIXED = 1 << 19, 1 << 20
+#: Weights travel in rows of so many.
+WEIGHT_BLOCK = 4096
+#: Parts by hash in which words of one count level are cut where not all of them are frequent.
+CUTS = 1 << 14
 SCORE_LANES, SCORE_STEPS, BLOCK_TOKENS = 512, 32, 2_000_000
 SMOOTH = 0.1
 FLUSH = 1_500_000
@@ -102,8 +108,16 @@ class Corpus:
         levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()  # at most 1024 rows
         n, v = sum(r["c"] for r in levels), sum(r["words"] for r in levels)
         upto = np.cumsum([r["words"] for r in levels])
-        held = [r["level"] for r, total in zip(levels, upto, strict=True) if total <= FREQUENT]
-        top = counts.where(level >= min(held, default=1 << 20)).toArrow()  # at most FREQUENT rows
+        whole = int(np.searchsorted(upto, FREQUENT, side="right"))  # levels that are frequent as a whole
+        chosen = level >= (levels[whole - 1]["level"] if whole else 1 << 20)
+        if whole < len(levels):
+            # of the next level as many words as there is room for, by hash
+            part = F.shiftrightunsigned("h", 50).cast("int")
+            parts = counts.where(level == levels[whole]["level"]).groupBy(part.alias("part")).agg(F.count("*").alias("words")).orderBy("part").collect()  # CUTS rows
+            room = FREQUENT - (int(upto[whole - 1]) if whole else 0)
+            cut = int(np.searchsorted(np.cumsum([r["words"] for r in parts]), room, side="right"))
+            chosen |= (level == levels[whole]["level"]) & (part < (parts[cut]["part"] if cut < len(parts) else CUTS))
+        top = counts.where(chosen).toArrow()  # at most FREQUENT rows
         h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
         order = np.lexsort((h, -c))
         h, c = h[order], c[order]
@@ -346,8 +360,8 @@ def symbols_of(texts: pa.Array, corpus: Corpus):
     return all_, ptr, w, count, symbol
 
 
-def _trained(net, corpus):
-    """Per task: the tokens it has read, all of its texts, and the weights after them."""
+def _trained(net):
+    """Per task: the tokens it has read, all of its texts, and the weights after them, in rows of ``WEIGHT_BLOCK``."""
 
     def run(batches):
         own = Network.of({k: v.copy() for k, v in net.value.p.items()})
@@ -359,9 +373,9 @@ def _trained(net, corpus):
             trainer.fit(stream, np.r_[True, stream[:-1] == END])
 
         for batch in batches:
-            for part in chunks(batch, "t"):
-                held.append(symbols_of(part.column(0), corpus.value)[0])
-                size += len(held[-1])
+            for text in _symbols(batch.column(0)):
+                held.append(text)
+                size += len(text)
                 if size >= TRAIN_TOKENS:
                     fit()
                     held, size = [], 0
@@ -369,69 +383,69 @@ def _trained(net, corpus):
             fit()
         if trainer.tokens:
             flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64)
-            columns = [np.arange(len(flat), dtype=np.int32), np.rint(flat * FIXED).astype(np.int64), np.full(len(flat), trainer.tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "w", "n"])
+            fixed = np.rint(flat * FIXED).astype(np.int64) * trainer.tokens
+            yield from _weight_rows({k: (trainer.tokens, fixed[a : a + WEIGHT_BLOCK] >> 24, fixed[a : a + WEIGHT_BLOCK] & 0xFFFFFF) for k, a in enumerate(range(0, len(fixed), WEIGHT_BLOCK))})
 
     return run
 
 
-def train(docs: DataFrame, corpus: Corpus, sent, key: str = "doc_id", text: str = "text") -> Network:
-    """Network fitted on all of ``docs``."""
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_py(), np.int16).astype(np.int32) for v in column]
+
+
+#: Sums of weights times tokens, in two parts so that no sum overflows.
+WEIGHTS = "block int, n long, high array<long>, low array<long>"
+
+
+def _weight_rows(sums: dict):
+    if sums:
+        keys = sorted(sums)
+        kind = pa.list_(pa.int64())
+        columns = [pa.array(keys, pa.int32()), pa.array([sums[k][0] for k in keys], pa.int64()), *(pa.array([sums[k][c] for k in keys], kind) for c in (1, 2))]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "n", "high", "low"])
+
+
+def _added(batches):
+    sums: dict = {}
+    for batch in batches:
+        for k, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            high, low = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+            n, a, b = sums.get(row[0], (0, 0, 0))
+            sums[row[0]] = (n + row[1], a + high, b + low)
+    yield from _weight_rows(sums)
+
+
+def train(texts: DataFrame, corpus: Corpus) -> Network:
+    """Network fitted on all of ``texts`` (round, symbols): one pass, in as many rounds at every size."""
     net = Network(corpus.symbol_count)
-    rounds = [(0, 1)] * EPOCHS if corpus.tokens * EPOCHS <= LEAST_TOKENS else [(k, ROUNDS) for k in range(ROUNDS)]
-    share = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(ROUNDS))
-    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), share.alias("r"))
-    for k, of in rounds:
-        model = docs.sparkSession.sparkContext.broadcast(net)
-        found = (rows.where(F.col("r") == k) if of > 1 else rows).select("t").mapInArrow(_trained(model, sent), "at int, w long, n long")
-        sums = found.groupBy("at").agg(F.sum(F.col("w").cast("decimal(20,0)") * F.col("n")).cast("double").alias("w"), F.sum("n").alias("n"))
-        total = sums.toArrow()  # one row per weight
+    for k in range(ROUNDS):
+        model = texts.sparkSession.sparkContext.broadcast(net)
+        found = texts.where(F.col("round") == k).select("symbols").mapInArrow(_trained(model), WEIGHTS)
+        rows = found.repartition("block").mapInArrow(_added, WEIGHTS).collect()  # one row a block of weights
         model.destroy()
-        if total.num_rows:
-            flat = np.empty(total.num_rows)
-            flat[total.column("at").to_numpy()] = total.column("w").to_numpy() / total.column("n").to_numpy() / FIXED
+        if rows:
+            rows.sort(key=lambda r: r["block"])
+            flat = np.concatenate([(np.array(r["high"], np.float64) * (1 << 24) + np.array(r["low"], np.float64)) / (r["n"] * FIXED) for r in rows])
             border = np.cumsum([net.p[name].size for name in sorted(net.p)])[:-1]
             net = Network.of({name: v.reshape(net.p[name].shape).astype(np.float32) for name, v in zip(sorted(net.p), np.split(flat, border), strict=True)})
     return net
 
 
-def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns (default: the key), n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
-
-    ``training`` gives counts and the network. Null or empty text has one token, its end. Without training
-    rows all counts are 0 and the scores are those of the smoothing alone. Repeated rows are scored each.
-    """
-    spark = docs.sparkSession
-    carry = carry or [key]
-    counts = written(token_counts(training, text), "token-counts")
-    corpus = Corpus.of(counts, training.count())
-    sent = spark.sparkContext.broadcast(corpus)
-    net = spark.sparkContext.broadcast(train(training, corpus, sent, key, text))
+def _read(corpus, n_carry: int, names: list[str]):
+    """Texts as symbols, with what the counts of frequent words say of them; rare words are left as hashes."""
 
     def run(batches):
-        model, own = net.value, sent.value
-        log_count = np.log10(own.count + SMOOTH)
-        log_end = np.log10(own.ends + SMOOTH)
-
-        def block(parts):
-            table_ = pa.Table.from_batches([p[0] for p in parts])
-            symbols, at = np.concatenate([p[1] for p in parts]), np.r_[0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]
-            network = model.score(symbols, at) / np.log(10)
-            columns = [pa.concat_arrays([p[3][k] for p in parts]) for k in range(len(parts[0][3]))]
-            arrays = [*(table_.column(k).combine_chunks() for k in range(len(carry))), pa.array(network), *columns]
-            return pa.RecordBatch.from_arrays(arrays, names)
-
-        held, size = [], 0
+        own = corpus.value
+        log_count, log_end = np.log10(own.count + SMOOTH), np.log10(own.ends + SMOOTH)
         for batch in batches:
             for part in chunks(batch, "__text"):
-                symbols, ptr, w, count, symbol = symbols_of(part.column(len(carry)), own)
+                symbols, ptr, w, count, symbol = symbols_of(part.column(n_carry), own)
                 n = len(w.ptr) - 1
                 doc = w.doc
                 frequent = count >= 0
                 inside = symbol != UNKNOWN
-                key_at = own.lookup.find(w.hash[frequent])[1]
                 log = np.zeros(len(count))
-                log[frequent] = log_count[key_at]
+                log[frequent] = log_count[own.lookup.find(w.hash[frequent])[1]]
                 rare_doc, rare = doc[~frequent], w.hash[~frequent]
                 by = np.lexsort((rare, rare_doc))
                 rare_doc, rare = rare_doc[by], rare[by]
@@ -442,23 +456,95 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 lists = [pa.ListArray.from_arrays(pa.array(rare_ptr, pa.int32()), v) for v in (pa.array(rare[first].view(np.int64)), pa.array(times, pa.int32()))]
                 numbers = [w.counts + 1, np.bincount(doc[frequent], minlength=n) + (own.ends > 0), np.bincount(doc[~inside], minlength=n)]
                 logs = [np.bincount(doc[inside], log[inside], n) + log_end, np.bincount(doc[frequent & ~inside], log[frequent & ~inside], n)]
-                held.append((part.select(carry), symbols, ptr, [*(pa.array(v, pa.int64()) for v in numbers), *(pa.array(v, pa.float64()) for v in logs), *lists]))
-                size += len(symbols)
+                small = symbols.astype(np.int16)
+                texts = pa.array([small[a:e].tobytes() for a, e in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)], pa.binary())
+                carried = [part.column(k) for k in range(n_carry)]
+                arrays = [*carried, texts, *(pa.array(v, pa.int64()) for v in numbers), *(pa.array(v, pa.float64()) for v in logs), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return run
+
+
+READ = {
+    "__symbols": T.BinaryType(),
+    "__n": T.LongType(),
+    "__known": T.LongType(),
+    "__other": T.LongType(),
+    "__inside": T.DoubleType(),
+    "__frequent": T.DoubleType(),
+    "__rare": T.ArrayType(T.LongType()),
+    "__times": T.ArrayType(T.IntegerType()),
+}
+
+
+def as_symbols(docs: DataFrame, corpus, carry: list[str], text: str = "text") -> DataFrame:
+    """The ``carry`` columns and :data:`READ` of every row, written once."""
+    df = docs.select(*carry, F.col(text).cast("string").alias("__text"))
+    schema = T.StructType([*df.schema.fields[:-1], *(T.StructField(n, k) for n, k in READ.items())])
+    return written(df.mapInArrow(_read(corpus, len(carry), [*carry, *READ]), schema), "lm-symbols")
+
+
+def _scored(net, names: list[str]):
+    """The rows with the network's log-probability in place of the symbols, which come last."""
+
+    def run(batches):
+        def block(parts):
+            rows = pa.Table.from_batches([p[0] for p in parts])
+            texts = [t for p in parts for t in p[1]]
+            found = net.value.score(np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]) / np.log(10)
+            return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks() for k in range(rows.num_columns - 1)), pa.array(found)], names)
+
+        held, size = [], 0
+        for batch in batches:
+            last = batch.num_columns - 1
+            upto = 0
+            texts: list[np.ndarray] = []
+            for k, text in enumerate(_symbols(batch.column(last))):
+                texts.append(text)
+                size += len(text)
                 if size >= BLOCK_TOKENS:
+                    held.append((batch.slice(upto, k + 1 - upto), texts))
                     yield block(held)
-                    held, size = [], 0
+                    held, size, texts, upto = [], 0, [], k + 1
+            if texts:
+                held.append((batch.slice(upto), texts))
         if held:
             yield block(held)
 
-    df = docs.select(*carry, F.col(text).cast("string").alias("__text"))
-    names = [*carry, "__net", "__n", "__known", "__other", "__inside", "__frequent", "__rare", "__times"]
-    kinds = [T.DoubleType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())]
-    schema = T.StructType([*df.schema.fields[:-1], *(T.StructField(n, k) for n, k in zip(names[len(carry) :], kinds, strict=True))])
-    scored = written(df.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("r")).select("__row", F.col("r.__rare").alias("h"), F.col("r.__times").alias("times"))
+    return run
+
+
+def score_texts(docs: DataFrame, training: DataFrame | Column, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns (default: the key), n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+
+    ``training`` gives counts and the network: a frame with the same text column, or a condition on ``docs``, which are then
+    read once for both. Null or empty text has one token, its end. Without training rows all counts are 0 and the scores are
+    those of the smoothing alone. Repeated rows are scored each; texts of any length are read whole. Columns of ``docs`` that
+    are not carried are ignored, whatever their names. Of words that share a count level at the border of the frequent ones,
+    those of the lowest hashes are frequent.
+    """
+    spark = docs.sparkSession
+    carry = carry or [key]
+    shared = isinstance(training, Column)
+    learned = docs.where(training) if shared else training
+    counts = written(token_counts(learned, text), "token-counts")
+    corpus = Corpus.of(counts, learned.count())
+    sent = spark.sparkContext.broadcast(corpus)
+    share = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(ROUNDS)).cast("int")
+    chosen = F.coalesce(training, F.lit(False)) if shared else F.lit(True)
+    columns = lambda df, names: df.select(*names, F.when(chosen, share).alias("__round"), F.col(text).alias("__body"))
+    texts = as_symbols(columns(docs, carry), sent, [*carry, "__round"], "__body") if shared else as_symbols(docs, sent, carry, text)
+    lessons = texts if shared else as_symbols(columns(learned, []), sent, ["__round"], "__body")
+    net = spark.sparkContext.broadcast(train(lessons.select(F.col("__round").alias("round"), F.col("__symbols").alias("symbols")), corpus))
+    # the parts and row places of a written table are the same in every read
+    rows = texts.withColumn("__row", F.monotonically_increasing_id())
+    rare = rows.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("r")).select("__row", F.col("r.__rare").alias("h"), F.col("r.__times").alias("times"))
     rare = rare.join(counts, "h", "left").select("__row", "times", F.coalesce("c", F.lit(0)).alias("c"))
     rare = rare.groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.col("c") + SMOOTH)).alias("__log"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("__more"))
-    found = scored.join(rare, "__row", "left")
+    kept = [*carry, "__row", "__n", "__known", "__other", "__inside", "__frequent"]
+    narrow = rows.select(*kept, "__symbols")
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("__net", T.DoubleType())])
+    found = narrow.mapInArrow(_scored(net, [*kept, "__net"]), schema).join(rare, "__row", "left")
     log_rare = F.coalesce("__log", F.lit(0.0))
     return found.select(
         *carry,
@@ -473,5 +559,5 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 @query("op5_lm_score")
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_texts(docs, docs.where(fold("doc_id", FOLDS) != HELD))
+    scored = score_texts(docs, fold("doc_id", FOLDS) != HELD)
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -316,7 +316,8 @@ def untrained(spark, docs):
     """Symbols that occur in ``docs``, trained on by one task, and whose embedding the training has left as it was."""
     docs = docs.coalesce(1)
     corpus = lm.Corpus.of(lm.token_counts(docs), docs.count())
-    net = lm.train(docs, corpus, spark.sparkContext.broadcast(corpus))
+    rows = lm.as_symbols(docs.select("text", (F.col("doc_id") % lm.ROUNDS).alias("round")), spark.sparkContext.broadcast(corpus), ["round"])
+    net = lm.train(rows.select("round", F.col("__symbols").alias("symbols")), corpus)
     moved = np.abs(net.p["embed"] - lm.Network(corpus.symbol_count).p["embed"]).max(1) > 1e-5
     return np.flatnonzero(~moved & (corpus.symbol_count > 0))
 
@@ -330,6 +331,36 @@ def test_long_text_displaces_no_other(spark, documents):
     assert untrained(spark, documents([*(f"own{k} same words" for k in range(50)), long, *(f"own{k} same words" for k in range(50, 100))])).size == 0
 
 
+@pytest.mark.parametrize("size", [0, 1, 40, 400])
+def test_every_size_is_passed_through_once(spark, documents, size):
+    """One pass in as many rounds whatever the number of tokens: the rounds together fit every symbol once."""
+    docs = documents([f"a{k} b c" for k in range(size)])
+    corpus = lm.Corpus.of(lm.token_counts(docs), docs.count())
+    rows = lm.as_symbols(docs.select("text", (F.col("doc_id") % lm.ROUNDS).alias("round")), spark.sparkContext.broadcast(corpus), ["round"])
+    net = spark.sparkContext.broadcast(lm.Network(corpus.symbol_count))
+    fitted = [rows.where(F.col("round") == k).select("__symbols").mapInArrow(lm._trained(net), lm.WEIGHTS).where("block = 0").agg(F.sum("n")).first()[0] or 0 for k in range(lm.ROUNDS)]
+    assert sum(fitted) == corpus.tokens == 4 * size and (size < 40 or min(fitted) == size)
+
+
+def test_ties_at_the_frequent_words(spark, documents, monkeypatch):
+    """Words of one count fill the frequent ones up to the limit; none is lost for the scores."""
+    monkeypatch.setattr(lm, "FREQUENT", 500)
+    docs = documents([" ".join(f"w{k}_{i}" for i in range(40)) for k in range(50)] + ["the the the the"])
+    corpus = lm.Corpus.of(lm.token_counts(docs), docs.count())
+    assert 450 <= len(corpus.count) <= 500 and corpus.count.max() == 4 and (corpus.symbol > 1).all()
+    monkeypatch.setattr(lm, "FREQUENT", 4000)
+    assert len(lm.Corpus.of(lm.token_counts(docs), docs.count()).count) == 2001
+
+
+def test_a_condition_trains_as_its_rows_do(spark, documents):
+    docs = documents([*enumerate(EDGES), (50, "a b c"), (None, "a")])
+    part = F.col("doc_id") % 2 == 0
+    one, two = (lm.score_texts(docs, t, carry=["doc_id", "score", "lang"]).toPandas() for t in (part, docs.where(part)))
+    assert len(one) == len(EDGES) + 2 and list(one.columns) == ["doc_id", "score", "lang", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    same = lambda f: sorted(zip(f.n_tokens, f.n_known, f.train_tokens, f.base_score.round(6), strict=True))
+    assert same(one) == same(two)
+
+
 def test_padding_of_lanes_counts_nothing():
     net, rng = lm.Network(np.arange(lm.VOCABULARY)), np.random.default_rng(0)
     target, fresh = rng.integers(0, lm.VOCABULARY, (6, 4)), np.zeros((6, 4), bool)
