@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from shelfspark.functions.text import blank_to_null, trim_all
 from shelfspark.operators.catalogue import latest_per_prefix, repair_shifted_rows
 from shelfspark.operators.ranking import distributed_row_number
 from shelfspark.session import written
+from shelfspark.sources.records import record
 
 INDEX_COLUMNS = {
     "title": r"journal title",
@@ -207,82 +207,60 @@ def scan_registry_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("file_name"), *file_position())
 
 
-def _yaml_items(indent: str) -> Callable[[Iterator], Iterator]:
-    """Batches of one YAML list item per row to registry fields."""
+#: First keys a registry record may have.
+_RECORD_KEYS = "|".join([*REGISTRY_FIELDS, "title", "source_categories"])
 
-    def fields(item: str) -> dict:
-        import yaml
 
-        # the item keeps the indent of its file, so that its later lines fit
-        record = yaml.safe_load(f"{indent}- {item}")
-        got = record[0] if isinstance(record, list) and isinstance(record[0], dict) else {}
-        cats = got.get("source_categories")
-        row = {f: None if got.get(f) is None else str(got[f]) for f in REGISTRY_FIELDS}
-        return {**row, "source_categories": [str(c) for c in cats] if isinstance(cats, list) else None}
+_RECORD_START = rf"^(?:\x{{FEFF}})?( *)- *[\"']?(?:{_RECORD_KEYS})[\"']?[ \t]*:"
 
-    def load(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        for pdf in batches:
-            parsed = pd.DataFrame([fields(v) for v in pdf["value"]], columns=[*REGISTRY_FIELDS, "source_categories"])
-            for c in ("file_path", "file_name", "block_start", "row_in_block"):
-                parsed[c] = pdf[c].to_numpy()
-            yield parsed
+def _registry_indents(lines: DataFrame) -> DataFrame:
+    """``(file_path, indent)``: blanks before the records, the least before a list item that begins with a registry field.
 
-    return load
+    A small written table, one row a file; ``lines`` is ``(file_path, value)``.
+    """
+    blank = F.when(F.col("value").rlike(_RECORD_START), F.length(F.regexp_extract("value", _RECORD_START, 1)))
+    return written(lines.groupBy("file_path").agg(F.min(blank).alias("indent")), "registry-indents")
 
 
-#: First keys a registry record may have.
-_RECORD_KEYS = "|".join([*REGISTRY_FIELDS, "title", "source_categories"])
+def _file_path() -> Column:
+    return F.col("_metadata.file_path").alias("file_path")
 
 
-def _registry_indents(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """Files by the blank before their records: the least one before a list item that begins with a registry field."""
-    items = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.regexp_extract("value", rf"^(?:\x{{FEFF}})?( *)- *(?:{_RECORD_KEYS}):", 1).alias("indent"),
-        F.col("value").rlike(rf"^(?:\x{{FEFF}})? *- *(?:{_RECORD_KEYS}):").alias("is_item"),
-    )
-    found = items.groupBy("file_path").agg(F.min(F.when(F.col("is_item"), F.length("indent"))).alias("n")).collect()
-    empty = [r["file_path"] for r in found if r["n"] is None]
-    if empty or not found:
+def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ", indent: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Registry or source list in YAML, ``{journals: [...]}`` or a bare list.
+
+    A file is split at its list items (``lineSep``), so it is read by many tasks, and a record is parsed by column
+    expressions (:func:`shelfspark.sources.records.record`). ``indent``, the blank before an item, is read from each file
+    where it is not given; files are read once for every indent that occurs, and a file without a record is an error.
+    ``only`` is a frame of the ``file_path`` that count, where ``path`` is a folder with others in it.
+    """
+    reader = spark.read if only is None else spark.read.option("recursiveFileLookup", "true")
+    chosen = lambda df: df if only is None else df.join(only, "file_path", "left_semi")
+    if indent is not None:
+        return _records(chosen(_pieces(reader, path, item, len(indent))), len(indent), item)
+    files = _registry_indents(chosen(reader.text(path).select(_file_path(), "value")))
+    empty = [r["file_path"] for r in files.where("indent IS NULL").limit(3).collect()]
+    depths = [r["indent"] for r in files.where("indent IS NOT NULL").select("indent").distinct().collect()]  # a few small numbers
+    if empty or not depths:
         raise ValueError(f"no registry record in {empty or path}")
-    out: dict[str, list[str]] = {}
-    for r in found:
-        out.setdefault(" " * r["n"], []).append(unquote(r["file_path"]))
-    return out
+    parts = [_records(_pieces(reader, path, item, n).join(files.where(F.col("indent") == n), "file_path", "left_semi"), n, item) for n in sorted(depths)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def scan_registry(spark: SparkSession, path: str | list[str], item: str = "- ", indent: str | None = None) -> DataFrame:
-    """Registry or source list in YAML, ``{journals: [...]}`` or a bare list.
+def _pieces(reader, path: str | list[str], item: str, indent: int) -> DataFrame:
+    raw = reader.option("lineSep", "\n" + " " * indent + item).text(path)
+    return raw.select("value", _file_path(), F.col("_metadata.file_name").alias("file_name"), *file_position())
 
-    The file is split at its list items (``lineSep``), so it is read by many tasks
-    and only single records reach the YAML loader. ``indent``, the blank before an
-    item, is read from each file where it is not given; a file without a record is an
-    error.
-    """
-    if indent is None:
-        parts = [scan_registry(spark, files, item, own) for own, files in sorted(_registry_indents(spark, path).items())]
-        return reduce(DataFrame.unionByName, parts)
-    raw = spark.read.option("lineSep", f"\n{indent}{item}").text(path)
+
+def _records(pieces: DataFrame, indent: int, item: str) -> DataFrame:
     # the first piece of a file is its head (meta, ``journals:``); in a bare list it is the first item
-    piece = F.regexp_replace("value", rf"^(?:\x{{FEFF}})?{indent}{item}", "")
-    rows = raw.select(
-        piece.alias("value"),
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        *file_position(),
-    ).where(F.col("value").rlike(rf"(?m)^\s*(?:{_RECORD_KEYS}):") & ~F.col("value").rlike(r"(?m)^(meta|journals):"))
-    schema = T.StructType(
-        [
-            *REGISTRY_SCHEMA.fields,
-            T.StructField("file_path", T.StringType()),
-            T.StructField("file_name", T.StringType()),
-            T.StructField("block_start", T.LongType()),
-            T.StructField("row_in_block", T.LongType()),
-        ]
+    piece = F.regexp_replace("value", rf"^(?:\x{{FEFF}})?{' ' * indent}{item}", "")
+    rows = pieces.withColumn("value", piece).where(
+        F.col("value").rlike(rf"(?m)^\s*[\"']?(?:{_RECORD_KEYS})[\"']?[ \t]*:") & ~F.col("value").rlike(r"(?m)^(meta|journals):")
     )
-    return rows.mapInPandas(_yaml_items(indent), schema)
+    fields = record(F.col("value"), indent, REGISTRY_FIELDS, ["source_categories"])
+    return rows.select(fields.alias("r"), "file_path", "file_name", "block_start", "row_in_block").select("r.*", "file_path", "file_name", "block_start", "row_in_block")
 
 
 def scan_registry_inputs(spark: SparkSession, path: str) -> DataFrame:
@@ -322,16 +300,17 @@ def scan_file_inventory(spark: SparkSession, path: str, glob: str | None = None)
 def scan_source_lists(spark: SparkSession, path: str, **yaml_layout: str) -> DataFrame:
     """Newest source list of every prefix, in rows.
 
-    Listing files is the driver's work anyway, so the few newest paths (one per
-    prefix) are chosen first and older versions are never opened.
+    The newest files (one list per prefix, maybe in parts) are found from the listing; lines of older versions are dropped
+    by their path before anything is parsed.
     """
     files = scan_file_inventory(spark, path).select(
-        F.regexp_extract("path", LIST_SEGMENT, 1).alias("list_path"), F.regexp_extract("path", LIST_SEGMENT, 2).alias("list_name")
+        F.col("uri").alias("file_path"), F.regexp_extract("path", LIST_SEGMENT, 1).alias("list_path"), F.regexp_extract("path", LIST_SEGMENT, 2).alias("list_name")
     )
-    versions = files.where(F.col("list_name") != "").distinct().select("list_path", version_parse("list_name").alias("v"))
-    newest = latest_per_prefix(versions.select("list_path", "v.*"))
-    paths = [r["list_path"] for r in newest.select("list_path").collect()]
-    rows = scan_registry(spark, paths, **yaml_layout)
+    lists = files.where(F.col("list_name") != "")
+    versions = lists.select("list_path", "list_name").distinct().select("list_path", version_parse("list_name").alias("v"))
+    newest = latest_per_prefix(versions.select("list_path", "v.*")).select("list_path")
+    only = written(lists.join(newest, "list_path", "left_semi").select("file_path"), "newest-lists")
+    rows = scan_registry(spark, path, only=only, **yaml_layout)
     v = version_parse(F.regexp_extract("file_path", LIST_SEGMENT, 2))
     return rows.select("*", v["prefix"].alias("prefix"), v["date_tag"].alias("date_tag"), v["version"].alias("version"))
 

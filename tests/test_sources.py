@@ -108,6 +108,106 @@ def test_registry_yaml(spark, tmp_path):
         src.scan_registry(spark, put(tmp_path, "none.yml", "meta:\n  a: 1\n"))
 
 
+HARD = r"""# head comment
+meta:
+  inputs:
+    - label: x
+journals:
+- name: Plain text:no, a 'quote' inside # and a comment
+  short:   spaced
+  issn: 01234567
+  eissn:
+  notes: first line
+    second line
+
+    after a blank
+  jif: 1.50
+- short: |
+    literal
+      deeper # no comment
+
+    last
+
+  name: >-
+    folded
+    line
+
+    new paragraph
+      kept
+      so
+    end
+  notes: |+
+    keep
+
+  issn: "12 \"x\" \\ \u00e9\x41\tz"
+  eissn: 'it''s'
+  source_categories: [Law, "Q, 1", 'it''s', plain text]
+# a comment between records
+- "name": "long
+    quoted
+
+    text"
+  quartile: ~
+  jci: null
+  openalex_source_id: ''
+  source_categories:
+  - Law Q1 # why
+  - 'Social: Work'
+  # comment inside
+  - "A \"b\""
+  - >
+    folded
+    item
+-   name: wide dash
+    short: '#no comment'
+    source_categories: []
+    name2: other
+- name: twice
+  name: last wins
+  notes: >2
+     a
+     b
+    c
+  source_categories:
+    - deeper
+    - ~
+    - two
+      lines
+version: 3
+other: x
+"""
+
+
+@pytest.mark.parametrize("shift", [0, 2, 4])
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_registry_records_equal_a_loader(spark, tmp_path, shift, ends):
+    import yaml
+
+    head, tail = HARD.split("journals:\n")
+    body, foot = tail.split("version: 3")
+    body = "".join((" " * shift if v.strip() else "") + v + "\n" for v in body.splitlines())
+    whole = f"{head}journals:\n{body}version: 3{foot}"
+    want = yaml.load(whole, Loader=yaml.BaseLoader)["journals"]
+    path = tmp_path / "journals.yml"
+    path.write_bytes(whole.replace("\n", ends).encode())
+    got = sorted(src.scan_registry(spark, str(path)).collect(), key=lambda r: (r["block_start"], r["row_in_block"]))
+    assert len(got) == len(want)
+    for r, w in zip(got, want, strict=True):
+        for f in src.REGISTRY_FIELDS:
+            assert r[f] == (None if w.get(f) in (None, "~", "null") or w.get(f) == "" and f != "openalex_source_id" else w[f]), f
+        cats = w.get("source_categories")
+        assert r["source_categories"] == (None if cats is None else [c for c in cats if c != "~"])
+
+
+def test_records_of_both_indents_in_one_folder_without_python(spark, tmp_path):
+    put(tmp_path, "a.yml", "journals:\n- name: flat\n  issn: '1'\n")
+    put(tmp_path, "b.yml", "journals:\n  - name: deep\n    issn: '2'\n")
+    df = src.scan_registry(spark, str(tmp_path))
+    assert {(r["name"], r["issn"], r["file_name"]) for r in df.collect()} == {("flat", "1", "a.yml"), ("deep", "2", "b.yml")}
+    text = df._jdf.queryExecution().toString()
+    assert "MapInPandas" not in text and "PythonUDF" not in text and "SortAggregate" not in text
+
+
 def test_registry_inputs(spark, tmp_path):
     got = src.scan_registry_inputs(spark, put(tmp_path, "journals.yml", YAML.replace("count: 3", "count: 3\n    - label: 'b'\n      file: x_20260101_v1.yml\n      count: many"))).orderBy("pos").collect()
     assert [(r["pos"], r["label"], r["file"], r["count"]) for r in got] == [(0, "sources q1", "a.yml", 3), (1, "b", "x_20260101_v1.yml", None)]
