@@ -137,14 +137,26 @@ class Corpus:
         return float(np.log10(self.other_tokens + SMOOTH * (self.other_distinct + 1)))
 
 
+def _weighed(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``exp(z)`` in place and its sums over the rows; rows are shifted first where ``exp`` could leave the range of floats.
+
+    Returns the shift of every row plus the log of its sum, and the sums.
+    """
+    shift = np.float32(0)
+    if z.max() > 60 or z.min() < -60:
+        shift = z.max(1)
+        z -= shift[:, None]
+    np.exp(z, out=z)
+    s = z @ np.ones(z.shape[1], z.dtype)
+    return shift + np.log(s), s
+
+
 def _softmax_parts(z: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of one place of each row, and the shares of all."""
-    z -= z.max(1, keepdims=True)
     log = z[np.arange(len(z)), place]
-    np.exp(z, out=z)
-    s = z.sum(1, keepdims=True)
-    z /= s
-    return log - np.log(s[:, 0]), z
+    total, s = _weighed(z)
+    z /= s[:, None]
+    return log - total, z
 
 
 class Network:
@@ -186,17 +198,21 @@ class Network:
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after its state; one product per class."""
         cls, place = target % CLASSES, target // CLASSES
-        z = states @ self.p["class"] + self.p["class_b"]
-        z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(1))
+        z = states @ self.p["class"]
+        z += self.p["class_b"]
+        out = z[np.arange(len(z)), cls]
+        out -= _weighed(z)[0]
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        states, place, inner = states[order], place[order], np.empty(len(order), out.dtype)
         for k in range(CLASSES):
-            own = order[cut[k] : cut[k + 1]]
-            if len(own):
-                z = states[own] @ self.p["word"][k] + self.p["word_b"][k]
-                z -= z.max(1, keepdims=True)
-                out[own] += z[np.arange(len(own)), place[own]] - np.log(np.exp(z).sum(1))
+            own = slice(cut[k], cut[k + 1])
+            if cut[k] < cut[k + 1]:
+                z = states[own] @ self.p["word"][k]
+                z += self.p["word_b"][k]
+                one = z[np.arange(len(z)), place[own]]
+                inner[own] = one - _weighed(z)[0]
+        out[order] += inner
         return out
 
     def output_gradients(self, states: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
@@ -211,15 +227,18 @@ class Network:
         g["word"], g["word_b"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["word_b"])
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        states, place, inner = states[order], place[order], np.zeros_like(back)
         for k in range(CLASSES):
-            own = order[cut[k] : cut[k + 1]]
-            if len(own):
-                held = states[own]
-                log, share = _softmax_parts(held @ self.p["word"][k] + self.p["word_b"][k], place[own])
+            own = slice(cut[k], cut[k + 1])
+            if cut[k] < cut[k + 1]:
+                z = states[own] @ self.p["word"][k]
+                z += self.p["word_b"][k]
+                log, share = _softmax_parts(z, place[own])
                 loss -= log.sum(dtype=np.float64)
-                share[np.arange(len(own)), place[own]] -= 1
-                g["word"][k], g["word_b"][k] = held.T @ share, share.sum(0)
-                back[own] += share @ self.p["word"][k].T
+                share[np.arange(len(share)), place[own]] -= 1
+                g["word"][k], g["word_b"][k] = states[own].T @ share, np.ones(len(share), share.dtype) @ share
+                np.matmul(share, self.p["word"][k].T, out=inner[own])
+        back[order] += inner
         return float(loss), back
 
     def gradients(self, before: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
