@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from shelfspark import constants as K
-from shelfspark.functions.text import col, lookup, unnest
+from shelfspark.functions.text import col, let, lookup, unnest
+from shelfspark.operators.ranking import distributed_row_number
 from shelfspark.session import written
 
 MAX_DF, TIGHT_MAX_DF = 0.5, 0.35
+LLOYD_ROUNDS = 5
 
 
 def english_stop_words() -> list[str]:
@@ -51,20 +52,33 @@ def document_frequency(docs: DataFrame, token_col: str = "tokens", max_df: float
     return df.withColumn("n_docs", total).where(F.col("df") <= F.col("n_docs") * max_df)
 
 
-def token_features(docs: DataFrame, token_col: str = "tokens", max_df: float = MAX_DF, buckets: int = 1 << 16) -> DataFrame:
-    """TF-IDF vectors in ``features``; every term has a place in them by its hash, so no vocabulary is held or cut.
+def dictionary(docs: DataFrame, token_col: str = "tokens", max_df: float = MAX_DF) -> DataFrame:
+    """``(term, df, n_docs, term_id)``: kept terms with dense numbers from 0 in ascending order; a written table, spread over all tasks."""
+    terms = written(document_frequency(docs, token_col, max_df), "terms")
+    numbered = distributed_row_number(terms, [F.col("term").asc()], name="_rn")
+    return written(numbered.select("term", "df", "n_docs", (F.col("_rn") - 1).alias("term_id")), "dictionary")
 
-    Terms in more than ``max_df`` of the documents are left out. There are at most (mean number of different
-    terms of a document) / ``max_df`` of them, so they are a list in the plan.
+
+def token_features(docs: DataFrame, key: str = "doc_id", token_col: str = "tokens", max_df: float = MAX_DF, terms: DataFrame | None = None) -> DataFrame:
+    """``(key, indices, values)``: TF-IDF of every row as a sparse vector over all terms of the dictionary.
+
+    Every term has a number of its own (:func:`dictionary`, made here unless given), so no terms share a place and the driver
+    holds no vocabulary. Terms in more than ``max_df`` of the rows are left out. A row without terms has empty arrays.
     """
-    if max_df < 1:
-        df = unnest(docs, [], F.array_distinct(token_col), "term").groupBy("term").agg(F.count("*").alias("df"))
-        common = [r["term"] for r in df.where(F.col("df") > docs.count() * max_df).collect()]
-        kept = F.filter(token_col, lambda w: ~w.isin(common)) if common else F.col(token_col)
-    else:
-        kept = F.col(token_col)
-    counted = HashingTF(inputCol="_kept", outputCol="_tf", numFeatures=buckets).transform(docs.withColumn("_kept", kept))
-    return IDF(inputCol="_tf", outputCol="features").fit(counted).transform(counted).drop("_tf", "_kept")
+    terms = dictionary(docs, token_col, max_df) if terms is None else terms
+    tf = unnest(docs, [key], F.col(token_col), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    weight = F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1))
+    entries = tf.join(terms, "term").select(key, F.struct("term_id", weight.alias("w")).alias("e"))
+    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))  # the different terms of one row
+    none = F.array().cast("array<struct<term_id:bigint,w:double>>")
+    every = docs.select(key).join(rows, key, "left").withColumn("e", F.coalesce("e", none))
+    return every.select(key, F.col("e.term_id").alias("indices"), F.col("e.w").alias("values"))
+
+
+def unit(features: DataFrame) -> DataFrame:
+    """Sparse rows at length 1, so that long texts weigh as much as short ones; a row of zeros stays."""
+    length = F.sqrt(F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v))
+    return features.withColumn("values", let(length, lambda n: F.transform("values", lambda v: F.when(n > 0, v / n).otherwise(v))))
 
 
 def token_weights(docs: DataFrame, key: str = "doc_id", token_col: str = "tokens", max_df: float = MAX_DF) -> DataFrame:
@@ -79,36 +93,142 @@ def array_features(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
 
 
-def cluster_model(features: DataFrame, k: int | str = K.K_DEFAULT, seed: int = 7) -> KMeansModel:
-    """k-means on ``features``; ``k`` is a number from 2 to 20 or ``auto``."""
+def _seed_keys(points: DataFrame, key: str, ks: Sequence[int]) -> DataFrame:
+    """``(k, c, key)``: rows at equal steps of the ascending key are the first centres of each k; sum(ks) rows at most."""
+    ranked = distributed_row_number(points.select(key), [F.col(key).asc()], name="_rn")
+    n = points.count()
+    rows = [(k, c, c * n // k + 1) for k in ks for c in range(min(k, n))]
+    wanted = points.sparkSession.createDataFrame(rows, "k int, c int, _rn long")
+    return ranked.join(F.broadcast(wanted), "_rn").select("k", "c", key)
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances up to the row's own norm, rounded so that equal ones are equal in every order of addition."""
+    return np.round((centres * centres).sum(1) - 2 * (x @ centres.T), 9)
+
+
+def _tally(centres):
+    """Per task, k and cluster: rows and the sum of their vectors."""
+
+    def run(batches):
+        sums = {k: np.zeros(c.shape) for k, c in centres.value.items()}
+        counts = {k: np.zeros(len(c), np.int64) for k, c in centres.value.items()}
+        for batch in batches:
+            if batch.num_rows:
+                x = _points(batch.column(0))
+                for k, c in centres.value.items():
+                    at = _apart(x, c).argmin(1)
+                    counts[k] += np.bincount(at, minlength=len(c))
+                    np.add.at(sums[k], at, x)
+        yield from _sum_rows({(k, c): (int(counts[k][c]), sums[k][c]) for k in sums for c in range(len(sums[k])) if counts[k][c]})
+
+    return run
+
+
+def _added(batches):
+    held: dict = {}
+    for batch in batches:
+        for k, c, n, total in zip(*[v.to_pylist() for v in batch.columns], strict=True):
+            count, sum_ = held.get((k, c), (0, 0.0))
+            held[k, c] = (count + n, sum_ + np.array(total))
+    yield from _sum_rows(held)
+
+
+def _sum_rows(sums: dict):
+    if sums:
+        columns = [[k for k, _ in sums], [c for _, c in sums], [n for n, _ in sums.values()], [t.tolist() for _, t in sums.values()]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["k", "c", "n", "total"])
+
+
+def lloyd(points: DataFrame, ks: Sequence[int], key: str, column: str = "embedding", rounds: int = LLOYD_ROUNDS) -> dict[int, np.ndarray]:
+    """Centres for every k of ``ks`` after so many rounds of k-means, all k in the same scans of the points.
+
+    ``column`` holds arrays of one length. First centres are rows at equal steps of the key; a row belongs to the nearest
+    centre, the first of equal ones; a centre without rows stays. What comes back is a row a centre.
+    """
+    spark, kind = points.sparkSession, "k int, c int, n long, total array<double>"
+    vectors = points.select(F.transform(column, lambda v: v.cast("double")).alias("v"))
+    seeds = points.select(key, F.transform(column, lambda v: v.cast("double")).alias("v")).join(F.broadcast(_seed_keys(points, key, ks)), key).collect()
+    centres = {k: np.array([r["v"] for r in sorted((r for r in seeds if r["k"] == k), key=lambda r: r["c"])]) for k in sorted({r["k"] for r in seeds})}
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(centres)
+        found = vectors.mapInArrow(_tally(sent), kind).repartition("k", "c").mapInArrow(_added, kind).collect()
+        new = {k: c.copy() for k, c in centres.items()}
+        for r in found:
+            new[r["k"]][r["c"]] = np.array(r["total"]) / r["n"]
+        same = all(np.array_equal(new[k], centres[k]) for k in centres)
+        centres = new
+        if same:
+            break
+    return centres
+
+
+def _named(assigned: DataFrame, key: str, k: int) -> DataFrame:
+    """Cluster numbers in the order of the clusters' smallest keys, so that equal clusters have equal numbers in every run."""
+    firsts = assigned.groupBy("_c").agg(F.min(key).alias("first")).collect()  # k rows
+    number = {r["_c"]: n for n, r in enumerate(sorted(firsts, key=lambda r: r["first"]))}
+    names = F.create_map(*[F.lit(v) for pair in (number or {-1: -1}).items() for v in pair])
+    return assigned.withColumn("cluster", names[F.col("_c")]).drop("_c")
+
+
+def cluster_topics(points: DataFrame, k: int | str = K.K_DEFAULT, key: str = "id", column: str = "embedding", rounds: int = LLOYD_ROUNDS) -> DataFrame:
+    """``cluster`` per row, from 0 by the smallest key; ``k`` is a number from 2 to 20 or ``auto``."""
     if k == "auto":
-        k = best_k(k_scan(features, seed=seed))
+        k = best_k(k_scan(points, key=key, column=column, rounds=rounds))
     k = min(max(int(k), K.K_MIN), K.K_MAX)
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
+    centres = lloyd(points, [k], key, column, rounds).get(k)
+    sent = points.sparkSession.sparkContext.broadcast(centres)
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_apart(_points(batch.column(1)), sent.value).argmin(1).astype(np.int32))], [key, "_c"])
 
-def cluster_topics(features: DataFrame, k: int | str = K.K_DEFAULT, seed: int = 7) -> DataFrame:
-    """``cluster`` per row; ``k`` is a number from 2 to 20 or ``auto``."""
-    return cluster_model(features, k, seed).transform(features)
+    rows = points.select(key, F.transform(column, lambda v: v.cast("double")).alias("v"))
+    assigned = written(rows.mapInArrow(run, f"`{key}` {dict(points.dtypes)[key]}, _c int"), "clusters")
+    return _named(assigned, key, k)
 
 
-def nearest_centre(assigned: DataFrame, model: KMeansModel, key: str) -> DataFrame:
-    """(key, cluster, nearest): whether the row's cluster is the one of its nearest centre.
+def cluster_text(features: DataFrame, k: int = K.K_DEFAULT, key: str = "doc_id", rounds: int = LLOYD_ROUNDS) -> DataFrame:
+    """``(key, cluster)`` of sparse rows (``indices, values``), by the same rules as :func:`cluster_topics`.
 
-    Computed apart from the model by a join over the non-zero components; the centres are at most 20 rows.
+    Vectors and centres meet by index, in joins of their non-zero entries: a centre entry is one row with its values for all
+    k, so the number of terms is not bounded by a task or the driver. Every round writes k numbers a row.
     """
-    spark = assigned.sparkSession
-    rows = [(c, float(x @ x), [float(v) for v in x]) for c, x in enumerate(model.clusterCenters())]
-    centres = spark.createDataFrame(rows, "c int, norm double, centre array<double>")
-    parts = centres.select("c", F.posexplode("centre").alias("i", "m")).where("m <> 0")
-    own = assigned.select(key, "cluster", F.posexplode(vector_to_array("features")).alias("i", "x")).where("x <> 0")
-    dots = own.join(parts, "i").groupBy(key, "c").agg(F.sum(F.col("x") * F.col("m")).alias("dot"))
-    every = assigned.select(key, "cluster", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("c"))
-    apart = every.join(centres.select("c", "norm"), "c").join(dots, [key, "c"], "left")
-    # the row's own norm is the same for all centres and left out
-    apart = apart.withColumn("d", F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0)))
-    best = apart.groupBy(key).agg(F.min("d").alias("least"), F.max(F.when(F.col("c") == F.col("cluster"), F.col("d"))).alias("d"), F.first("cluster").alias("cluster"))
-    return best.select(key, "cluster", (F.col("d") <= F.col("least") + 1e-9 * (1 + F.abs("least"))).alias("nearest"))
+    k = min(max(int(k), K.K_MIN), K.K_MAX)
+    rows = written(features.select(key, "indices", "values"), "cluster-rows")
+    keys = rows.select(key)
+    entries = written(rows.select(key, F.explode(F.arrays_zip("indices", "values")).alias("e")).select(key, F.col("e.indices").alias("i"), F.col("e.values").alias("x")), "cluster-entries")
+    cluster = F.col("_c")
+    assigned = F.broadcast(_seed_keys(keys, key, [k]).select(key, F.col("c").alias("_c")))
+    counts, centres, before = dict.fromkeys(range(k), 1), None, None
+    for turn in range(rounds + 1):
+        mean = [F.coalesce(F.sum(F.when(cluster == c, F.col("x"))), F.lit(0.0)) / counts[c] if counts.get(c) else F.lit(0.0) for c in range(k)]
+        new = entries.join(assigned, key).groupBy("i").agg(F.array(*mean).alias("m"))
+        empty = [c for c in range(k) if not counts.get(c)]
+        if empty and centres is not None:  # a centre without rows stays
+            stays = F.transform("_old", lambda v, c: F.when(c.isin(empty), v).otherwise(0.0))
+            new = new.join(centres.withColumnRenamed("m", "_old"), "i", "full").select("i", F.zip_with(F.coalesce("m", F.array_repeat(F.lit(0.0), k)), F.coalesce(stays, F.array_repeat(F.lit(0.0), k)), lambda u, v: u + v).alias("m"))
+        centres = written(new, "centres")
+        norms = centres.agg(*[F.coalesce(F.sum(F.col("m")[c] * F.col("m")[c]), F.lit(0.0)) for c in range(k)]).first()
+        dots = entries.join(centres, "i").groupBy(key).agg(*[F.sum(F.col("x") * F.col("m")[c]).alias(f"_d{c}") for c in range(k)])
+        apart = keys.join(dots, key, "left").select(key, *[F.round(F.lit(norms[c]) - 2 * F.coalesce(f"_d{c}", F.lit(0.0)), 9).alias(f"_d{c}") for c in range(k)])
+        least = F.least(*[F.col(f"_d{c}") for c in range(k)])
+        nearest = F.coalesce(*[F.when(F.col(f"_d{c}") == least, F.lit(c)) for c in range(k)])
+        assigned = written(apart.select(key, nearest.alias("_c")), "text-clusters")
+        found = assigned.groupBy("_c").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(key)).alias("rows")).collect()  # k rows
+        counts = {r["_c"]: r["n"] for r in found}
+        now = sorted(tuple(r) for r in found)
+        if now == before:
+            break
+        before = now
+    return _named(assigned, key, k)
 
 
 def silhouette(features: DataFrame, cluster: str = "cluster") -> float:
@@ -117,30 +237,41 @@ def silhouette(features: DataFrame, cluster: str = "cluster") -> float:
     return float(ClusteringEvaluator(featuresCol="features", predictionCol="_c").evaluate(numbered))
 
 
-def k_scan(
-    features: DataFrame, ks: Sequence[int] = range(K.K_MIN, K.K_MAX + 1), seed: int = 7, parallelism: int = 4
-) -> DataFrame:
-    """Silhouette for each k.
+def k_scan(points: DataFrame, ks: Sequence[int] = range(K.K_MIN, K.K_MAX + 1), key: str = "id", column: str = "embedding", rounds: int = LLOYD_ROUNDS) -> DataFrame:
+    """``(k, silhouette, best)``: mean silhouette of each k by the distances from the centres; ``best`` marks the highest, of equal ones the lowest k.
 
-    The features are cached across the runs, and ``parallelism`` fits share the
-    cluster at a time, so that a small job does not leave the executors idle.
+    All k are fitted in the same scans and judged in one more: a row's distance from its own centre against that from the
+    nearest other one. Tasks leave a sum a k.
     """
-    spark = features.sparkSession
-    cached = features.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-
-    def score(k: int) -> tuple[int, float]:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
-        return int(k), float(evaluator.evaluate(model.transform(cached)))
-
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(score, ks))
-    finally:
-        cached.unpersist()
-    out = spark.createDataFrame(scores, "k int, silhouette double")
-    best = out.agg(F.max_by("k", F.struct("silhouette", -F.col("k")))).scalar()
-    return out.withColumn("best", F.col("k") == best)
+    spark = points.sparkSession
+    sent = spark.sparkContext.broadcast(lloyd(points, ks, key, column, rounds))
+
+    def run(batches):
+        sums = {k: [0, 0.0] for k in sent.value}
+        for batch in batches:
+            if batch.num_rows:
+                x = _points(batch.column(0))
+                own = (x * x).sum(1)
+                each = np.arange(len(x))
+                for k, c in sent.value.items():
+                    d = _apart(x, c)
+                    at = d.argmin(1)
+                    far = np.sqrt(np.maximum(d + own[:, None], 0))
+                    a = far[each, at]
+                    far[each, at] = np.inf
+                    b = far.min(1)
+                    top = np.maximum(a, b)
+                    sums[k][0] += len(x)
+                    sums[k][1] += float(np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0).sum())
+        rows = [(k, n, s) for k, (n, s) in sums.items() if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["k", "n", "s"])
+
+    found = points.select(F.transform(column, lambda v: v.cast("double")).alias("v")).mapInArrow(run, "k int, n long, s double")
+    scores = [(r["k"], r["v"]) for r in found.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("v")).collect()]
+    top = max((round(v, 9) for _, v in scores), default=None)
+    best = min((k for k, v in scores if round(v, 9) == top), default=None)
+    return spark.createDataFrame([(k, v, k == best) for k, v in sorted(scores)], "k int, silhouette double, best boolean")
 
 
 def best_k(scan: DataFrame) -> int:

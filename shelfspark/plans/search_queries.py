@@ -126,9 +126,15 @@ _TOKENS = """tok AS (SELECT doc_id, source, list_filter(list_transform(list_filt
 _DF = "df AS (SELECT term, count(*) AS df, (SELECT count(*) FROM tok) AS n_docs FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM tok) GROUP BY term HAVING count(*) <= 0.5 * (SELECT count(*) FROM tok))"
 
 
-@query("token_features", f"WITH {_TOKENS}, {_DF} SELECT term, df, n_docs FROM df")
+_WEIGHTS = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY 1, 2), w AS (SELECT doc_id, term, tf * ln((n_docs + 1.0) / (df + 1.0)) AS w FROM tf JOIN df USING (term))"
+
+
+@query("token_features", f"WITH {_TOKENS}, {_DF}, {_WEIGHTS} SELECT doc_id, term, df, n_docs, round(w, 6) AS weight FROM w JOIN df USING (term)")
 def token_features(spark, sf):
-    return cl.document_frequency(tokenised(spark, sf)).select("term", "df", "n_docs")
+    docs = tokenised(spark, sf)
+    terms = cl.dictionary(docs)
+    rows = cl.token_features(docs, terms=terms).select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    return rows.join(terms, F.col("e.indices") == F.col("term_id")).select("doc_id", "term", "df", "n_docs", F.round("e.values", 6).alias("weight"))
 
 
 @query(
@@ -150,27 +156,73 @@ def token_weights(spark, sf):
     return cl.token_weights(tokenised(spark, sf)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("cluster_topics", "SELECT vec_id, TRUE AS nearest FROM embeddings")
+def _lloyd_sql(ks: str, rounds: int = cl.LLOYD_ROUNDS) -> str:
+    """CTEs of k-means over ``p (id, e)`` for all k of ``ks``, up to ``a{rounds} (id, k, best)`` with the centres ``c{rounds}``."""
+    out = f"""q AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM p),
+ ks AS ({ks}),
+ c0 AS MATERIALIZED (SELECT k, j, e FROM (SELECT k, unnest(range(k)) AS j FROM ks) JOIN q ON rn = j * n // k)"""
+    for t in range(rounds + 1):
+        out += f""",
+ a{t} AS MATERIALIZED (SELECT id, k, min({{'d': round(list_dot_product(c.e, c.e) - 2 * list_dot_product(p.e, c.e), 9), 'j': j}}) AS best FROM p CROSS JOIN c{t} c GROUP BY id, k)"""
+        if t < rounds:
+            out += f""",
+ m{t} AS (SELECT k, j, list(m ORDER BY d) AS e FROM (SELECT k, best.j AS j, d, avg(x) AS m FROM a{t} JOIN (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM p) USING (id) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ c{t + 1} AS MATERIALIZED (SELECT k, j, coalesce(m.e, c.e) AS e FROM c{t} c LEFT JOIN m{t} m USING (k, j))"""
+    return out
+
+
+_EMBEDDED = "p AS MATERIALIZED (SELECT vec_id AS id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings)"
+_LAST = cl.LLOYD_ROUNDS
+
+
+@query(
+    "cluster_topics",
+    f"""WITH {_EMBEDDED}, {_lloyd_sql("SELECT 6 AS k")} SELECT id AS vec_id, dense_rank() OVER (ORDER BY low) - 1 AS cluster
+     FROM (SELECT id, min(id) OVER (PARTITION BY best.j) AS low FROM a{_LAST})""",
+)
 def cluster_topics(spark, sf):
-    # cluster numbers have no SQL form; that every row is in the cluster of its nearest centre has one
-    points = cl.array_features(table(spark, sf, "embeddings"))
-    model = cl.cluster_model(points, k=6)
-    return cl.nearest_centre(model.transform(points), model, "vec_id").select("vec_id", "nearest")
+    return cl.cluster_topics(table(spark, sf, "embeddings"), 6, "vec_id").select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+def _text_lloyd_sql(k: int, rounds: int = cl.LLOYD_ROUNDS) -> str:
+    """The same over sparse entries ``x (doc_id, term, w)``; centres are rows (j, term, m)."""
+    out = f"""q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents),
+ b0 AS (SELECT doc_id, j FROM (SELECT unnest(range({k})) AS j) JOIN q ON rn = j * n // {k}),
+ c0 AS MATERIALIZED (SELECT j, term, w AS m FROM b0 JOIN x USING (doc_id))"""
+    for t in range(rounds + 1):
+        out += f""",
+ n{t} AS (SELECT r.j, coalesce(sum(m * m), 0) AS norm FROM (SELECT unnest(range({k})) AS j) r LEFT JOIN c{t} USING (j) GROUP BY r.j),
+ d{t} AS (SELECT doc_id, j, sum(w * m) AS dot FROM x JOIN c{t} USING (term) GROUP BY 1, 2),
+ a{t} AS MATERIALIZED (SELECT q.doc_id, min({{'d': round(norm - 2 * coalesce(dot, 0), 9), 'j': n.j}}).j AS j FROM q CROSS JOIN n{t} n LEFT JOIN d{t} d ON d.doc_id = q.doc_id AND d.j = n.j GROUP BY q.doc_id)"""
+        if t < rounds:
+            out += f""",
+ s{t} AS (SELECT j, count(*) AS n FROM a{t} GROUP BY j),
+ c{t + 1} AS MATERIALIZED (SELECT j, term, sum(w) / any_value(n) AS m FROM x JOIN a{t} USING (doc_id) JOIN s{t} USING (j) GROUP BY 1, 2
+   UNION ALL SELECT j, term, m FROM c{t} WHERE j NOT IN (SELECT j FROM s{t}))"""
+    return out
 
 
-@query("cluster_text", "SELECT doc_id, TRUE AS nearest FROM documents")
+@query(
+    "cluster_text",
+    f"""WITH {_TOKENS}, {_DF}, {_WEIGHTS}, x AS MATERIALIZED (SELECT doc_id, term, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS w FROM w), {_text_lloyd_sql(6)}
+     SELECT doc_id, dense_rank() OVER (ORDER BY low) - 1 AS cluster FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY j) AS low FROM a{_LAST})""",
+)
 def cluster_text(spark, sf):
-    features = cl.token_features(tokenised(spark, sf), buckets=1 << 12)
-    model = cl.cluster_model(features, k=6)
-    return cl.nearest_centre(model.transform(features), model, "doc_id").select("doc_id", "nearest")
+    features = cl.unit(cl.token_features(tokenised(spark, sf)))
+    return cl.cluster_text(features, 6).select("doc_id", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query("k_scan", "SELECT CAST(range AS INT) AS k, TRUE AS valid FROM range(2, 21)")
+@query(
+    "k_scan",
+    f"""WITH {_EMBEDDED}, {_lloyd_sql("SELECT unnest(range(2, 21)) AS k")}, f AS (
+       SELECT id, k, sqrt(greatest(min(v) FILTER (j = own), 0)) AS a, sqrt(greatest(min(v) FILTER (j <> own), 0)) AS b FROM (
+         SELECT p.id, c.k, c.j, a.best.j AS own, round(list_dot_product(c.e, c.e) - 2 * list_dot_product(p.e, c.e), 9) + list_dot_product(p.e, p.e) AS v
+         FROM p CROSS JOIN c{_LAST} c JOIN a{_LAST} a ON a.id = p.id AND a.k = c.k) GROUP BY 1, 2),
+     s AS (SELECT k, avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS v FROM f GROUP BY k)
+     SELECT CAST(k AS INT) AS k, round(v, 6) AS silhouette, k = (SELECT min(k) FROM s WHERE round(v, 9) = (SELECT max(round(v, 9)) FROM s)) AS best FROM s""",
+)
 def k_scan(spark, sf):
-    scan = cl.k_scan(cl.array_features(table(spark, sf, "embeddings")))
-    top = scan.agg(F.max("silhouette")).scalar()
-    valid = F.col("silhouette").between(-1, 1) & (~F.col("best") | (F.col("silhouette") == top))
-    return scan.select("k", valid.alias("valid"))
+    return cl.k_scan(table(spark, sf, "embeddings"), key="vec_id").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query(

@@ -223,17 +223,54 @@ def test_clean_corpus_keys(spark):
     assert {r["row_no"] for r in se.clean_corpus(raw).collect()} == {1, 3, 4, 5}
 
 
+def plain_lloyd(x, k, rounds=cl.LLOYD_ROUNDS):
+    """Centres and clusters of k-means from rows at equal steps, by nested loops."""
+    import numpy as np
+
+    n = len(x)
+    centres = [x[c * n // k] for c in range(k)]
+    for turn in range(rounds + 1):
+        own = [min(range(k), key=lambda c: (round(float(centres[c] @ centres[c] - 2 * v @ centres[c]), 9), c)) for v in x]
+        if turn < rounds:
+            centres = [np.mean([v for v, o in zip(x, own, strict=True) if o == c], 0) if c in own else centres[c] for c in range(k)]
+    order = list(dict.fromkeys(own))
+    return centres, [order.index(c) for c in own]
+
+
 def test_clusters(spark):
+    import numpy as np
+
     pts = spark.createDataFrame([(i, [float(i % 2 * 10), float(i % 2)]) for i in range(40)], "id int, embedding array<float>")
-    f = cl.array_features(pts)
-    scan = cl.k_scan(f, [2, 3, 4])
+    scan = cl.k_scan(pts, [2, 3, 4])
     assert cl.best_k(scan) == 2 and scan.where("best").count() == 1
-    a, b = (sorted((r["id"], r["cluster"]) for r in cl.cluster_topics(f, k=2).collect()) for _ in range(2))
-    assert a == b and len({c for i, c in a if i % 2}) == 1
-    model = cl.cluster_model(f, k=2)
-    assert cl.nearest_centre(model.transform(f), model, "id").where("nearest").count() == 40
-    swapped = model.transform(f).withColumn("cluster", 1 - F.col("cluster"))
-    assert cl.nearest_centre(swapped, model, "id").where("nearest").count() == 0
+    a, b = (sorted((r["id"], r["cluster"]) for r in cl.cluster_topics(pts, k).collect()) for k in (2, 2))
+    assert a == b == [(i, i % 2) for i in range(40)]
+    x = np.random.default_rng(3).normal(size=(60, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>").repartition(7)
+    for k in (3, 7):
+        got = [r["cluster"] for r in cl.cluster_topics(rows, k).orderBy("id").collect()]
+        assert got == plain_lloyd(x, k)[1]
+    best = cl.best_k(cl.k_scan(rows))
+    assert [r["cluster"] for r in cl.cluster_topics(rows, "auto").orderBy("id").collect()] == plain_lloyd(x, best)[1]
+
+
+def test_text_clusters_are_those_of_dense_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((50, 12)) * (rng.random((50, 12)) < 0.3), 3)
+    x[7] = 0  # a row without terms
+    x[20:25] = x[0]  # equal first centres leave one of them empty
+    sparse = [(i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(sparse, "doc_id int, indices array<long>, values array<double>").repartition(5)
+    for k in (2, 5, 10):
+        got = [r["cluster"] for r in cl.cluster_text(rows, k).orderBy("doc_id").collect()]
+        assert got == plain_lloyd(x, k)[1]
+    assert {r["doc_id"]: sum(v * v for v in r["values"]) for r in cl.unit(rows).collect()}[7] == 0
+
+
+def test_cluster_shares_and_scope(spark):
+    a = [(i, i % 2) for i in range(40)]
     share = pp.cluster_share(spark.createDataFrame(a, "id int, cluster int")).collect()
     assert sum(r["pct"] for r in share) == 100.0
     far = spark.createDataFrame([(i, 0, [0.0, float(i == 9) * 50]) for i in range(10)], "id int, cluster int, embedding array<double>")
@@ -247,10 +284,12 @@ def test_tokens_and_labels(spark):
     assert [r["tokens"] for r in t.collect()] == [["machine_learning", "run"], ["machine_learning", "run"], ["field", "work"]]
     labels = {r["cluster"]: r["label"] for r in cl.cluster_labels(t, max_df=1.0).collect()}
     assert labels == {0: "machine_learning / run", 1: "field / work"}
-    features = [r["features"] for r in cl.token_features(t, max_df=1.0).collect()]
-    # no term is dropped, also those of a single document
-    assert [v.numNonzeros() for v in features] == [2, 2, 2]
-    common = [r["features"].numNonzeros() for r in cl.token_features(t, max_df=0.5).collect()]
+    t = t.withColumn("doc_id", F.monotonically_increasing_id())
+    features = [(r["indices"], r["values"]) for r in cl.token_features(t, max_df=1.0).orderBy("doc_id").collect()]
+    # no term is dropped, also those of a single document; terms are numbered in their order
+    assert [i for i, _ in features] == [[1, 2], [1, 2], [0, 3]]
+    assert [r["term"] for r in cl.dictionary(t, max_df=1.0).orderBy("term_id").collect()] == ["field", "machine_learning", "run", "work"]
+    common = [len(r["indices"]) for r in cl.token_features(t, max_df=0.5).orderBy("doc_id").collect()]
     assert common == [0, 0, 2]
     weights = {(r["cluster"], r["term"]): r["weight"] for r in cl.token_weights(t.where("cluster = 1"), "cluster", max_df=1.0).collect()}
     assert weights == {(1, "field"): 0.0, (1, "work"): 0.0}
