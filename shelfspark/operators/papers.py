@@ -12,6 +12,7 @@ from shelfspark.functions.citations import in_text_citation
 from shelfspark.functions.predicates import abstract_missing_raw
 from shelfspark.functions.text import blank_to_null, trim_all, unnest
 from shelfspark.operators.ranking import distributed_row_number, first_per_key
+from shelfspark.session import written
 
 
 def citations(papers: DataFrame, topic: str = "topic") -> DataFrame:
@@ -21,8 +22,16 @@ def citations(papers: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
-_TAIL = r"((?:\S+ & )?\S+(?: et al\.)?, (?:\d{4}|\?))\z"
-_SHORTEST = len("A, ?")
+_YEAR = r", (?:\d{4}|\?)\z"
+#: Characters before the year that make an anchor; a text has the anchor of the longest size that it fills.
+ANCHORS = (1, 3, 6, 12)
+
+
+def _anchor(text: Column, size: int) -> Column:
+    """Size, last characters of the name and year of a text that ends with its year; null if the name is shorter."""
+    year = F.regexp_extract(text, _YEAR, 0)
+    name = F.left(text, F.length(text) - F.length(year))
+    return F.when((year != "") & (F.length(name) >= size), F.concat(F.lit(f"{size}:"), F.right(name, F.lit(size)), year))
 
 
 def _escape_pattern(c: Column) -> Column:
@@ -42,42 +51,32 @@ def link_mentions(
 ) -> DataFrame:
     """Turn each known citation text of a body into ``[(text)](#paper-id)``, longest first.
 
-    Bodies and citations meet in an equi join on (topic, citation text), not in a
-    scan of every citation per body: the body is cut behind each ``, YYYY``, and the
-    texts that can end there are the suffixes of that piece, no longer than the
-    longest citation. Only the few links found are then applied to the
-    body. Of several papers with one text the first by ``pos`` gets the link.
+    Bodies and citations meet in an equi join on (topic, anchor): the body is cut behind each ``, YYYY``, and every piece
+    is probed with the few characters before its year, once for each size in :data:`ANCHORS`. Whether the piece ends with the
+    whole citation is verified behind the join, so a citation is also found inside a word. Only these short ends are
+    shuffled; the links found are written, so a body moves only if they are too many to be sent to it. Of several papers with
+    one text the first by ``pos`` gets the link.
     """
     known = first_per_key(
         cites.select(F.col(topic).alias("_t"), "id", "in_text", "pos", F.regexp_replace("in_text", r"^\((.*)\)$", "$1").alias("key")),
         ["_t", "in_text"],
         ["pos"],
-    )
+    ).withColumn("anchor", F.coalesce(*[_anchor(F.col("key"), size) for size in reversed(ANCHORS)]))
     longest = cites.agg(F.coalesce(F.max(F.length("in_text")), F.lit(0))).scalar()
     with_max = bodies.select(F.col(doc), F.col(topic).alias("_t"), F.col(body)).withColumn("_max", longest)
-    # each piece ends behind a year (but the last, which the tail pattern drops); its tail
-    # holds every text of the shape "name, year", "name & name, year" or "name et al., year"
-    tails = F.array_distinct(
-        F.transform(
-            F.split(body, r"(?<=, (?:\d{4}|\?))"), lambda p: F.regexp_extract(F.right(p, F.col("_max")), _TAIL, 1)
-        )
-    )
-    # a citation may start inside a word, so all suffixes of the tail are probed
-    suffixes = lambda t: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(t) - _SHORTEST + 1, F.lit(1))),
-        lambda i: F.substring(t, i, F.length(t)),
-    )
+    # each piece ends behind a year but the last, which has no anchor
+    ends = F.array_distinct(F.transform(F.split(body, r"(?<=, (?:\d{4}|\?))"), lambda p: F.right(p, F.col("_max"))))
+    probes = lambda t: F.array(*[F.struct(_anchor(t, size).alias("anchor"), t.alias("end")) for size in ANCHORS])
     found = (
-        unnest(with_max, [doc, "_t"], F.array_distinct(F.flatten(F.transform(tails, suffixes))), "key")
-        .join(known, ["_t", "key"])
+        unnest(with_max, [doc, "_t"], F.filter(F.flatten(F.transform(ends, probes)), lambda e: e["anchor"].isNotNull()), "e")
+        .select(doc, "_t", "e.*")
+        .join(known, ["_t", "anchor"])
+        .where(F.endswith("end", "key"))
         .groupBy(doc, "_t")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct((-F.length("in_text")).alias("l"), F.col("pos"), F.col("id"), F.col("in_text"), F.col("key")))
-            ).alias("_links")
-        )
+        .agg(F.array_sort(F.collect_set(F.struct((-F.length("in_text")).alias("l"), F.col("pos"), F.col("id"), F.col("in_text"), F.col("key")))).alias("_links"))
         .withColumnRenamed("_t", topic)
     )
+    found = written(found, "links")
 
     def apply(acc: Column, link: Column) -> Column:
         target = F.concat(
