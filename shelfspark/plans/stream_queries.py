@@ -8,10 +8,10 @@ from shelfspark.plans.job_queries import job_files, session_lines
 from shelfspark.operators.jobs import archived_ids
 from shelfspark.plans.registry import query
 from shelfspark.session import scratch_path
-from shelfspark.streaming import drain, fold_blocks, fold_status, job_status_stream, purge_archived_stream, session_blocks_stream
+from shelfspark.streaming import drain, fold_blocks, fold_status, job_status_stream, parts_with_late, purge_archived_stream, session_blocks_stream
 
 # jobs start 10,000 seconds apart; positions of a job are seconds after its start
-_DISORDER = "36500 days"
+_DELAY = "1 hour"
 _TS = "timestamp_seconds(1704067200 + cast(substr(job_id, 5) AS BIGINT) * 10000 + pos - cast(substr(job_id, 5) AS BIGINT) * 1000) AS ts"
 
 
@@ -34,9 +34,8 @@ _JOBS = """j AS (SELECT conv_id, 'job_' || conv_id AS job_id, 1704067200 + conv_
       CASE WHEN conv_id % 20 = 1 THEN '9' WHEN conv_id % 10 > 0 THEN (conv_id % 3)::VARCHAR ELSE '-' END AS exit_code, CASE WHEN conv_id % 10 > 0 THEN 'done' ELSE 'running' END AS state FROM j""",
 )
 def job_status_stream_(spark, sf):
-    # the files come in any order, so the delay spans them all
-    parts = job_status_stream(line_stream(spark, sf, files_per_batch=8), delay=_DISORDER)
-    out = fold_status(drain(parts, "update", ["job_id", "part"]))
+    # the files come in any order; lines behind the watermark are written aside and folded in
+    out = fold_status(parts_with_late(line_stream(spark, sf, files_per_batch=4), job_status_stream, delay=_DELAY))
     return out.select("job_id", F.unix_seconds("last_activity").alias("last_activity"), F.coalesce("exit_code", F.lit("-")).alias("exit_code"), "state")
 
 
@@ -46,8 +45,7 @@ def job_status_stream_(spark, sf):
       n + 1 + (conv_id % 10 > 0)::INT + (conv_id % 20 = 1)::INT AS n_lines FROM j""",
 )
 def session_blocks_stream_(spark, sf):
-    parts = session_blocks_stream(line_stream(spark, sf, files_per_batch=8), delay=_DISORDER)
-    out = fold_blocks(drain(parts, "update", ["job_id", "part"]))
+    out = fold_blocks(parts_with_late(line_stream(spark, sf, files_per_batch=4), session_blocks_stream, delay=_DELAY))
     return out.select(
         "job_id",
         F.unix_seconds("started_at").alias("started_at"),

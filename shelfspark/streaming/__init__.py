@@ -2,6 +2,9 @@
 
 from shelfspark.streaming.jobs import (  # noqa: F401
     drain,
+    late_lines,
+    parts_with_late,
+    state_rows,
     fold_blocks,
     fold_status,
     job_status_stream,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfspark.operators.jobs import purge_archived_blocks, session_blocks
-from shelfspark.streaming import drain, fold_blocks, fold_status, job_status_stream, purge_archived_stream, session_blocks_stream
+from shelfspark.streaming import drain, fold_blocks, fold_status, job_status_stream, late_lines, parts_with_late, purge_archived_stream, session_blocks_stream, state_rows
 
 START = "timestamp_seconds(1700000000 + pos * 60)"
 
@@ -37,16 +37,42 @@ def test_blocks(spark, tmp_path):
     assert got == want and set(want) == {"job_a", "job_b", "job_z"}
 
 
-def test_state_is_dropped_behind_the_watermark(spark, tmp_path):
-    # a line per file, in order of time: parts of the first hour are gone when the late line comes
+def ordered(spark, tmp_path, frames):
+    """A stream that takes the frames one by one."""
+    import os
+
+    for k, part in enumerate(frames):
+        path = f"{tmp_path}/ordered/{k}"
+        part.coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(f"{path}/{f}", (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(frames[0].schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ordered")
+
+
+def test_late_lines_leave_the_state_and_are_folded_in(spark, tmp_path):
     df = lines(spark)
-    late = df.where("job_id = 'job_b' and pos = 500")
-    path = str(tmp_path / "ordered")
-    for k, part in enumerate([df.where("pos <= 4"), df.where("pos = 900"), late.withColumn("line", F.lit("too late"))]):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/{k}")
-    reader = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
-    parts = drain(session_blocks_stream(reader, span="1 hour", delay="1 minute"), "update", ["job_id", "part"])
-    assert {r["job_id"]: r["n_lines"] for r in fold_blocks(parts).collect()} in ({"job_a": 4, "job_b": 1, "job_z": 1}, {"job_a": 4, "job_b": 2, "job_z": 1})
+    more = spark.createDataFrame([("job_z", 1200 + k, "z") for k in range(3)], "job_id string, pos int, line string").withColumn("ts", F.expr(START))
+    late = df.where("job_id = 'job_b' and pos = 500").withColumn("line", F.lit("too late"))
+    frames = [df.where("pos <= 4"), df.where("pos = 900"), *(more.where(F.col("pos") == 1200 + k) for k in range(3)), late]
+    stream_ = ordered(spark, tmp_path, frames)
+    kept = drain(session_blocks_stream(stream_, span="1 hour", delay="1 minute"), "update", ["job_id", "part"])
+    assert {r["job_id"]: r["n_lines"] for r in fold_blocks(kept).collect()} == {"job_a": 4, "job_b": 1, "job_z": 4}  # the watermark drops it
+    aside, total = late_lines(stream_, span="1 hour", delay="1 minute")
+    assert [(r["job_id"], r["pos"], r["line"]) for r in aside.collect()] == [("job_b", 500, "too late")] and total == 10
+    whole = parts_with_late(stream_, session_blocks_stream, span="1 hour", delay="1 minute")
+    assert {r["job_id"]: r["n_lines"] for r in fold_blocks(whole).collect()} == {"job_a": 4, "job_b": 2, "job_z": 4}
+    status = fold_status(parts_with_late(stream_, job_status_stream, span="1 hour", delay="1 minute"))
+    assert {r["job_id"]: r["last_activity"] for r in status.collect()}["job_b"] == late.first()["ts"]
+
+
+def test_state_stays_bounded_as_jobs_come_and_go(spark, tmp_path):
+    rows = [(f"job_{k}", k * 100 + j, "x") for k in range(12) for j in range(3)]
+    df = spark.createDataFrame(rows, "job_id string, pos int, line string").withColumn("ts", F.expr(START))
+    frames = [df.where(F.col("job_id") == f"job_{k}") for k in range(12)]
+    progress = []
+    whole = parts_with_late(ordered(spark, tmp_path, frames), session_blocks_stream, span="1 hour", delay="1 minute", progress=progress)
+    assert len({r["job_id"] for r in whole.collect()}) == 12 and len(progress) >= 12
+    assert 1 <= state_rows(progress) <= 4  # a job in at most two parts, and those of the batch before
 
 
 def test_purge(spark, tmp_path):
