@@ -5,7 +5,8 @@
 2. Every run samples tokens (positions); a class falls into the bucket of its value there. A bucket of at
    most ``LIMIT`` classes is compared by brute force; a larger one is split again on positions sampled by
    its own path, until it is small or a split no longer shrinks it (then it is compared in blocks).
-   ``RUNS`` runs make the chance to miss a pair at the threshold far smaller than 1e-9.
+   The chance to miss a pair at the threshold (no shared root position in any run, or too few agreeing min-hashes to be
+   likely) is :func:`miss_chance`, below 1e-11.
 3. Buckets leave only a spanning forest of their likely pairs. In its components all pairs are compared
    exactly on the whole shingle sets, in blocks: each pair once, so the number of links is exact.
 
@@ -15,6 +16,7 @@ Nothing but sampled path keys is shuffled for classes that share no bucket with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ BLOCK = 2048
 #: A split that leaves more than this share of its bucket together does not help any more.
 DENSE = 0.7
 MAX_DEPTH = 12
-#: Agreeing min-hashes from which a pair is likely: six standard deviations below the threshold.
-LIKELY = 0.5
+#: Share of agreeing min-hashes from which a pair is likely and compared exactly: 27 of 64.
+LIKELY = 27 / 64
 TILE = 256
 BLOOM_BITS = 26
 
@@ -58,6 +60,17 @@ def sampled(paths: np.ndarray, rate: float) -> np.ndarray:
 ROOT = np.flatnonzero(sampled(np.arange(RUNS), 1 / THRESHOLD).any(0))
 
 
+def miss_chance(similarity: float = THRESHOLD) -> float:
+    """Bound of the chance that a pair of this similarity is not compared exactly, where its buckets need no split.
+
+    All runs look at the same min-hashes: the pair shares no root position of any run, or it agrees in fewer than
+    ``LIKELY`` of all positions. A split bucket samples two positions of its own path more, or is compared whole.
+    """
+    need = int(np.ceil(LIKELY * T))
+    unlikely = sum(comb(T, k) * similarity**k * (1 - similarity) ** (T - k) for k in range(need))
+    return unlikely + (1 - similarity) ** len(ROOT)
+
+
 def child(path: np.ndarray, position: np.ndarray, value: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(mix(path + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + value.astype(np.uint64)).view(np.int64)
@@ -361,7 +374,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
     ``n_links``: other rows with a Jaccard similarity of at least 0.8 on five-word shingles, copies included.
     ``class_id``: smallest key reachable by links, itself included; ``kept``: this row has it. Null or wordless
     texts link with nothing and keep themselves. Repeated rows are copies of each other and share a key, so all
-    of them are ``kept`` if one is; ``one_of_each`` then leaves one. Other columns are ignored.
+    of them are ``kept`` if one is; ``one_of_each`` then leaves one. Texts of any length are read whole. Other columns
+    are ignored.
     """
     rows = written(classed(docs, key, text), "signatures")
     near = near_classes(docs, rows, key, text, limit, block, tile)

@@ -8,7 +8,7 @@ from test_decontaminate import words_of
 
 from shelfspark.llm.components import components
 from shelfspark.llm.embedding_dedup import axes, near_pairs, near_vectors
-from shelfspark.llm.jaccard_join import intersections, jaccard_join, one_of_each
+from shelfspark.llm.jaccard_join import LIKELY, ROOT, THRESHOLD, T, intersections, jaccard_join, miss_chance, one_of_each
 
 
 def grouped(keys, links):
@@ -148,3 +148,11 @@ def test_bounds_lose_nothing():
     for rotation in (None, axes(u.T @ u)):
         i, j = near_pairs(x, x, rotation, same=True)
         assert set(zip(i.tolist(), j.tolist())) == want and want
+
+
+def test_chance_to_miss_a_pair_at_the_threshold():
+    assert miss_chance() < 1e-11 and miss_chance(0.9) < miss_chance()
+    # the formula against drawn agreements, at a similarity where misses are frequent
+    draw = np.random.default_rng(4).random((200_000, T)) < 0.5
+    missed = (draw.sum(1) < LIKELY * T).mean() + (~draw[:, ROOT].any(1)).mean()
+    assert missed == pytest.approx(miss_chance(0.5), rel=0.05) and THRESHOLD == 0.8
