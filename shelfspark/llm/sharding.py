@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,10 +91,15 @@ def load_map(spark: SparkSession, path: str, version: int) -> SlotMap:
     return SlotMap(version, max(shard_of) + 1, shard_of)
 
 
+def _slot(key: str, text: str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slot"), F.col(key), F.col(text)), F.lit(slots)).cast("int")
+
+
 def slotted(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Narrow rows: key, bytes, CRC and virtual slot of every record. Null text: no bytes; null key: hashed as such.
 
-    The part within the slot depends on the key, the text and the row's place in the scan, so equal rows are
+    The slot depends on the key and the text, so different records of one key, or of none, are spread; only copies of a whole
+    record share a slot, and the sizes of the shards differ by no more than the largest slot holds. Texts are read whole. The part within the slot depends on the key, the text and the row's place in the scan, so equal rows are
     dealt to all parts of their slot.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -103,7 +108,7 @@ def slotted(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int
         F.col(key).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(slots)).cast("int").alias("virtual_slot"),
+        _slot(key, text, slots).alias("virtual_slot"),
         F.pmod(F.xxhash64(F.lit("part"), place), F.lit(PARTS)).cast("int").alias("part"),
     )
 
@@ -143,11 +148,11 @@ def moved_share(old: SlotMap, new: SlotMap) -> float:
     return sum(a != b for a, b in zip(old.shard_of, new.shard_of, strict=True)) / len(old.shard_of)
 
 
-def write_shards(docs: DataFrame, slot_map: SlotMap, path: str, key: str = "doc_id") -> None:
+def write_shards(docs: DataFrame, slot_map: SlotMap, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Write whole records below ``path/shard=N`` by the map. A column named shard is replaced."""
     spark, slots = docs.sparkSession, len(slot_map.shard_of)
     mapped = F.broadcast(slot_map.frame(spark).select(F.col("virtual_slot").alias("__slot"), F.col("shard").alias("__shard")))
-    rows = docs.withColumn("__slot", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(slots)).cast("int"))
+    rows = docs.withColumn("__slot", _slot(key, text, slots))
     rows.join(mapped, "__slot").withColumn("shard", F.col("__shard")).drop("__slot", "__shard").write.partitionBy("shard").parquet(path)
 
 

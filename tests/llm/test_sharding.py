@@ -30,6 +30,14 @@ def test_nulls_repeats_clashes_and_empty(spark, documents):
     assert shard_documents(documents([]), 4)[0].count() == 0
 
 
+def test_rows_of_one_key_and_of_none_are_spread(spark, documents):
+    """The law holds where keys repeat or are missing: sizes differ by less than one record."""
+    rows = [(None, f"text {k:06}") for k in range(2000)] + [(7, f"body {k:06}") for k in range(1000)] + [(k, f"some {k:06}") for k in range(1000)]
+    placed, _ = shard_documents(documents(rows), 8)
+    load = placed.groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert len(load) == 8 and load.max() - load.min() <= 12 * 5
+
+
 def test_map_versions(spark, tmp_path):
     start = SlotMap.even(3, 12)
     edited = start.rebalanced({s: 10 if s < 4 else 1 for s in range(12)})
