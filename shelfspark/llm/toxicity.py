@@ -188,12 +188,18 @@ class ToxicityModel:
     prior: float
 
     def score(self, docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-        """``carry`` and ``score``, the calibrated chance of toxicity, for every row; null text counts as empty."""
+        """``carry`` and ``score``, the calibrated chance of toxicity, for every row; null text counts as empty.
+
+        Texts are read whole. Repeated rows are scored each, an empty table gives no rows, and columns that are not carried
+        are ignored. Carried columns may have any names; one named ``score`` gives way to the chance.
+        """
+        kept = [F.col("__carried").getField(c).alias(c) for c in carry if c != "score"]
+        rows = docs.select(F.struct(*carry).alias("__carried"), F.col(text).alias("__body"))
         if self.trees is None:
-            return docs.select(*carry, F.lit(self.prior).alias("score"))
-        rows = with_features(docs, [self.lexicon], carry, text).withColumn("features", array_to_vector("x"))
-        raw = self.trees.transform(rows).select(*carry, vector_to_array("probability")[1].alias("chance"))
-        return self.calibration.transform(raw).select(*carry, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+            return rows.select(*kept, F.lit(self.prior).alias("score"))
+        rows = with_features(rows, [self.lexicon], ["__carried"], "__body").withColumn("features", array_to_vector("x"))
+        raw = self.trees.transform(rows).select("__carried", vector_to_array("probability")[1].alias("chance"))
+        return self.calibration.transform(raw).select(*kept, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:

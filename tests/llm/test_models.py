@@ -94,6 +94,22 @@ def test_toxicity_features():
     assert x[3, at["learned_rate"]] > 0 and not x[4:].any() and np.isfinite(x).all()
 
 
+def test_toxicity_carries_columns_of_any_name(spark, sf):
+    """Names that the model's own columns have, repeated rows, very long and null texts, and no rows at all."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    names = ["probability", "features", "x", "prediction", "rawPrediction", "chance", "__text", "score"]
+    own = spark.createDataFrame([(1, "fine"), (1, "fine"), (2, None), (3, "word " * 100_000), (4, "you idiot")], "doc_id long, text string")
+    own = own.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    got = model.score(own, ["doc_id", *names]).collect()
+    assert len(got) == 5 and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names[:-1]) and all(0 <= r["score"] <= 1 for r in got)
+    plain = sorted((r["doc_id"], r["score"]) for r in model.score(own, ["doc_id"]).collect())
+    assert plain == sorted((r["doc_id"], r["score"]) for r in got)
+    assert model.score(own.limit(0), ["doc_id", "probability"]).count() == 0
+    none = toxicity.train(docs.limit(0), labels)
+    assert {r["score"] for r in none.score(own, ["doc_id", "features"]).collect()} == {none.prior}
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     scored = toxicity.op2_toxicity(spark, sf)
