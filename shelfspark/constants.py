@@ -195,6 +195,7 @@ LIST_SUFFIX = r"(?i)_q1$"
 QUARTILE_SUFFIX = r"(?i)\s+Q[1-4]$"
 WOMEN_STUDIES = r"(?i)^(.*?)women'?s?\s*studies"
 TOPIC = r"^[a-z0-9_/-]+\z"
+PLAIN_PATH = r"^[A-Za-z0-9_/. -]+\z"
 NON_ENGLISH = r"[^a-zA-Z0-9\s_\-]"
 FAILURE_MARK = r"\[FAILURE_REASON\]([^\n]*)"
 MANUAL_TAIL = r"(?i)\s*\[MANUAL\]\s*$"

@@ -8,6 +8,7 @@ from shelfspark import functions as fn
 from shelfspark.operators import markdown as md
 from shelfspark.operators.papers import merge_section_titles
 from shelfspark.plans import roles as r
+from shelfspark.operators.routing import route, topic_checks
 from shelfspark.plans.registry import query
 from shelfspark.plans.roles import WS, sql_squeeze, sql_steps, sql_trim, table, texts
 
@@ -492,6 +493,19 @@ def topic_valid(spark, sf):
     return texts(spark, sf, "documents").select("doc_id", fn.topic_valid(F.expr(_SLUG)).cast("int").alias("valid"))
 
 
+@query(
+    "topic_routes",
+    f"""SELECT coalesce(reason, 'good') AS reason, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) > 120 THEN 'too long'
+      WHEN NOT regexp_matches(s, '^[a-z0-9_/-]+$') THEN 'bad characters' END AS reason FROM (SELECT doc_id, {_SLUG} AS s FROM documents)) GROUP BY 1""",
+)
+def topic_routes(spark, sf):
+    """Both frames of the routing operator, counted by reason."""
+    rows = texts(spark, sf, "documents").select("doc_id", F.expr(_SLUG).alias("topic"))
+    good, rejected = route(rows, topic_checks("topic"))
+    both = good.select("doc_id", F.lit("good").alias("reason")).unionByName(rejected.select("doc_id", "reason"))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
 @query(
     "term_non_english",
     f"""SELECT doc_id, ({sql_trim("t")} <> '' AND regexp_matches(t, '[^a-zA-Z0-9\\s\\x0b_\\-]'))::INT AS flagged FROM (SELECT doc_id, replace(replace(text, '.', ''), ',', '') AS t FROM documents)""",

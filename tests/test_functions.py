@@ -199,3 +199,23 @@ def test_other_predicates(one):
     assert one(fn.drop_manual_mark("a"), a="x [MANUAL] \n") == "x"
     assert one(fn.has_jcr_flag("a"), a="x wos/jcr") is True
     assert one(fn.display_fallback("a", "b"), a="", b="n") == "n"
+
+
+def test_routing_keeps_every_row_once_with_its_reason(spark):
+    from pyspark.sql import functions as F
+
+    from shelfspark.operators.routing import path_checks, route, topic_checks
+
+    topics = ["ai/law_1-x", "", None, "Bad", "a" * 121, "a" * 120, "tail\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(topics)], "id int, topic string")
+    good, bad = route(rows, topic_checks("topic"))
+    assert sorted(r["id"] for r in good.collect()) == [0, 5] and good.columns == rows.columns
+    assert {r["id"]: r["reason"] for r in bad.collect()} == {1: "empty", 2: "missing", 3: "bad characters", 4: "too long", 6: "bad characters"}
+    assert {r["id"] for r in rows.where(fn.topic_valid("topic")).collect()} == {0, 5}
+    paths = ["a/b.md", "a/../b", "../x", "a/../../x", "/etc", "a b/c", "a\\b", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(paths)], "id int, path string")
+    good, bad = route(rows, path_checks("path"), "why")
+    assert sorted(r["id"] for r in good.collect()) == [0, 1, 5]
+    assert {r["id"]: r["why"] for r in bad.collect()} == {2: "leaves the folder", 3: "leaves the folder", 4: "absolute", 6: "bad characters", 7: "missing", 8: "missing"}
+    everything, none = route(rows, {})
+    assert everything.count() == len(paths) and none.count() == 0
