@@ -257,6 +257,32 @@ def test_versioned_sink(spark, tmp_path):
     assert {r["n"] for r in src.read_latest(spark, path).collect()} == {2}
 
 
+def test_two_writers_at_once_give_two_whole_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "both")
+    frames = [spark.range(0, 5000, 1, 7).withColumn("writer", F.lit(w)) for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda f: src.sink_versioned(f, path, "20260301"), frames))
+    assert sorted(numbers) == [1, 2, 3, 4]
+    for w, n in enumerate(numbers):
+        whole = spark.read.parquet(f"{path}/date_tag=20260301/version={n}")
+        assert whole.count() == 5000 and {r["writer"] for r in whole.select("writer").distinct().collect()} == {w}
+
+
+def test_only_committed_versions_are_read(spark, tmp_path):
+    path = str(tmp_path / "half")
+    with pytest.raises(ValueError, match="no committed version"):
+        src.read_latest(spark, path)
+    assert src.sink_versioned(spark.range(3), path, "20260301") == 1
+    # a writer that claimed the next number and died while writing
+    spark.range(9).write.parquet(f"{path}/date_tag=20260301/version=2")
+    (tmp_path / "half/_claimed/20260301_v2").touch()
+    assert src.read_latest(spark, path).count() == 3
+    assert src.sink_versioned(spark.range(4), path, "20260301") == 3 and src.read_latest(spark, path).first()["version"] == 3
+    assert src.sink_versioned(spark.range(5), path, "20260228") == 1 and src.read_latest(spark, path).count() == 4
+
+
 def test_job_subset_rerun_replaces_only_its_own(spark, tmp_path):
     path = str(tmp_path / "s")
     for job, n in (("a", 3), ("b", 2), ("a", 1)):
