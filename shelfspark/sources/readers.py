@@ -95,21 +95,28 @@ def _join_by_file(rows: DataFrame, per_file: DataFrame, n_files: int) -> DataFra
     return rows.withColumn("_salt", salt).join(salted, ["file_path", "_salt"]).drop("_salt")
 
 
-def _metric_headers(files: DataFrame, raw: DataFrame, is_header: Column) -> DataFrame:
-    """Lower-case header cells ``h`` of every metric file, by ``file_name``: its first line that names the journal column."""
-    first = F.min_by("cells", F.struct("file_path", "block_start", "row_in_block"))
-    return (
-        raw.where(is_header)
-        .join(files, "file_path")
-        .groupBy("file_name")
-        .agg(F.transform(first, lambda c: F.lower(trim_all(c))).alias("h"))
-    )
+_CELL = r",(\"[^\"]*+(?:\"\"[^\"]*+)*+\"(?=,|$)|[^,]*)"
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line, whatever their number; a quoted cell may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    quoted = lambda c: F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1)
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(quoted(c), inner(c)).otherwise(c))
+
 
+def _is_header(line: Column) -> Column:
+    """Whether a cell of the line names the journal column; the cheap test on the line is nearly always false and runs first."""
+    return F.contains(F.lower(line), F.lit("journal_name")) & F.exists(csv_cells(line), lambda c: F.lower(trim_all(c)) == "journal_name")
 
-def _metric_width(reader, path: str) -> int:
-    """Cells of the widest header line of any file, and one more for a shifted row."""
-    lines = reader.text(path).where(F.contains(F.lower("value"), F.lit("journal_name")))
-    return (lines.agg(F.max(F.size(F.split("value", ","))).alias("n")).first()["n"] or 1) + 1
+
+def _metric_headers(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lower-case header cells ``h`` of every metric file, by ``file_name``: its first line that names the journal column."""
+    cells = F.transform(csv_cells(F.col("value")), lambda c: F.lower(trim_all(c)))
+    first = F.min_by("h", F.struct("file_path", "block_start", "row_in_block"))
+    found = lines.where(_is_header(F.col("value"))).withColumn("h", cells).join(files, "file_path")
+    return found.groupBy("file_name").agg(first.alias("h"))
 
 
 def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
@@ -120,21 +127,15 @@ def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
     position of every column) are one row of a small frame, joined back by file. Rows
     shifted by an unquoted comma are repaired. ``part_no``, ``block_start`` and
     ``row_in_block`` order the rows of a file. A file without a header that names the
-    journal column gives no rows. Files may be of any width and number.
+    journal column gives no rows. Files may be of any width and number: lines are cut into arrays of cells, so the width of
+    a file is that of its header, and the headers are found by a scan that only looks for the journal column's name.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-    columns = [f"c{i}" for i in range(_metric_width(reader, path))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    # a short row is padded with NULL, so the last filled cell gives its real width
-    raw = reader.csv(path, schema=schema, quote='"', escape='"').select(
-        F.col("_metadata.file_path").alias("file_path"),
-        *file_position(),
-        F.greatest(*[F.when(F.col(c).isNotNull(), i + 1).otherwise(1) for i, c in enumerate(columns)]).alias("n_cells"),
-        F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]).alias("cells"),
-    )
-    # the cheap test on the joined line runs first and is nearly always false
-    is_header = F.contains(F.lower(F.array_join("cells", ",")), F.lit("journal_name")) & F.exists(
-        "cells", lambda c: F.lower(trim_all(c)) == "journal_name"
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv")
+        .text(path)
+        .where(F.trim("value") != "")
+        .select("value", _file_path(), *file_position())
     )
     files = (
         scan_file_inventory(spark, path, "*.csv")
@@ -142,7 +143,7 @@ def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
         .where(F.col("file_name") != "")
     )
     part = lambda i: F.regexp_extract("file_name", K.METRIC_FILE_PATTERN, i)
-    per_file = files.join(_metric_headers(files, raw, is_header), "file_name").select(
+    per_file = files.join(_metric_headers(files, lines), "file_name").select(
         "file_path",
         "file_name",
         part(2).alias("slug"),
@@ -151,10 +152,12 @@ def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.regexp_extract("file_path", r"/part-(\d+)[^/]*$", 1).try_cast("int"), F.lit(0)).alias("part_no"),
         *[(F.array_position("h", F.lit(c)).cast("int") - 1).alias(f"at_{c}") for c in METRIC_COLUMNS],
     )
-    body = _join_by_file(raw.where(~is_header), per_file, files.count())
+    per_file = written(per_file, "metric-headers")  # one row a file; the data are then read once
+    body = _join_by_file(lines.where(~_is_header(F.col("value"))), per_file, per_file.count())
+    body = body.withColumn("cells", csv_cells(F.col("value"))).drop("value")
     name_at, cat_at = F.col("at_journal_name"), F.col("at_category")
     body = body.withColumn(
-        "was_shifted", trim_all(F.get("cells", name_at)).isin(K.EDITION_CODES) & (F.col("n_cells") > name_at + 1)
+        "was_shifted", trim_all(F.get("cells", name_at)).isin(K.EDITION_CODES) & (F.size("cells") > name_at + 1)
     )
     shifted = F.col("was_shifted")
 
@@ -415,6 +418,7 @@ __all__ = [
     "METRIC_COLUMNS",
     "REGISTRY_FIELDS",
     "REGISTRY_SCHEMA",
+    "csv_cells",
     "file_position",
     "repair_shifted_rows",
     "resolve_header",

@@ -65,6 +65,23 @@ def test_metric_files(spark, tmp_path, monkeypatch, salted):
     assert idx["11111111"] == ("Q3", "L") and idx["2222000X"] == ("Q2", "TWO") and idx["33333333"] == ("Q4", "M")
 
 
+def test_cells_of_a_line(spark):
+    import csv
+
+    lines = ['a,b', ',', '', 'a,"b, c",d', '"say ""hi""",x,', '"",""', ' "q",1', 'x,"open', 'a"b,c', '"é,ü",' + ",".join("v" * 300)]
+    got = [r["c"] for r in spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, v string").select("k", src.csv_cells(F.col("v")).alias("c")).orderBy("k").collect()]
+    for line, cells in zip(lines, got, strict=True):
+        if "open" not in line and line:
+            assert cells == next(csv.reader([line]))
+    assert got[2] == [""] and got[7] == ["x", '"open']
+
+
+def test_metric_data_are_scanned_once(spark, tmp_path):
+    df = src.scan_metric_files(spark, metric_dir(tmp_path))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [value#") == 1
+
+
 def test_metric_files_of_any_width(spark, tmp_path):
     extra = ",".join(f"x{i}" for i in range(40))
     put(tmp_path, "WOS_JCR_260101_Law_260301_normalized.csv", f"{extra},{HEAD}" + "v," * 40 + "LAW,SSCI,Wide,1111-1111,,P,Q1,1.5,,,10,W\n")
