@@ -48,7 +48,7 @@ def test_run_and_registration(spark, sf):
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert {"pipeline", *(n for n in found if n.startswith("op"))} >= {"pipeline"} and sum(n.startswith("op") for n in found) == 10
+    assert {"pipeline", *(n for n in found if n.startswith("op"))} >= {"pipeline"} and sum(n.startswith("op") for n in found) == 13
     assert set(entry.oracle_sql()) <= set(found)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "jaccard", "decontaminate", "pii", "bpe"]
 
