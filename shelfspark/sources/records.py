@@ -62,17 +62,20 @@ def _block(head: Column, rest: Column) -> Column:
     return F.when(F.contains(mark, F.lit("+")), F.concat(text, F.lit("\n"))).when(F.contains(mark, F.lit("-")) | (ended == ""), ended).otherwise(F.concat(ended, F.lit("\n")))
 
 
-def scalar(first: Column, rest: Column) -> Column:
-    """Value of a scalar that begins behind its key and goes on in the lines ``rest``; null if it is null or missing."""
+def scalar(first: Column, rest: Column, block: bool = True) -> Column:
+    """Value of a scalar that begins behind its key and goes on in the lines ``rest``; null if it is null or missing.
+
+    ``block=False`` where it cannot be a block, as in a flow list.
+    """
     head = F.trim(F.coalesce(first, F.lit("")), F.lit(" \t"))
     lines = F.concat(F.array(head), rest)
-    quoted = lambda pattern: F.regexp_extract(_folded(lines), pattern, 1)
-    return (
-        F.when(head.rlike(r"^[|>][1-9+-]*(?:[ \t]+#.*)?$"), _block(head, rest))
-        .when(F.startswith(head, F.lit("'")), F.replace(quoted(_SINGLE), F.lit("''"), F.lit("'")))
-        .when(F.startswith(head, F.lit('"')), _unescaped(quoted(_DOUBLE)))
+    folded = _folded(lines)
+    flow = (
+        F.when(F.startswith(head, F.lit("'")), F.replace(F.regexp_extract(folded, _SINGLE, 1), F.lit("''"), F.lit("'")))
+        .when(F.startswith(head, F.lit('"')), _unescaped(F.regexp_extract(folded, _DOUBLE, 1)))
         .otherwise(_plain(lines))
     )
+    return F.when(head.rlike(r"^[|>][1-9+-]*(?:[ \t]+#.*)?$"), _block(head, rest)).otherwise(flow) if block else flow
 
 
 def listed(first: Column, rest: Column) -> Column:
@@ -80,7 +83,7 @@ def listed(first: Column, rest: Column) -> Column:
     head = F.trim(F.coalesce(first, F.lit("")), F.lit(" \t"))
     none = F.array().cast("array<string>")
     flow = F.regexp_extract(_folded(F.concat(F.array(head), rest)), r"(?s)^\[(.*)\]", 1)
-    flowed = F.transform(F.regexp_extract_all(flow, F.lit(_FLOW_ITEM), F.lit(0)), lambda v: scalar(F.trim(v), none))
+    flowed = F.transform(F.regexp_extract_all(flow, F.lit(_FLOW_ITEM), F.lit(0)), lambda v: scalar(F.trim(v), none, block=False))
     text = F.array_join(rest, "\n")
     pieces = F.split(text, r"(?m)^[ \t]*-(?:[ \t]+|$)")
     block = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: let(F.split(p, "\n"), lambda v: scalar(v[0], F.slice(v, 2, F.size(v)))))
