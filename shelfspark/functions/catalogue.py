@@ -115,9 +115,11 @@ def quartile_clean(c: Column | str) -> Column:
 
 
 def index_letter(c: Column | str) -> Column:
+    """Letter A to Z that a text begins with, in capitals, else ``#``."""
+    # capitals of several characters (ß, ŉ, ǰ, ligatures) are no letter of the index
     return let(
         F.upper(F.lower(F.substring(col(c), 1, 1))),
-        lambda first: F.when(first.rlike("[A-Z]"), first).otherwise("#"),
+        lambda first: F.when(first.rlike(r"^[A-Z]\z"), first).otherwise("#"),
     )
 
 

@@ -75,6 +75,11 @@ def test_index_letter(one, raw, want):
     assert one(fn.index_letter("a"), a=raw) == want
 
 
+@pytest.mark.parametrize("raw, want", [("ßa", "#"), ("ŉa", "#"), ("ǰa", "#"), ("ﬁx", "#"), ("ẖa", "#"), ("ıa", "I"), ("ſa", "S"), (None, "#"), ("\n", "#")])
+def test_index_letter_is_one_letter(one, raw, want):
+    assert one(fn.index_letter(F.col("a").cast("string")), a=raw) == want
+
+
 def test_versions(one):
     v = one(fn.version_parse("a"), a="meta_clusters_20260221_v12.md")
     assert (v["prefix"], v["date_tag"], v["version"]) == ("meta_clusters", "20260221", 12)
