@@ -6,9 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark import session
 from shelfspark import sources as src
 from shelfspark.operators import catalogue as cat
 from shelfspark.operators import markdown as md
+from shelfspark.plans import source_queries
 
 
 def put(base, name, text, mtime=None):
@@ -313,3 +315,20 @@ def test_archive_rerun_adds_nothing(spark, tmp_path):
     src.sink_archive_by_month(jobs, path)
     src.sink_archive_by_month(jobs.union(jobs.limit(1).withColumn("job_id", F.lit("c"))), path)
     assert sorted(r["job_id"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_packed_job_logs(spark, tmp_path):
+    put(tmp_path, "a.txt", '{"job_id": "job_1", "content": "live\\nline"}\n{"job_id": "job_2", "content": "two"}\n{"content": "of no job"}\n')
+    (tmp_path / "archive").mkdir()
+    put(tmp_path / "archive", "0.txt", '{"job_id": "job_1", "content": "old"}\n{"job_id": "job_3", "content": "first"}\n{"job_id": "job_3", "content": "second"}\n')
+    put(tmp_path, "m.json", '{"job_id": "job_1", "exitCode": 7, "done": true}\n')
+    got = {r["job_id"]: (r["content"], r["done"], r["exit_code"]) for r in src.scan_job_logs(spark, str(tmp_path), "*.txt", "*.json", packed=True).collect()}
+    assert got == {"job_1": ("live\nline", True, 7), "job_2": ("two", False, None), "job_3": ("first", False, None)}
+
+
+def test_job_log_query_writes_no_file_a_job(spark):
+    before = len(session._made)
+    source_queries.scan_job_logs(spark, "/root/testdata/sf0.001")
+    path = next(p for p in session._made[before:] if "/logs-" in p)
+    files = src.scan_file_inventory(spark, path).count()
+    assert files <= 4 * spark.sparkContext.defaultParallelism < spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count()
