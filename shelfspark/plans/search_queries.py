@@ -132,9 +132,9 @@ _WEIGHTS = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unne
 @query("token_features", f"WITH {_TOKENS}, {_DF}, {_WEIGHTS} SELECT doc_id, term, df, n_docs, round(w, 6) AS weight FROM w JOIN df USING (term)")
 def token_features(spark, sf):
     docs = tokenised(spark, sf)
-    terms = cl.dictionary(docs)
-    rows = cl.token_features(docs, terms=terms).select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("e"))
-    return rows.join(terms, F.col("e.indices") == F.col("term_id")).select("doc_id", "term", "df", "n_docs", F.round("e.values", 6).alias("weight"))
+    rows = cl.token_features(docs, names=True).select("doc_id", F.explode(F.arrays_zip("terms", "dfs", "values")).alias("e"))
+    n_docs = table(spark, sf, "documents").agg(F.count("*")).scalar()
+    return rows.select("doc_id", F.col("e.terms").alias("term"), F.col("e.dfs").alias("df"), n_docs.alias("n_docs"), F.round("e.values", 6).alias("weight"))
 
 
 @query(

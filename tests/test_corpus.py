@@ -1,5 +1,6 @@
 """Markdown, citations, search and clusters."""
 
+import math
 import re
 
 import pytest
@@ -312,3 +313,27 @@ def test_fallback_by_url_then_doi(spark):
     missing = F.coalesce(F.col("abstract"), F.lit("")) == ""
     got = {r["id"]: (r["abstract"], r["filled"]) for r in pp.fill_from_fallback(papers, pages, missing, ["url", "doi"]).collect()}
     assert got == {1: ("by url", True), 2: ("by doi", True), 3: (None, False), 4: ("kept", False), 5: ("", False)}
+
+
+@pytest.mark.parametrize("heavy", [0, 2, 100])
+def test_features_by_sent_and_shuffled_terms_are_equal(spark, heavy):
+    """Whether a term is sent to the tasks or shuffled to its entries, the rows are the same; no token is shuffled for its count."""
+    words = [["b", "a", "b", None], ["a", "c"], ["d", "c", "a"], [], None, ["e"]]
+    t = spark.createDataFrame(list(enumerate(words)), "doc_id long, tokens array<string>")
+    want = {(i, w): ws.count(w) for i, ws in enumerate(words) for w in ws or [] if w and w != "a"}
+    df = {w: sum(w in (ws or []) for ws in words) for w in "bcde"}
+    weight = {(i, w): round(n * math.log(7 / (df[w] + 1)), 9) for (i, w), n in want.items()}
+    rows = cl.token_features(t, max_df=0.4, names=True, heavy=heavy)
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert set(got) == set(range(6)) and got[3]["indices"] == [] and got[4]["indices"] == []
+    assert all(r["indices"] == sorted(r["indices"]) and [("bcde"[i], df["bcde"[i]]) for i in r["indices"]] == list(zip(r["terms"], r["dfs"], strict=True)) for r in got.values())
+    assert {(i, w): round(v, 9) for i, r in got.items() for w, v in zip(r["terms"], r["values"], strict=True)} == weight
+    assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in cl.token_weights(t, max_df=0.4, heavy=heavy).collect()} == weight
+    counts = cl.term_counts(t)
+    assert {r["doc_id"]: r["e"] and [tuple(x) for x in r["e"]] for r in counts.collect()}[0] == [("a", 1), ("b", 2)]
+
+
+def test_frequent_terms_are_not_shuffled(spark):
+    t = spark.createDataFrame([(0, ["a", "b"]), (1, ["c"])], "doc_id long, tokens array<string>")
+    for rows in (cl.token_features(t), cl.token_weights(t)):
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
