@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,3 +93,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: So many buckets at most, or four for each core of a larger cluster.
+BUCKETS = 64
+
+
+@contextlib.contextmanager
+def bucketed(df: DataFrame, label: str, key: str) -> Iterator[DataFrame]:
+    """``df`` written once in buckets of ``key``; a join by ``key`` moves the other side only. A table of the session inside the block.
+
+    The number of buckets divides that of the shuffle partitions, so that a task that has its rows by ``key`` writes one bucket.
+    """
+    spark = df.sparkSession
+    most, parts = max(BUCKETS, 4 * spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(d for d in range(1, min(most, parts) + 1) if parts % d == 0)
+    if n < min(parts, most // 4):
+        n = min(parts, most)
+        df = df.repartition(n, key)
+    path = scratch_path(spark, label)
+    name = "shelfspark_" + uuid.uuid4().hex
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -270,6 +270,33 @@ def test_text_clusters_are_those_of_dense_rows(spark):
     assert {r["doc_id"]: sum(v * v for v in r["values"]) for r in cl.unit(rows).collect()}[7] == 0
 
 
+def test_text_clusters_do_not_depend_on_the_terms_that_are_sent(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = np.round(rng.random((60, 14)) * (rng.random((60, 14)) < 0.3), 3)
+    x[3] = 0
+    x[20:25] = x[0]
+    sparse = [(i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(sparse, "doc_id int, indices array<long>, values array<double>")
+    for k, heavy in ((5, 0), (10, 7)):
+        got = [r["cluster"] for r in cl.cluster_text(rows, k, heavy=heavy).orderBy("doc_id").collect()]
+        assert got == plain_lloyd(x, k)[1]
+
+
+def test_bucketed_rows_stay_where_they_are(spark):
+    from shelfspark.session import bucketed
+
+    rows = spark.range(500).select("id", F.array("id").alias("v"))
+    with bucketed(rows, "probe", "id") as kept:
+        assert kept.count() == 500
+        joined = kept.join(spark.range(40).hint("shuffle_hash"), "id")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and joined.count() == 40
+        name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("shelfspark_"))
+    assert name not in [t.name for t in spark.catalog.listTables()]
+
+
 def test_cluster_shares_and_scope(spark):
     a = [(i, i % 2) for i in range(40)]
     share = pp.cluster_share(spark.createDataFrame(a, "id int, cluster int")).collect()
