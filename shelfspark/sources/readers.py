@@ -266,21 +266,29 @@ def _records(pieces: DataFrame, indent: int, item: str) -> DataFrame:
     return rows.select(fields.alias("r"), "file_path", "file_name", "block_start", "row_in_block").select("r.*", "file_path", "file_name", "block_start", "row_in_block")
 
 
-def scan_registry_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """``meta.inputs`` of registries as rows ``folder, file_name, pos, label, file, count``, by lines; the records are not parsed."""
+def scan_registry_inputs(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """``meta.inputs`` of registries as rows ``folder, file_name, pos, label, file, count``, by lines; the records are not parsed.
+
+    With ``packed`` the files hold many registries each, as JSON lines of ``registry, content``, so their number follows the
+    size of the registries; ``folder`` is then the registry's name, and a record is cut into its lines inside its row.
+    """
     line = r"^\s*(-\s+)?(label|file|count):\s*(.*?)\s*$"
     part = lambda i: F.regexp_extract("value", line, i)
-    rows = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), *file_position())
-        .where(F.col("value").rlike(line))
-        .select("file_path", "file_name", "block_start", "row_in_block", (part(1) != "").cast("int").alias("first"), part(2).alias("key"), F.trim(part(3), F.lit("'\"")).alias("v"))
-    )
-    # only the few input lines of a file reach the window
-    order = Window.partitionBy("file_path").orderBy("block_start", "row_in_block")
-    numbered = rows.withColumn("pos", F.sum("first").over(order) - 1)
+    place = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), *file_position()]
+    if packed:
+        packs = spark.read.schema("registry string, content string").json(path).select(F.col("registry").alias("folder"), "content", *place)
+        lines = packs.select("folder", "file_path", "file_name", "block_start", "row_in_block", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("at", "value"))
+        own, order = ["folder", "file_path", "file_name", "block_start", "row_in_block"], ["at"]
+    else:
+        lines = spark.read.text(path).select("value", *place).withColumn("folder", F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1))
+        own, order = ["folder", "file_path", "file_name"], ["block_start", "row_in_block"]
+    keys = list(dict.fromkeys([*own, *order]))
+    rows = lines.where(F.col("value").rlike(line)).select(*keys, (part(1) != "").cast("int").alias("first"), part(2).alias("key"), F.trim(part(3), F.lit("'\"")).alias("v"))
+    # only the few input lines of a registry reach the window
+    numbered = rows.withColumn("pos", F.sum("first").over(Window.partitionBy(*own).orderBy(*order)) - 1)
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("v")))
-    return numbered.groupBy("file_path", "file_name", "pos").agg(value("label").alias("label"), value("file").alias("file"), value("count").try_cast("int").alias("count")).select(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("folder"), "file_name", "pos", "label", "file", "count")
+    inputs = numbered.groupBy(*own, "pos").agg(value("label").alias("label"), value("file").alias("file"), value("count").try_cast("int").alias("count"))
+    return inputs.select("folder", "file_name", "pos", "label", "file", "count")
 
 
 def scan_file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -232,6 +232,21 @@ def test_registry_inputs(spark, tmp_path):
     assert [(r["pos"], r["label"], r["file"], r["count"]) for r in got] == [(0, "sources q1", "a.yml", 3), (1, "b", "x_20260101_v1.yml", None)]
 
 
+def test_registry_inputs_in_packs(spark, tmp_path):
+    """Many registries a file give the rows of a file each."""
+    import json
+
+    whole = {name: YAML.replace("count: 3", f"count: 3\n    - label: 'b'\n      file: {name}.yml\n      count: many") for name in ("r1", "r2", "r3")}
+    for name, text in whole.items():
+        (tmp_path / "files" / name).mkdir(parents=True)
+        (tmp_path / "files" / name / "journals.yml").write_text(text)
+    (tmp_path / "packs").mkdir()
+    (tmp_path / "packs" / "part-0.json").write_text("".join(json.dumps({"registry": n, "content": t}) + "\n" for n, t in whole.items()))
+    rows = lambda df: sorted((r["folder"].rsplit("/", 1)[-1], r["pos"], r["label"], r["file"], r["count"]) for r in df.collect())
+    got = rows(src.scan_registry_inputs(spark, str(tmp_path / "packs"), packed=True))
+    assert len(got) == 6 and got == rows(src.scan_registry_inputs(spark, str(tmp_path / "files" / "*")))
+
+
 def test_newest_source_lists(spark, tmp_path):
     for v, name in (("v2", "old"), ("v10", "new")):
         put(tmp_path, f"journals_law_20260201_{v}.yml", f"journals:\n  - name: {name}\n")
