@@ -24,7 +24,7 @@ def citations(papers: DataFrame, topic: str = "topic") -> DataFrame:
 
 _YEAR = r", (?:\d{4}|\?)\z"
 #: Characters before the year that make an anchor; a text has the anchor of the longest size that it fills.
-ANCHORS = (1, 3, 6, 12)
+ANCHORS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20)
 
 
 def _anchor(text: Column, size: int) -> Column:
@@ -52,23 +52,31 @@ def link_mentions(
     """Turn each known citation text of a body into ``[(text)](#paper-id)``, longest first.
 
     Bodies and citations meet in an equi join on (topic, anchor): the body is cut behind each ``, YYYY``, and every piece
-    is probed with the few characters before its year, once for each size in :data:`ANCHORS`. Whether the piece ends with the
+    is probed with the few characters before its year, once for each size in :data:`ANCHORS` that a citation has. Whether the piece ends with the
     whole citation is verified behind the join, so a citation is also found inside a word. Only these short ends are
     shuffled; the links found are written, so a body moves only if they are too many to be sent to it. Of several papers with
     one text the first by ``pos`` gets the link.
     """
-    known = first_per_key(
+    first = first_per_key(
         cites.select(F.col(topic).alias("_t"), "id", "in_text", "pos", F.regexp_replace("in_text", r"^\((.*)\)$", "$1").alias("key")),
         ["_t", "in_text"],
         ["pos"],
     ).withColumn("anchor", F.coalesce(*[_anchor(F.col("key"), size) for size in reversed(ANCHORS)]))
-    longest = cites.agg(F.coalesce(F.max(F.length("in_text")), F.lit(0))).scalar()
+    known = written(first.where(F.col("anchor").isNotNull()), "citations")
+    used = known.select(F.substring_index("anchor", ":", 1).cast("int").alias("size")).distinct()
+    sizes = sorted(r["size"] for r in used.collect()) or [ANCHORS[0]]  # one row a size
+    longest = known.agg(F.coalesce(F.max(F.length("in_text")), F.lit(0))).scalar()
     with_max = bodies.select(F.col(doc), F.col(topic).alias("_t"), F.col(body)).withColumn("_max", longest)
     # each piece ends behind a year but the last, which has no anchor
     ends = F.array_distinct(F.transform(F.split(body, r"(?<=, (?:\d{4}|\?))"), lambda p: F.right(p, F.col("_max"))))
-    probes = lambda t: F.array(*[F.struct(_anchor(t, size).alias("anchor"), t.alias("end")) for size in ANCHORS])
+    dated = F.transform(ends, lambda e: F.struct(e.alias("end"), F.length(F.regexp_extract(e, _YEAR, 0)).alias("year")))
+
+    def probes(e: Column) -> Column:
+        fits = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: F.length(e["end"]) - e["year"] >= n)
+        return F.transform(fits, lambda n: F.struct(F.concat(n.cast("string"), F.lit(":"), F.right(e["end"], n + e["year"])).alias("anchor"), e["end"].alias("end")))
+
     found = (
-        unnest(with_max, [doc, "_t"], F.filter(F.flatten(F.transform(ends, probes)), lambda e: e["anchor"].isNotNull()), "e")
+        unnest(with_max, [doc, "_t"], F.flatten(F.transform(F.filter(dated, lambda e: e["year"] > 0), probes)), "e")
         .select(doc, "_t", "e.*")
         .join(known, ["_t", "anchor"])
         .where(F.endswith("end", "key"))

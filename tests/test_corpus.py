@@ -201,6 +201,19 @@ def test_links_equal_brute_force(spark):
     assert {k: twice[k] for k in (0, 3, 4, 5)} == {k: got[k] for k in (0, 3, 4, 5)}
 
 
+def test_a_citation_is_probed_by_an_anchor_of_its_own(spark):
+    """Texts that only differ far from their year, as all those ending in "et al.", do not share an anchor."""
+    texts = [f"C{n} et al., 1990" for n in range(100, 200)]
+    sizes = [F.coalesce(*[pp._anchor(F.col("t"), n) for n in reversed(pp.ANCHORS)])]
+    anchors = spark.createDataFrame([(t,) for t in texts], "t string").select(*sizes).distinct().count()
+    assert anchors == len(texts)
+    c = spark.createDataFrame([("t", n, f"({t})", n) for n, t in enumerate(texts)], "topic string, id int, in_text string, pos int")
+    b = spark.createDataFrame([(1, "t", "McC123 et al., 1990 and C7, 1990")], "doc int, topic string, body string")
+    got = pp.link_mentions(b, c).first()
+    assert (got["body"], got["n_links"]) == ("Mc[(C123 et al., 1990)](#paper-23) and C7, 1990", 1)
+    assert pp.link_mentions(b, c.limit(0)).first()["n_links"] == 0
+
+
 def test_page_text(spark):
     html = "<html><script>var t='<p>';</script><style>p{}</style><!-- x --><p>A&amp;B&nbsp;<b>c</b> &amp;lt;</p></html>"
     assert docs(spark, html).select(md.page_text("body").alias("t")).first()["t"] == "A&B c &lt;"
